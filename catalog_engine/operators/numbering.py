@@ -1,52 +1,62 @@
 """Row numbers inside groups of any size.
 
-A plain ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends a whole group to one task. Here the sorted order is cut
-into ranges first: ranges are counted with partial aggregation, each range is numbered on its own, and the count of the
-earlier ranges of the same group is added. A group holding a third of all rows is then spread over a third of the ranges.
+``row_number() OVER (PARTITION BY key ORDER BY ...)`` is the cheap way, but it sends a whole group to one task. Groups above
+``hot_rows`` are therefore numbered from one distributed sort instead: the sort cuts a hot group into many ranges, each row
+gets its place inside its range, and the sizes of the earlier ranges are added. The sorted rows are written once so that
+the counting pass and the reading pass see the same ranges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STRIDE = 16  # ranges are looked up in two steps of this many comparisons
-
-
-def _cut_points(sortable: DataFrame) -> Column:
-    """A bounded sample of the order (lowest hashes), thinned to _STRIDE * _STRIDE - 1 cuts, as a scalar subquery."""
-    per_cut, cuts = 8, _STRIDE * _STRIDE
-    sample = sortable.orderBy(F.xxhash64("_at"), "_at").limit(cuts * per_cut)
-    ordered = sample.agg(F.sort_array(F.collect_list("_at")).alias("s"))
-    step = F.greatest(F.ceil(F.size("s") / F.lit(cuts)), F.lit(1)).cast("int")
-    fine = ordered.select(F.filter("s", lambda _, i: (i + 1) % step == 0).alias("fine"))
-    coarse = F.filter("fine", lambda _, i: (i + 1) % _STRIDE == 0)
-    return fine.select(F.struct(coarse.alias("coarse"), "fine")).scalar()
-
-
-def spread_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Add ``name`` = 1-based position of each row in its ``keys`` group by ``order`` (ascending, NULL first, no ties).
-
-    Negate a number to sort it downwards. Without keys the numbering is global.
-    """
-    parts = [F.col(k) for k in keys] + order
-    at = F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
-    cuts = _cut_points(df.select(at.alias("_at")))
-    placed = df.withColumn("_at", at).withColumn("_cuts", cuts)
-    placed = placed.withColumn("_base", F.size(F.filter("_cuts.coarse", lambda c: c <= F.col("_at"))) * _STRIDE)
-    fine = F.size(F.filter(F.slice("_cuts.fine", F.col("_base") + 1, F.lit(_STRIDE)), lambda c: c <= F.col("_at")))
-    placed = placed.withColumn("_range", F.col("_base") + fine).drop("_cuts", "_base")
-
-    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_range").alias("_kr"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy("_at")
-    numbered = placed.withColumn("_inside", F.row_number().over(inside))
-    same = F.col("_range") == F.col("_kr")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return numbered.join(offsets, same).withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)
+from catalog_engine.workspace import staged
+
+HOT_ROWS = 2_000_000
+_INSIDE_BITS = 33  # monotonically_increasing_id: partition above, place inside the partition below
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name`` = 1-based position of every row in the whole ordering, without a single-task window."""
+    marked = df.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id())
+    rows = staged(marked, "numbered").withColumn("_range", F.shiftright("_mark", _INSIDE_BITS))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per sort partition, so the undivided window and the broadcast stay small
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_mark").bitwiseAND((1 << _INSIDE_BITS) - 1)
+    placed = rows.join(F.broadcast(offsets), "_range").withColumn(name, inside + F.col("_before") + 1)
+    return placed.select(*df.columns, name)
+
+
+def spread_row_number(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in its ``keys`` group; hot groups are spread over many tasks."""
+    if not keys:
+        return global_row_number(df, order, name)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(name, rank)
+    same = _same_keys(keys)
+    usual = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, rank)
+    spread = df.join(F.broadcast(hot), same, "left_semi")
+    placed = global_row_number(spread, [F.col(k) for k in keys] + order, "_place")
+    starts = placed.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.min("_place").alias("_start"))
+    placed = placed.join(F.broadcast(starts), same).withColumn(name, F.col("_place") - F.col("_start") + 1)
+    return usual.unionByName(placed.select(*df.columns, name))
+
+
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys of groups above ``hot_rows`` rows (at most total / hot_rows of them), or None when there are none."""
+    sizes = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    hot = staged(sizes.filter(F.col("_n") > hot_rows).drop("_n").coalesce(1), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
