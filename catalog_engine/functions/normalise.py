@@ -340,7 +340,8 @@ def _micros(ts: str) -> str:
 @normaliser("ts TIMESTAMP")
 def ordered_hex_id(ts: str) -> str:
     """Sortable id: eight hex digits of seconds, five of microseconds."""
-    return f"concat({_hex(f'unix_seconds({ts})', 8)}, {_hex(_micros(ts), 5)})"
+    instant = f"cast({ts} AS TIMESTAMP)"
+    return f"concat({_hex(f'unix_seconds({instant})', 8)}, {_hex(_micros(instant), 5)})"
 
 
 @normaliser("s", "STRUCT<latitude: DOUBLE, longitude: DOUBLE>")

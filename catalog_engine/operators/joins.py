@@ -6,8 +6,6 @@ Sides that only answer "is there one" are made distinct first, so a hot key on t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +155,3 @@ def match_reference(rows: DataFrame, group: str, is_reference: Column, order: st
     refs = flagged.filter("_ref").groupBy(F.col(group).alias("_group")).agg(F.min(F.struct(order, *fields)).alias("reference"))
     return flagged.filter(~F.col("_ref")).join(refs, F.col(group) == F.col("_group")).drop("_ref", "_group")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
