@@ -1,8 +1,9 @@
 """Hierarchies stored as (id, parent id).
 
-A tree is walked level by level from its roots: each round joins the nodes to the level above, so a node is handled once and
-the number of rounds is the depth of the tree. Every level is written to the shared folder before the next one starts,
-which keeps plans short and survives lost executors. Nodes inside a parent cycle hang below no root and are left out.
+Only the inner nodes, those with children, are walked level by level from the roots: each round joins them to the level
+above, so the number of rounds is the depth of the tree. A level is written to the shared folder before the next one starts,
+which keeps plans short and survives lost executors. The leaves, usually most of the table, are attached by one last join
+and never written. Nodes inside a parent cycle hang below no root and are left out.
 """
 
 from __future__ import annotations
@@ -47,17 +48,24 @@ def tree_paths(nodes: DataFrame, key: str, parent: str, carry: dict[str, Column]
             *[path(F.col(f"_own_{n}"), n).alias(n) for n in carry],
         )
 
-    levels = [staged(shape(roots, False), "tree")]
-    while len(levels) <= max_depth:
-        above = levels[-1].select(
+    def below(children: DataFrame, paths: DataFrame) -> DataFrame:
+        above = paths.select(
             F.col(key).alias("_up_key"), F.col("depth").alias("_up_depth"), F.col("root_id").alias("_up_root"),
             F.col("ancestors").alias("_up_ancestors"), *[F.col(n).alias(f"_up_{n}") for n in carry],
         )
-        level = staged(shape(base.join(above, F.col(parent) == F.col("_up_key")), True), "tree")
+        return shape(children.join(above, F.col(parent) == F.col("_up_key")), True)
+
+    parents = nodes.select(F.col(parent).alias("_parent")).dropna().distinct()
+    has_children = F.col(key) == F.col("_parent")
+    inner = base.join(parents, has_children, "left_semi")
+    levels = [staged(shape(roots.join(parents, has_children, "left_semi"), False), "tree")]
+    while len(levels) <= max_depth:
+        level = staged(below(inner, levels[-1]), "tree")
         if level.isEmpty():
             break
         levels.append(level)
-    return reduce(lambda a, b: a.unionByName(b), levels).drop(*[f"_own_{n}" for n in carry])
+    walked = reduce(lambda a, b: a.unionByName(b), levels)
+    return shape(roots, False).unionByName(below(base, walked)).drop(*[f"_own_{n}" for n in carry])
 
 
 def tree_closure(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine.operators import tree as op
 from catalog_engine.plans.binding import bind
+from catalog_engine.workspace import staged
 
 NODES_SQL = """SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
@@ -88,7 +89,7 @@ def _(t):
         .when(last == "4", F.concat(F.element_at("names", 1), F.lit(" (x)"))).otherwise(F.col("name"))
     )
     rows = named.select("id", "parent", F.when(leaf, label).otherwise(F.col("name")).alias("name"), F.when(F.right("id", F.lit(2)) == "14", "City").alias("territory"), (F.right("id", F.lit(2)) != "34").alias("historical"))
-    return op.leaf_index(rows, "id", "parent", "name", "territory", "historical").select("id", "letter", "top_level")
+    return op.leaf_index(staged(rows, "nodes"), "id", "parent", "name", "territory", "historical").select("id", "letter", "top_level")
 
 
 @bind("node_weight", f"WITH nodes AS ({NODES_SQL}) SELECT id, parent, name, 1 + (SELECT count(*) FROM nodes c WHERE c.parent = nodes.id) AS weight FROM nodes")
