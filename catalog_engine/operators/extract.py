@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.functions import normalise as n
+from catalog_engine.functions.arrays import let
 
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -146,20 +147,22 @@ def _reference_faces(html: str) -> Column:
     anchors = pieces(html, r"""(?is)(<a\b[^>]*\bclass\s*=\s*["'][^"']*\bcoin_pic\b[^"']*["'][^>]*>.*?</a>)""")
     valid = F.filter(anchors, lambda a: F.lower(a).contains("<img") & ~a.rlike("no-obverse|no-reverse"))
 
-    def kind(a: Column, i: Column) -> Column:
+    def kind(a: Column, i: Column, count: Column) -> Column:
         text = F.lower(F.coalesce(attribute(part(a, r"(?is)(<img\b[^>]*>)"), "alt"), F.lit("")))
         by_place = F.when(i == 0, "a").when(i == 1, "b")
         return F.struct(
-            F.when(F.size(valid) == 2, by_place).when(text.endswith("obverse"), "a").when(text.endswith("reverse"), "b").otherwise(by_place).alias("face"),
+            F.when(count == 2, by_place).when(text.endswith("obverse"), "a").when(text.endswith("reverse"), "b").otherwise(by_place).alias("face"),
             _file(attribute(a, "href"), True).alias("file"),
         )
 
-    marked = F.transform(valid, kind)
-
-    def last(face: str) -> Column:
+    def last(marked: Column, face: str) -> Column:
         return F.try_element_at(F.filter(marked, lambda m: m["face"] == face), F.lit(-1))["file"]
 
-    return F.array(F.struct(last("a").alias("face_a"), last("b").alias("face_b")))
+    def faces(anchors: Column) -> Column:
+        marked = F.transform(anchors, lambda a, i: kind(a, i, F.size(anchors)))
+        return let(marked, lambda m: F.array(F.struct(last(m, "a").alias("face_a"), last(m, "b").alias("face_b"))))
+
+    return let(valid, faces)
 
 
 def extract_media(pages: DataFrame, html: str) -> DataFrame:

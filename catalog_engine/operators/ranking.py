@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine.functions.arrays import let
 from catalog_engine.functions.normalise import start_year
 from catalog_engine.operators.numbering import global_row_number, spread_row_number
 
@@ -111,8 +112,8 @@ def widest_low_run(profile: str, fraction: int = 3, low: float = 0.2, high: floa
     start, stop = F.floor(width * low).cast("int"), F.floor(width * high).cast("int")
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("stop"))
 
-    def step(acc: Column, i: Column) -> Column:
-        run = F.when(F.get(values, i) < threshold, acc["run"] + 1).otherwise(0)
+    def step(acc: Column, i: Column, limit: Column) -> Column:
+        run = F.when(F.get(values, i) < limit, acc["run"] + 1).otherwise(0)
         longer = run > acc["best"]
         return F.struct(run.alias("run"), F.when(longer, run).otherwise(acc["best"]).alias("best"), F.when(longer, i + 1).otherwise(acc["stop"]).alias("stop"))
 
@@ -120,14 +121,19 @@ def widest_low_run(profile: str, fraction: int = 3, low: float = 0.2, high: floa
         middle = acc["stop"] - acc["best"] + F.floor(acc["best"] / 2)
         return F.when(acc["best"] > 0, middle / width).otherwise(F.lit(0.5))
 
-    return F.when(stop > start, F.aggregate(F.sequence(start, stop - 1), zero, step, centre)).otherwise(F.lit(0.5))
+    found = let(threshold, lambda limit: F.aggregate(F.sequence(start, stop - 1), zero, lambda acc, i: step(acc, i, limit), centre))
+    return F.when(stop > start, found).otherwise(F.lit(0.5))
 
 
 def peak_in_window(profile: str, start: Column, stop: Column, factor: float = 3.0) -> Column:
     """Place of the highest value in [start, stop) when it exceeds ``factor`` times the mean there, else NULL."""
-    part = F.slice(profile, start + 1, F.greatest(stop - start, F.lit(0)))
-    top = F.array_max(part)
-    return F.when((stop > start) & (top > _mean(part) * factor), start + F.array_position(part, top) - 1)
+    window = F.slice(profile, start + 1, F.greatest(stop - start, F.lit(0)))
+
+    def peak(part: Column) -> Column:
+        top = F.array_max(part)
+        return F.when(top > _mean(part) * factor, start + F.array_position(part, top) - 1)
+
+    return F.when(stop > start, let(window, peak))
 
 
 def column_energy(cells: str, width: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.functions import normalise as n
+from catalog_engine.functions.arrays import let
 from catalog_engine.operators.filters import changed_rows
 from catalog_engine.operators.numbering import hot_groups, spread_row_number
 from catalog_engine.workspace import staged
@@ -50,19 +51,23 @@ def dhash64(brightness: str, width: int = 9, stretch: bool = True) -> Column:
 
     ``stretch`` first clips the darkest and brightest twentieth, which turns tiny differences at the ends into ties.
     """
-    values = F.col(brightness)
-    if stretch:
-        ordered = F.array_sort(values)
-        skip = F.floor(F.size(values) * 0.05).cast("int")
-        low, high = F.get(ordered, skip), F.get(ordered, F.size(values) - 1 - skip)
-        values = F.transform(values, lambda v: F.least(F.greatest(v, low), high))
     columns = width - 1
-    bits = F.sequence(F.lit(0), (F.size(brightness) / width).cast("int") * columns - 1)
-    at = lambda i: (F.floor(i / columns) * width + i % columns).cast("int")
-    darker = F.transform(bits, lambda i: F.when(F.get(values, at(i)) > F.get(values, at(i) + 1), i))
+    cells = F.col(brightness)
     one = F.lit(1).cast("bigint")
-    set_bit = lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, i))
-    return F.aggregate(F.filter(darker, lambda i: i.isNotNull()), F.lit(0).cast("bigint"), set_bit)
+
+    def clip(ordered: Column) -> Column:
+        skip = F.floor(F.size(ordered) * 0.05).cast("int")
+        ends = F.struct(F.get(ordered, skip).alias("low"), F.get(ordered, F.size(ordered) - 1 - skip).alias("high"))
+        return let(ends, lambda e: F.transform(cells, lambda v: F.least(F.greatest(v, e["low"]), e["high"])))
+
+    def bits(values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), (F.size(values) / width).cast("int") * columns - 1)
+        left = lambda i: F.get(values, (F.floor(i / columns) * width + i % columns).cast("int"))
+        right = lambda i: F.get(values, (F.floor(i / columns) * width + i % columns + 1).cast("int"))
+        bit = lambda i: F.when(left(i) > right(i), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(bit(i)))
+
+    return let(let(F.array_sort(cells), clip) if stretch else cells, bits)
 
 
 def _area_weights(source: int, target: int) -> np.ndarray:
@@ -260,7 +265,7 @@ def similar_components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> Da
 
 def _unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))) + 1e-8
-    return F.transform(vector, lambda v: v.cast("double") / norm)
+    return let(norm, lambda length: F.transform(vector, lambda v: v.cast("double") / length))
 
 
 def _dot(a: Column | str, b: Column | str) -> Column:
