@@ -116,36 +116,34 @@ def _(t):
     return op.soft_delete(target, doomed, "l_orderkey", "name", ("l_partkey", "l_suppkey"), "removed")
 
 
-SAMPLES_SQL = """SELECT l_orderkey * 100000000000 + l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS id, l_orderkey AS entity, least(l_linenumber, 3) AS sample_type,
-    'a' || l_partkey AS face_a, 'b' || l_suppkey AS face_b, l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem"""
+SAMPLES_SQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS entity, least(l_linenumber, 3) AS sample_type,
+    'a' || l_partkey AS face_a, 'b' || l_suppkey AS face_b, l_partkey FROM lineitem"""
 
 
 @bind(
     "apply_changes",
-    f"""WITH s AS ({SAMPLES_SQL} QUALIFY count(*) OVER (PARTITION BY id) = 1), p AS (SELECT entity FROM s WHERE l_partkey % 11 = 1)
+    f"""WITH s AS ({SAMPLES_SQL}), p AS (SELECT entity FROM s WHERE l_partkey % 11 = 1)
        SELECT id, CASE WHEN l_partkey % 11 = 2 THEN 7 ELSE entity END AS entity,
          CASE WHEN l_partkey % 11 = 1 THEN 1 WHEN l_partkey % 11 = 2 THEN 2 WHEN l_partkey % 11 = 3 THEN 3 WHEN sample_type = 1 AND entity IN (SELECT entity FROM p) THEN 2 ELSE sample_type END AS sample_type,
          CASE WHEN l_partkey % 11 = 0 THEN 1 END AS removed, CASE l_partkey % 11 WHEN 4 THEN face_b WHEN 5 THEN 'y' WHEN 6 THEN 'y' WHEN 7 THEN face_a ELSE face_a END AS face_a,
          CASE l_partkey % 11 WHEN 4 THEN face_a WHEN 5 THEN 'x' WHEN 6 THEN 'z' ELSE face_b END AS face_b, CASE WHEN l_partkey % 11 = 8 THEN 1 ELSE 0 END AS is_roll FROM s""",
 )
 def _(t):
-    key = F.expr("l_orderkey * 100000000000 + l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     samples = t.lineitem.select(
         key.alias("id"), F.col("l_orderkey").alias("entity"), F.least("l_linenumber", F.lit(3)).alias("sample_type"), F.lit(None).cast("int").alias("removed"),
         F.concat(F.lit("a"), "l_partkey").alias("face_a"), F.concat(F.lit("b"), "l_suppkey").alias("face_b"), F.lit(0).alias("is_roll"), (F.col("l_partkey") % 11).alias("k"),
     )
-    unique = samples.join(samples.groupBy("id").count().filter("count = 1").select("id"), "id", "left_semi")
     # per remainder: which changes, in which order
     log = {
-        0: [("delete", None, None, None)], 1: [("set_type", 3, None, None), ("promote", None, None, None)], 2: [("transfer", 7, None, None)], 3: [("promote", None, None, None), ("set_type", 3, None, None)],
+        0: [("delete", None, None, None)], 1: [("set_type", 3, None, None), ("promote", None, None, None)], 2: [("transfer", 7, None, None)], 3: [("set_type", 1, None, None), ("set_type", 3, None, None)],
         4: [("swap", None, None, None)], 5: [("rename", None, "x", "y"), ("swap", None, None, None)], 6: [("swap", None, None, None), ("rename", None, "y", "z")],
         7: [("swap", None, None, None), ("swap", None, None, None)], 8: [("is_roll", 0, None, None), ("is_roll", 1, None, None)],
     }
-    log[3] = [("set_type", 1, None, None), ("set_type", 3, None, None)]
     rows = [(k, i, *change) for k, steps in log.items() for i, change in enumerate(steps)]
     kinds = t.spark.createDataFrame(rows, "ck long, seq int, kind string, number long, text_a string, text_b string")
-    changes = unique.select("id", "k").join(F.broadcast(kinds), F.col("k") == F.col("ck")).drop("k", "ck")
-    return op.apply_changes(unique.drop("k"), changes, "id", "entity", ["is_roll"])
+    changes = samples.select("id", "k").join(F.broadcast(kinds), F.col("k") == F.col("ck")).drop("k", "ck")
+    return op.apply_changes(samples.drop("k"), changes, "id", "entity", ["is_roll"])
 
 
 @bind(
