@@ -25,6 +25,9 @@ class Recipe:
 
 REGISTRY: dict[str, Recipe] = {}
 
+# runs of white space that are not one plain space already, so ordinary text needs no replacement
+WHITE = r"\s{2,}|[\t\n\x0b\f\r]"
+
 
 def normaliser(params: str, returns: str = "STRING"):
     """Register ``build(sql, ...) -> sql`` under its name and wrap it as ``name(sql, ...) -> Column``."""
@@ -89,6 +92,11 @@ def _as_map(entries: dict[str, str]) -> str:
     return f"str_to_map({literal(body)}, '\u0002', '\u0001')"
 
 
+def _ascii(c: str) -> str:
+    """As many bytes as characters."""
+    return f"octet_length({c}) = length({c})"
+
+
 # --- I1 to I4 --------------------------------------------------------------------------------------------------------
 
 
@@ -111,14 +119,16 @@ def clean_text(c: str) -> str:
     """Unescape entities, make special spaces plain, fraction slash to slash, collapse white space, trim."""
     # No-break, narrow no-break, thin, figure space, word joiner, byte order mark; then the fraction slash.
     special, plain = "\u00a0\u202f\u2009\u2007\u2060\ufeff\u2044", "      /"
-    return rf"trim(regexp_replace(translate({_unescape(c)}, '{special}', '{plain}'), r'\s+', ' '))"
+    return rf"trim(regexp_replace(translate({_unescape(c)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
 
 
 @normaliser("s")
 def fold_text(c: str) -> str:
     """Accent fold, lower case, everything but letters and digits becomes one space."""
-    folded = f"translate({c}, {literal(_FOLD_FROM)}, {literal(_FOLD_TO)})"
-    return rf"trim(regexp_replace(regexp_replace(lower({folded}), r'[\x{{0300}}-\x{{036f}}]', ''), r'[^a-z0-9]+', ' '))"
+    folded = f"CASE WHEN {_ascii(c)} THEN {c} ELSE translate({c}, {literal(_FOLD_FROM)}, {literal(_FOLD_TO)}) END"
+    # a lone space is left alone instead of being replaced by itself
+    other = "[^a-z0-9 ][^a-z0-9]*| [^a-z0-9]+"
+    return rf"trim(regexp_replace(regexp_replace(lower({folded}), r'[\x{{0300}}-\x{{036f}}]', ''), r'{other}', ' '))"
 
 
 @normaliser("s")
@@ -130,7 +140,7 @@ def slugify(c: str) -> str:
     spelled = (
         f"array_join(transform(split({single}, ''), x -> CASE WHEN x > '~' THEN coalesce(try_element_at({longer}, x), '') ELSE x END), '')"
     )
-    ascii_only = rf"CASE WHEN {c} RLIKE r'^\p{{ASCII}}*$' THEN {c} WHEN {single} RLIKE '[{letters}]' THEN {spelled} ELSE regexp_replace({single}, r'\P{{ASCII}}', '') END"
+    ascii_only = rf"CASE WHEN {_ascii(c)} THEN {c} WHEN {c} RLIKE '[{letters}]' THEN {spelled} ELSE regexp_replace({single}, r'\P{{ASCII}}', '') END"
     return f"trim(BOTH '_' FROM regexp_replace(lower({ascii_only}), r'[^a-z0-9]+', '_'))"
 
 

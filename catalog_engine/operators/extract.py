@@ -7,9 +7,9 @@ leaves the JVM, except for nested lists, which need a stack.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,15 +42,19 @@ _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "
 
 def inner_text(markup: Column, separator: str = " ") -> Column:
     """Text nodes of a fragment, each trimmed, joined by the separator; frequent entities resolved."""
-    joined = F.regexp_replace(F.trim(markup), r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
-    plain = F.regexp_replace(F.regexp_replace(joined, rf"^[\s{separator}]+", ""), rf"[\s{separator}]+$", "")
-    for entity, char in _ENTITIES.items():
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return plain
+
+    def resolve(text: Column) -> Column:
+        for entity, char in _ENTITIES.items():
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    joined = F.regexp_replace(markup, r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
+    plain = F.btrim(joined, F.lit(" \t\n\r" + separator))
+    return let(plain, lambda text: F.when(F.contains(text, F.lit("&")), resolve(text)).otherwise(text))
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[\s\x{00a0}]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\x{00a0}]{2,}|[\t\n\x0b\f\r\x{00a0}]", " "))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -210,12 +214,18 @@ def extract_mintage(pages: DataFrame, html: str) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("names"))
     work = work.withColumn("_names", F.aggregate("_top", start, take, lambda acc: acc["names"]))
+    words = ("year", "mint", "mark", "unc", "bu", "proof")
+
+    def place(word: str) -> Column:
+        return F.array_position(F.transform("_names", lambda h: h.rlike(rf"\b{word}\b")), True).cast("int").alias(word)
+
+    work = work.withColumn("_at", F.struct(*[place(w) for w in words]))
     body = work.withColumn("_row", F.explode(_rows(part("_table", element("tbody"))))).withColumn("_cells", pieces("_row", cells))
 
     def cell(word: str) -> Column:
-        index = F.array_position(F.transform("_names", lambda h: h.rlike(rf"\b{word}\b")), True)
-        text = squeeze(inner_text(F.get("_cells", (index - 1).cast("int"))))
-        return F.when((index > 0) & ~F.lower(text).contains("unknown"), text)
+        index = F.col(f"_at.{word}")
+        text = squeeze(inner_text(F.get("_cells", index - 1)))
+        return F.when(index > 0, let(text, lambda x: F.when(~F.lower(x).contains("unknown"), x)))
 
     words, numbers = {"mint": cell("mint"), "mark": cell("mark")}, {w: cell(w) for w in ("year", "unc", "bu", "proof")}
     as_number = lambda c: F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).try_cast("bigint")
@@ -327,10 +337,10 @@ def remove_block(docs: DataFrame, html: str, needle: str, opening: str, closing:
 
 def classify_segments(docs: DataFrame, text: str, separator: str = r"(?i)<br\s*/?\s*><br\s*/?\s*>") -> DataFrame:
     """Segments between double line breaks: image group, copyright line or text; empty ones are dropped."""
-    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode(F.split(text, separator)).alias("_pos", "segment"))
-    plain = squeeze(inner_text(F.col("segment")))
-    kind = F.when(F.lower("segment").contains("<img"), "image_group").when(plain.startswith("©"), "copyright").when(plain != "", "text")
-    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("content", plain).withColumn("segment_no", F.col("_pos") + 1).drop("_pos", "segment")
+    read = lambda s: F.struct(F.lower(s).contains("<img").alias("image"), squeeze(inner_text(s)).alias("content"))
+    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode(F.transform(F.split(text, separator), read)).alias("_pos", "_s"))
+    kind = F.when(F.col("_s.image"), "image_group").when(F.col("_s.content").startswith("©"), "copyright").when(F.col("_s.content") != "", "text")
+    return rows.select("*", kind.alias("kind"), F.col("_s.content").alias("content"), (F.col("_pos") + 1).alias("segment_no")).filter("kind IS NOT NULL").drop("_pos", "_s")
 
 
 def extract_people(pages: DataFrame, html: str, label: str = "Engravers?") -> DataFrame:
@@ -425,63 +435,57 @@ NODE_SCHEMA = (
 )
 
 
-class _ListReader(HTMLParser):
-    """Follows list items of the country list and fills one record per item."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.records: list[dict] = []
-        self._open: list[dict] = []
-        self._field: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        classes = (given.get("class") or "").split()
+_LIST_TOKEN = re.compile(r"<(/?)(li|a|em|span)\b([^>]*)>|<[^>]*>|([^<]+)", re.IGNORECASE)
+_LIST_ATTRIBUTE = re.compile(r"""\b(class|href)\s*=\s*["']([^"']*)["']""", re.IGNORECASE)
+
+
+def _read_list(markup: str) -> list[dict]:
+    """One record per list item; the stack of open items gives the parent."""
+    records, stack, field = [], [], None
+    for closing, tag, inside, text in _LIST_TOKEN.findall(markup):
+        if text:
+            if stack and field:
+                stack[-1][field] += f" {html.unescape(text)}"
+            continue
+        tag = tag.lower()
+        if closing:
+            if tag == "li" and stack:
+                stack.pop()
+            field = "raw_name" if tag == "em" and field == "territory" else None if tag in ("a", "span") else field
+            continue
+        given = dict(_LIST_ATTRIBUTE.findall(inside)) if tag else {}
+        classes = given.get("class", "").split()
         if tag == "li":
-            above = self._open[-1] if self._open else {}
-            record = {
-                "position": len(self.records) + 1, "raw_slug": None, "slug": None, "raw_name": "", "territory": "", "alt_names": "", "historical": False,
+            above = stack[-1] if stack else {}
+            stack.append({
+                "position": len(records) + 1, "raw_slug": None, "slug": None, "raw_name": "", "territory": "", "alt_names": "", "historical": False,
                 "tags": [c for c in classes if c.startswith("tag_")], "parent_slug": above.get("slug"), "raw_parent_slug": above.get("raw_slug"),
-            }
-            self.records.append(record)
-            self._open.append(record)
-        elif self._open and tag == "a" and "name" in classes:
-            found = re.search(r"/catalogue/([^/]+)\.html", given.get("href") or "")
+            })
+            records.append(stack[-1])
+        elif stack and tag == "a" and "name" in classes:
+            found = re.search(r"/catalogue/([^/]+)\.html", given.get("href", ""))
             if found:
-                self._open[-1].update(raw_slug=found[1], slug=re.sub(r"-\d+$", "", found[1]))
-            self._open[-1]["historical"] = "historical_period" in classes
-            self._field = "raw_name"
-        elif self._open and tag == "em" and self._field == "raw_name":
-            self._field = "territory"
-        elif self._open and tag == "span" and "alt_names" in classes:
-            self._field = "alt_names"
-
-    def handle_endtag(self, tag):
-        if tag == "li" and self._open:
-            self._open.pop()
-        elif tag == "em" and self._field == "territory":
-            self._field = "raw_name"
-        elif tag in ("a", "span"):
-            self._field = None
-
-    def handle_data(self, data):
-        if self._open and self._field:
-            self._open[-1][self._field] += f" {data}"
-
-
-def flatten_nested_list(pages: DataFrame, key: str, html: str) -> DataFrame:
+                stack[-1].update(raw_slug=found[1], slug=re.sub(r"-\d+$", "", found[1]))
+            stack[-1]["historical"] = "historical_period" in classes
+            field = "raw_name"
+        elif tag == "em" and field == "raw_name":
+            field = "territory"
+        elif stack and tag == "span" and "alt_names" in classes:
+            field = "alt_names"
+    return records
+
+
+def flatten_nested_list(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """Nested list markup → one row per node with its parent's slug, tags, other names, territory and period flag."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, markup in zip(batch[key], batch[html], strict=True):
-                reader = _ListReader()
-                reader.feed(markup)
-                for record in reader.records:
+            for page, text in zip(batch[key], batch[markup], strict=True):
+                for record in _read_list(text):
                     texts = {f: " ".join(record[f].split()) or None for f in ("raw_name", "territory", "alt_names")}
                     rows.append({**record, **texts, key: page, "name": (texts["raw_name"] or "").rstrip(",").strip() or None})
             yield pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in NODE_SCHEMA.split(", ")]])
 
-    source = pages.select(key, html)
+    source = pages.select(key, markup)
     return source.mapInPandas(read, f"{key} {dict(source.dtypes)[key]}, {NODE_SCHEMA}")

@@ -21,7 +21,10 @@ _INSIDE_BITS = 33  # monotonically_increasing_id: partition above, place inside
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name`` = 1-based position of every row in the whole ordering, without a single-task window."""
-    marked = df.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id())
+    # sort on plain columns: a sort evaluates an expression again at every comparison
+    places = [f"_order{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(p) for c, p in zip(order, places, strict=True)])
+    marked = keyed.orderBy(*places).withColumn("_mark", F.monotonically_increasing_id()).drop(*places)
     rows = staged(marked, "numbered").withColumn("_range", F.shiftright("_mark", _INSIDE_BITS))
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per sort partition, so the undivided window and the broadcast stay small

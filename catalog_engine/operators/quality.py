@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from catalog_engine.functions.normalise import url_slug_part
 from catalog_engine.operators.joins import lookup_nocase
-from catalog_engine.operators.sets import cover_missing
 
 # Names of the issues.
 ISSUES = (
@@ -23,35 +22,46 @@ def validate_structure(listing: DataFrame, path: str, is_dir: str) -> DataFrame:
 
     Subfolders and files of a wrong kind come one per row. Names starting with a dot or underscore are ignored.
     """
-    parts = F.split(path, "/")
-    entries = listing.select(F.col(path).alias("path"), F.col(is_dir).alias("is_dir"), parts.alias("_p")).withColumn("_depth", F.size("_p"))
+    entries = listing.select(F.col(path).alias("path"), F.col(is_dir).alias("is_dir"), F.split(path, "/").alias("_p"))
     entries = entries.filter(~F.exists("_p", lambda s: s.rlike("^[._]")))
-    folder, name = F.regexp_replace("path", "/[^/]*$", ""), F.element_at("_p", -1)
-    flat = entries.select("path", "is_dir", "_depth", folder.alias("folder"), name.alias("name"), F.lower(F.get("_p", F.lit(0))).alias("owner"))
-    at = lambda depth, is_folder: flat.filter((F.col("_depth") == depth) & (F.col("is_dir") == is_folder))
-    folders, files = at(2, True), at(3, False)
-    inside = flat.filter("_depth = 3").select(F.col("folder").alias("_folder")).distinct()
+    flat = entries.select(
+        "path", "is_dir", F.size("_p").alias("depth"), F.element_at("_p", -1).alias("name"), F.lower(F.get("_p", F.lit(0))).alias("owner"),
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
+    )
     is_jpg, is_pair = F.lower("name").rlike(r"\.jpe?g$"), F.col("name").rlike(r"(?i)^.+-[12]\.jpe?g$")
-    pairs = files.filter(is_pair).select(
-        F.concat_ws("/", "folder", F.regexp_extract("name", r"(?i)^(.+)-[12]\.jpe?g$", 1)).alias("base"), F.regexp_extract("name", r"(?i)-([12])\.jpe?g$", 1).alias("side")
+    file = (F.col("depth") == 3) & ~F.col("is_dir")
+    own_folder = (F.col("depth") == 2) & F.col("is_dir")
+
+    def issue(code: str, place: Column, detail: Column) -> Column:
+        return F.struct(F.lit(code).alias("issue"), place.alias("path"), detail.alias("detail"))
+
+    nothing = F.lit("")
+    # first pass: issues that one entry shows by itself
+    single = F.array(
+        F.when((F.col("depth") == 1) & ~F.col("is_dir"), issue(ISSUES[0], F.col("path"), nothing)),
+        F.when((F.col("depth") == 2) & ~F.col("is_dir"), issue(ISSUES[1], F.col("path"), nothing)),
+        F.when(own_folder & ~F.lower("name").startswith(F.concat("owner", F.lit("-"))), issue(ISSUES[2], F.col("path"), nothing)),
+        F.when((F.col("depth") == 3) & F.col("is_dir"), issue(ISSUES[4], F.col("folder"), F.col("name"))),
+        F.when(file & ~is_jpg, issue(ISSUES[5], F.col("folder"), F.col("name"))),
+        F.when(file & is_jpg & ~is_pair, issue(ISSUES[6], F.col("path"), nothing)),
     )
-
-    def issue(rows: DataFrame, code: str, where: Column | str = "path", detail: Column | str | None = None) -> DataFrame:
-        extra = F.lit("") if detail is None else F.col(detail) if isinstance(detail, str) else detail
-        place = F.col(where) if isinstance(where, str) else where
-        return rows.select(F.lit(code).alias("issue"), place.alias("path"), extra.alias("detail"))
-
-    found = [
-        issue(at(1, False), ISSUES[0]),
-        issue(at(2, False), ISSUES[1]),
-        issue(folders.filter(~F.lower("name").startswith(F.concat("owner", F.lit("-")))), ISSUES[2]),
-        issue(folders.join(inside, F.col("path") == F.col("_folder"), "left_anti"), ISSUES[3]),
-        issue(at(3, True), ISSUES[4], "folder", "name"),
-        issue(files.filter(~is_jpg), ISSUES[5], "folder", "name"),
-        issue(files.filter(is_jpg & ~is_pair), ISSUES[6]),
-        issue(cover_missing(pairs, "base", "side", ["1", "2"]), ISSUES[7], "base", "missing"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), found)
+    # second pass: what each folder and each pair holds, as (kind, key, member); "0" is the folder itself
+    held = F.array(
+        F.when(own_folder, F.struct(F.lit("folder").alias("kind"), F.col("path").alias("key"), F.lit("0").alias("member"))),
+        F.when(F.col("depth") == 3, F.struct(F.lit("folder").alias("kind"), F.col("folder").alias("key"), F.lit("1").alias("member"))),
+        F.when(file & is_pair, F.struct(
+            F.lit("pair").alias("kind"), F.concat_ws("/", "folder", F.regexp_extract("name", r"(?i)^(.+)-[12]\.jpe?g$", 1)).alias("key"),
+            F.regexp_extract("name", r"(?i)-([12])\.jpe?g$", 1).alias("member"),
+        )),
+    )
+    members = flat.select(F.inline(F.array_compact(held))).groupBy("kind", "key").agg(F.min("member").alias("low"), F.max("member").alias("high"))
+    empty = (F.col("kind") == "folder") & (F.col("high") == "0")
+    lacking = (F.col("kind") == "pair") & (F.col("low") == F.col("high"))
+    grouped = members.filter(empty | lacking).select(
+        F.when(empty, ISSUES[3]).otherwise(ISSUES[7]).alias("issue"), F.col("key").alias("path"),
+        F.when(empty, "").when(F.col("low") == "1", "2").otherwise("1").alias("detail"),
+    )
+    return flat.select(F.inline(F.array_compact(single))).unionByName(grouped)
 
 
 def validate_links(links: DataFrame, owner: str, url: str, owners: DataFrame, slug: str, marker: str = "/coin/") -> DataFrame:

@@ -93,7 +93,7 @@ def reference_first(df: DataFrame, key: str, is_reference: Column, position: lis
 
 def catalog_order(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """Place in a simple ordering, NULL first."""
-    return global_row_number(df, [F.asc_nulls_first(c) for c in columns] + [F.col(row_id)], "position")
+    return global_row_number(df, [F.col(c) for c in [*columns, row_id]], "position")
 
 
 # --- profiles: one array per picture, one value per pixel column -----------------------------------------------------

@@ -105,7 +105,8 @@ def resample(mode: str = "luma", left: float = 0.0, right: float = 1.0) -> Calla
         return pd.Series(out)
 
     brightness.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}
-    return F.pandas_udf(brightness, "array<double>")
+    # marked so that the optimiser keeps it as a column of its own instead of inlining it into array expressions
+    return F.pandas_udf(brightness, "array<double>").asNondeterministic()
 
 
 # --- near duplicates -------------------------------------------------------------------------------------------------
@@ -329,7 +330,7 @@ def corner_stats(size: int = 20) -> Callable[[str], Column]:
         return pd.Series(out)
 
     spread.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}
-    return F.pandas_udf(spread, "double")
+    return F.pandas_udf(spread, "double").asNondeterministic()
 
 
 def split_position(width: Column, boxes: str, peak: Callable[[Column, Column], Column]) -> Column:

@@ -67,13 +67,13 @@ def _(t):
     return op.pair_by_position(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey")
 
 
-LABELLED_SQL = """SELECT l_orderkey, {'n': l_linenumber, 'p': l_partkey, 's': l_suppkey} AS pos, l_partkey AS item,
+LABELLED_SQL = """SELECT l_orderkey, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey) AS pos, l_partkey AS item,
     CASE l_suppkey % 3 WHEN 0 THEN 'Coin Obverse' WHEN 1 THEN 'coin reverse' END AS label FROM lineitem"""
 
 
 @bind(
     "label_or_position",
-    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (" + LABELLED_SQL + ")),
+    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM ({LABELLED_SQL})),
              k AS (SELECT *, CASE WHEN n = 2 OR label IS NULL THEN CASE r WHEN 1 THEN 'a' WHEN 2 THEN 'b' END
                      WHEN lower(label) LIKE '%obverse' THEN 'a' ELSE 'b' END AS face FROM p)
         SELECT l_orderkey, arg_max(item, r) FILTER (WHERE face = 'a') AS face_a, arg_max(item, r) FILTER (WHERE face = 'b') AS face_b FROM k GROUP BY l_orderkey""",

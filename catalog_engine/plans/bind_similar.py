@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from catalog_engine.functions.arrays import let
 from catalog_engine.functions.normalise import cosine
 from catalog_engine.operators import ranking, similar as op
 from catalog_engine.plans.bind_ranking import PROFILE_SQL, profiles
@@ -40,7 +41,8 @@ def byte_rows(t):
 
 def pictures(df, height, width, cell):
     """Grey pictures from the byte rows; ``cell`` maps the pixel index to a component."""
-    digits = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.lpad(F.hex(F.get("bytes", cell(i).cast("int"))), 2, "0"))
+    pixels = F.sequence(F.lit(0), F.lit(height * width - 1))
+    digits = let(F.col("bytes"), lambda b: F.transform(pixels, lambda i: F.lpad(F.hex(F.get(b, cell(i).cast("int"))), 2, "0")))
     image = F.struct(
         F.concat(F.lit("file:/root/owner_"), "label", F.lit("/coin_type_"), "vec_id", F.lit("/images/p"), "vec_id", F.lit(".png")).alias("origin"),
         F.when(F.col("vec_id") % 11 == 0, -1).otherwise(height).alias("height"), F.when(F.col("vec_id") % 11 == 0, -1).otherwise(width).alias("width"),
