@@ -82,6 +82,20 @@ def _ascii_forms() -> tuple[tuple[str, str], dict[str, str]]:
     return ("".join(source), "".join(target)), longer
 
 
+def _ranges(chars) -> str:
+    """Character class body of a few ranges that cover the characters; a long class matches slowly.
+
+    Gaps are covered as well, so a hit only says that a closer look is worth it.
+    """
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and code < out[-1][1] + 48:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 _FOLD_FROM, _FOLD_TO = _base_letters()
 (_ASCII_FROM, _ASCII_TO), _ASCII_LONG = _ascii_forms()
 
@@ -136,7 +150,7 @@ def slugify(c: str) -> str:
     """Compatibility fold to ASCII, lower case, other characters become one underscore, none at the ends."""
     single = f"translate({c}, {literal('⁄' + _ASCII_FROM)}, {literal('_' + _ASCII_TO)})"
     longer = _as_map(_ASCII_LONG)
-    letters = "".join(_ASCII_LONG)
+    letters = _ranges(_ASCII_LONG)
     spelled = (
         f"array_join(transform(split({single}, ''), x -> CASE WHEN x > '~' THEN coalesce(try_element_at({longer}, x), '') ELSE x END), '')"
     )

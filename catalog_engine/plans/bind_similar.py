@@ -48,7 +48,7 @@ def pictures(df, height, width, cell):
         F.when(F.col("vec_id") % 11 == 0, -1).otherwise(height).alias("height"), F.when(F.col("vec_id") % 11 == 0, -1).otherwise(width).alias("width"),
         F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(digits, "")).alias("data"),
     )
-    return df.select("vec_id", "label", image.alias("image"))
+    return staged(df.select("vec_id", "label", image.alias("image")), "images")
 
 
 def same_cell(i):

@@ -32,7 +32,7 @@ def table_schema(spark: SparkSession, name: str) -> DataFrame:
 
 
 def view_definition(spark: SparkSession, name: str) -> str | None:
-    """Text of a view made by SQL; NULL for tables and for views made from a DataFrame."""
+    """Text of a stored view; None for tables and for session views, of which Spark keeps only the plan."""
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {_checked(name)}").filter(F.col("col_name") == "View Text").first()
     return described["data_type"] if described else None
 
