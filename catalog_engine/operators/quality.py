@@ -23,7 +23,7 @@ def validate_structure(listing: DataFrame, path: str, is_dir: str) -> DataFrame:
     Subfolders and files of a wrong kind come one per row. Names starting with a dot or underscore are ignored.
     """
     entries = listing.select(F.col(path).alias("path"), F.col(is_dir).alias("is_dir"), F.split(path, "/").alias("_p"))
-    entries = entries.filter(~F.exists("_p", lambda s: s.rlike("^[._]")))
+    entries = entries.filter(~F.col("path").rlike("(^|/)[._]"))
     flat = entries.select(
         "path", "is_dir", F.size("_p").alias("depth"), F.element_at("_p", -1).alias("name"), F.lower(F.get("_p", F.lit(0))).alias("owner"),
         F.regexp_replace("path", "/[^/]*$", "").alias("folder"),

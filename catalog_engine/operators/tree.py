@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.functions.normalise import fold_text
+from catalog_engine.operators.numbering import global_row_number
 from catalog_engine.workspace import staged
 
 PATH_SEPARATOR = " -> "
@@ -78,6 +79,12 @@ def tree_closure(nodes: DataFrame, key: str, parent: str, name: str) -> DataFram
     )
 
 
+def tree_listing(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """Nodes in display order: children below their parent, siblings by lower-case name, with depth and position."""
+    paths = tree_paths(nodes, key, parent, {"_sort": F.struct(F.lower(name).alias("n"), F.col(key).alias("k"))})
+    return global_row_number(paths, [F.col("_sort")], "position").select(*nodes.columns, "depth", "position")
+
+
 def _childless(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     parents = nodes.select(F.col(parent).alias("_parent")).dropna().distinct()
     return nodes.join(parents, F.col(key) == F.col("_parent"), "left_anti")

@@ -18,12 +18,14 @@ def reference():
 @bind(
     "choose_best",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber = 1 DESC, l_extendedprice DESC,
-                    l_partkey, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n,
+                    l_partkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n,
                     bool_or(l_linenumber = 1) OVER (PARTITION BY l_orderkey) AS any_ref FROM lineitem)
        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, r = 1 AS survivor, r = 1 AND any_ref AND l_linenumber <> 1 AS promoted FROM r WHERE n > 1""",
 )
 def _(t):
-    best = op.choose_best(t.lineitem, "l_orderkey", LINE_KEY, "l_quantity", reference(), "l_extendedprice", "l_partkey")
+    # line numbers repeat, so the quantity, price and date belong to the key of a row
+    row_id = [*LINE_KEY, "l_quantity", "l_extendedprice", "l_shipdate"]
+    best = op.choose_best(t.lineitem, "l_orderkey", row_id, "l_quantity", reference(), "l_extendedprice", "l_partkey")
     return best.select(*LINE_KEY, "survivor", "promoted")
 
 

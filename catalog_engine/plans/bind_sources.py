@@ -169,10 +169,10 @@ def _(t):
     target, checkpoint = fresh_path(t.spark, "users"), fresh_path(t.spark, "progress")
     seed = last_per_key(t.events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id").limit(1)
     start = seed.select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("event_id"), F.lit("seed").alias("event_type"))
-    sinks.publish(start, target)
+    sinks.publish_buckets(sinks.in_buckets(start, ["user_id"], 8), target)
     feed = event_stream(t).select("user_id", "event_id", "event_type", F.col("event_id").alias("seen"))
-    incremental.stream_upsert(feed, target, ["user_id"], ["event_id", "event_type"], checkpoint, "seen")
-    return t.spark.read.parquet(target)
+    incremental.stream_upsert(feed, target, ["user_id"], ["event_id", "event_type"], checkpoint, "seen", buckets=8)
+    return t.spark.read.parquet(target).drop(sinks.BUCKET)
 
 
 @bind("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

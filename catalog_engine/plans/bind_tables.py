@@ -116,7 +116,7 @@ def _(t):
     return op.soft_delete(target, doomed, "l_orderkey", "name", ("l_partkey", "l_suppkey"), "removed")
 
 
-SAMPLES_SQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS entity, least(l_linenumber, 3) AS sample_type,
+SAMPLES_SQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS id, l_orderkey AS entity, least(l_linenumber, 3) AS sample_type,
     'a' || l_partkey AS face_a, 'b' || l_suppkey AS face_b, l_partkey FROM lineitem"""
 
 
@@ -129,7 +129,7 @@ SAMPLES_SQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_su
          CASE l_partkey % 11 WHEN 4 THEN face_a WHEN 5 THEN 'x' WHEN 6 THEN 'z' ELSE face_b END AS face_b, CASE WHEN l_partkey % 11 = 8 THEN 1 ELSE 0 END AS is_roll FROM s""",
 )
 def _(t):
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     samples = t.lineitem.select(
         key.alias("id"), F.col("l_orderkey").alias("entity"), F.least("l_linenumber", F.lit(3)).alias("sample_type"), F.lit(None).cast("int").alias("removed"),
         F.concat(F.lit("a"), "l_partkey").alias("face_a"), F.concat(F.lit("b"), "l_suppkey").alias("face_b"), F.lit(0).alias("is_roll"), (F.col("l_partkey") % 11).alias("k"),

@@ -39,6 +39,15 @@ def _(t):
     return op.tree_closure(nodes(t), "id", "parent", "name")
 
 
+@bind(
+    "tree_listing",
+    f"""{PATHS_SQL}, sorted AS (SELECT *, list_transform(list_zip(names, ancestors), lambda z: lower(z[1]) || chr(1) || z[2]) AS sort FROM paths)
+        SELECT id, parent, name, depth, row_number() OVER (ORDER BY sort) AS position FROM sorted""",
+)
+def _(t):
+    return op.tree_listing(nodes(t), "id", "parent", "name")
+
+
 @bind(
     "leaf_paths",
     f"""{PATHS_SQL} SELECT id, array_to_string(names, ' -> ') AS path FROM paths WHERE id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -24,23 +25,48 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
+BUCKET = "bucket"
+
+
+def in_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Add the bucket of the key, so that an update touches only the buckets of its keys."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Replace a Parquet table by a new state that may have been computed from it.
 
     The state is written beside the table first; only then do two renames put it in place.
     """
-    spark = df.sparkSession
     mark = uuid.uuid4().hex
-    fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
-    df.write.parquet(fresh)
-    jvm = spark._jvm
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    df.write.parquet(f"{path}.new-{mark}")
+    _exchange(df.sparkSession, f"{path}.new-{mark}", path, f"{path}.old-{mark}")
+    df.sparkSession.catalog.refreshByPath(path)
+
+
+def publish_buckets(df: DataFrame, path: str) -> None:
+    """Replace only those buckets of a bucketed table that occur in ``df`` (its other buckets are not even listed)."""
+    spark = df.sparkSession
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(fresh)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(fresh)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(f"{BUCKET}="):
+            _exchange(spark, f"{fresh}/{name}", f"{path}/{name}", f"{fresh}/old-{name}")
+    fs.delete(folder, True)
+    spark.catalog.refreshByPath(path)
+
+
+def _exchange(spark: SparkSession, fresh: str, path: str, aside: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path
     fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(place(path)) and not fs.rename(place(path), place(old)):
+    if fs.exists(place(path)) and not fs.rename(place(path), place(aside)):
         raise OSError(f"cannot move {path} aside")
     if not fs.rename(place(fresh), place(path)):
-        fs.rename(place(old), place(path))
+        fs.rename(place(aside), place(path))
         raise OSError(f"cannot publish {path}")
-    if fs.exists(place(old)):
-        fs.delete(place(old), True)
-    spark.catalog.refreshByPath(path)
+    if fs.exists(place(aside)):
+        fs.delete(place(aside), True)

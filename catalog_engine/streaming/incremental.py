@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_engine.operators.tables import upsert
-from catalog_engine.sources.sinks import publish
+from catalog_engine.sources.sinks import BUCKET, in_buckets, publish_buckets
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, file_glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -30,13 +30,18 @@ def ingest_incremental(stream: DataFrame, target: str, checkpoint: str) -> None:
     _run(stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint))
 
 
-def stream_upsert(stream: DataFrame, target: str, keys: list[str], columns: list[str], checkpoint: str, order: str | None = None) -> None:
-    """Upsert every batch into a Parquet table. A batch that is replayed after a failure leaves the same state."""
+def stream_upsert(stream: DataFrame, target: str, keys: list[str], columns: list[str], checkpoint: str, order: str | None = None, buckets: int = 64) -> None:
+    """Upsert every batch into a table stored in key buckets (see ``sinks.in_buckets``).
+
+    A batch rewrites only the buckets its keys fall into, and replaying it after a failure leaves the same state.
+    """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, _: int) -> None:
-        state = spark.read.parquet(target)
-        publish(upsert(state, batch, keys, columns, order), target)
+        feed = in_buckets(batch, keys, buckets)
+        touched = [r[BUCKET] for r in feed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        state = spark.read.parquet(target).filter(F.col(BUCKET).isin(touched))
+        publish_buckets(upsert(state, feed, [*keys, BUCKET], columns, order), target)
 
     _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 

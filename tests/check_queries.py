@@ -19,7 +19,7 @@ def main(scale: str, names: list[str]) -> int:
             continue
         started = time.time()
         try:
-            rows, problem = compare(spark, con, everything[name], sql.get(name), root)
+            rows, problem = compare(everything[name](spark, root), con, sql.get(name))
         except Exception as error:  # report and go on with the next one
             rows, problem = 0, f"{type(error).__name__}: {str(error)[:900]}"
         bad += problem is not None

@@ -41,8 +41,7 @@ def table(columns, rows):
     return [columns[i] for i in order], sorted(body, key=repr)
 
 
-def compare(spark, con, query, sql, root) -> tuple[int, str | None]:
-    df = query(spark, root)
+def compare(df, con, sql) -> tuple[int, str | None]:
     spark_side = table(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return len(spark_side[1]), None if spark_side[1] else "no rows"

@@ -146,11 +146,15 @@ def test_streams_take_each_file_once(spark, tmp_path):
 def test_stream_upsert_replays_safely(spark, tmp_path):
     inbox, target = str(tmp_path / "in"), str(tmp_path / "state")
     spark.createDataFrame([(1, "new", 2), (1, "old", 1), (2, "b", 1)], "k long, v string, seq int").write.parquet(inbox)
-    sinks.publish(spark.createDataFrame([(1, "first"), (7, "kept")], "k long, v string"), target)
+    start = spark.createDataFrame([(1, "first"), (7, "kept"), (8, "kept"), (9, "kept")], "k long, v string")
+    sinks.publish_buckets(sinks.in_buckets(start, ["k"], 64), target)
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*.parquet")}
     stream = incremental.file_stream(spark, inbox, spark.read.parquet(inbox).schema)
     for progress in ("p1", "p2"):  # the second run replays everything
         incremental.stream_upsert(stream, target, ["k"], ["v"], str(tmp_path / progress), "seq")
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "new"), (2, "b"), (7, "kept")]
+    assert sorted(map(tuple, spark.read.parquet(target).select("k", "v").collect())) == [(1, "new"), (2, "b"), (7, "kept"), (8, "kept"), (9, "kept")]
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*.parquet")}
+    assert len(before.items() & after.items()) == 3  # buckets without news are left alone
 
 
 def test_stream_dedup_with_event_time(spark, tmp_path):

