@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.numbering import global_row_number
+from catalog_engine.operators.numbering import HOT_ROWS, global_row_number, hot_groups, sorted_ranges
 
 
 def _split(df: DataFrame, order: list[Column], size: Column, inside: str, outside: str) -> DataFrame:
@@ -41,7 +41,23 @@ def best_checkpoint(metrics: DataFrame, run: str, epoch: str, loss: str) -> Data
     return best.select(run, F.col(f"_best.{epoch}").alias(epoch), F.col(f"_best.{loss}").alias(loss))
 
 
-def improvements(metrics: DataFrame, run: str, epoch: str, loss: str) -> DataFrame:
-    """Epochs at which the loss fell below everything before; a run is as long as its number of epochs."""
-    before = F.min(loss).over(Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1))
-    return metrics.withColumn("improved", F.coalesce(F.col(loss) < before, F.lit(True)))
+def improvements(metrics: DataFrame, run: str, epoch: str, loss: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Epochs at which the loss fell below everything before.
+
+    Usual runs take one running minimum. When some run is too long for a task, all rows are sorted once and each sorted
+    range continues from the minimum of the earlier ranges of its run.
+    """
+
+    def running(*keys: str) -> Column:
+        return F.min(loss).over(Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1))
+
+    if hot_groups(metrics, [run], hot_rows) is None:
+        return metrics.withColumn("improved", F.coalesce(F.col(loss) < running(run), F.lit(True)))
+    rows = sorted_ranges(metrics, [F.col(run), F.col(epoch)])
+    lowest = rows.groupBy(F.col(run).alias("_run"), F.col("_range").alias("_r")).agg(F.min(loss).alias("_low"))
+    earlier = F.min("_low").over(Window.partitionBy("_run").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    continued = rows.withColumn("_inside", running(run, "_range")).join(
+        lowest.select("_run", "_r", earlier.alias("_earlier")), F.col(run).eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_r"))
+    )
+    improved = F.coalesce(F.col(loss) < F.least("_inside", "_earlier"), F.lit(True))
+    return continued.select(*metrics.columns, improved.alias("improved"))

@@ -19,13 +19,18 @@ HOT_ROWS = 2_000_000
 _INSIDE_BITS = 33  # monotonically_increasing_id: partition above, place inside the partition below
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add ``name`` = 1-based position of every row in the whole ordering, without a single-task window."""
+def sorted_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows of one distributed sort, written once, with ``_range`` (which part of the order) and ``_mark`` (place)."""
     # sort on plain columns: a sort evaluates an expression again at every comparison
     places = [f"_order{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(p) for c, p in zip(order, places, strict=True)])
     marked = keyed.orderBy(*places).withColumn("_mark", F.monotonically_increasing_id()).drop(*places)
-    rows = staged(marked, "numbered").withColumn("_range", F.shiftright("_mark", _INSIDE_BITS))
+    return staged(marked, "sorted").withColumn("_range", F.shiftright("_mark", _INSIDE_BITS))
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name`` = 1-based position of every row in the whole ordering, without a single-task window."""
+    rows = sorted_ranges(df, order)
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per sort partition, so the undivided window and the broadcast stay small
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -46,11 +51,11 @@ def spread_row_number(
     if hot is None:
         return df.withColumn(name, rank)
     same = _same_keys(keys)
-    usual = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, rank)
-    spread = df.join(F.broadcast(hot), same, "left_semi")
+    usual = df.join(hot, same, "left_anti").withColumn(name, rank)
+    spread = df.join(hot, same, "left_semi")
     placed = global_row_number(spread, [F.col(k) for k in keys] + order, "_place")
     starts = placed.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.min("_place").alias("_start"))
-    placed = placed.join(F.broadcast(starts), same).withColumn(name, F.col("_place") - F.col("_start") + 1)
+    placed = placed.join(starts, same).withColumn(name, F.col("_place") - F.col("_start") + 1)
     return usual.unionByName(placed.select(*df.columns, name))
 
 

@@ -176,9 +176,9 @@ def leader_groups(df: DataFrame, scope: str, digest: str, order: str, limit: int
         led = _lead_in_task(hashes, scope, digest, limit)
     else:
         same = F.col(scope).eqNullSafe(F.col(f"_hot_{scope}"))
-        small = hashes.join(F.broadcast(large), same, "left_anti")
+        small = hashes.join(large, same, "left_anti")
         led = _lead_in_task(small, scope, digest, limit).unionByName(
-            _lead_in_rounds(hashes.join(F.broadcast(large), same, "left_semi"), scope, digest, limit)
+            _lead_in_rounds(hashes.join(large, same, "left_semi"), scope, digest, limit)
         )
     led = staged(led, "leaders")
     sizes = led.groupBy(scope, "leader").agg(F.sum("copies").alias("_size")).filter("_size > 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_engine.operators import extract as op
+from catalog_engine.operators.numbering import spread_row_number
 from catalog_engine.plans.binding import bind
 
 
@@ -133,19 +134,28 @@ def _(t):
     return face.withColumn("themes", F.array_join("themes", "|")).withColumn("legends", F.array_join("legends", "|"))
 
 
+PAGE_ROWS = 500  # an order or a customer with more rows gets several pages, so that no document is unbounded
+
+
 def line_lists(t, item):
-    """One piece of markup per order, made of its lines in order."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
-    return lines.withColumn("body", F.array_join(F.transform("lines", item), ""))
+    """Pages of markup per order, made of its lines in order."""
+    line = ["l_returnflag", "l_linenumber", "l_partkey", "l_suppkey"]
+    placed = spread_row_number(t.lineitem.select("l_orderkey", *line), ["l_orderkey"], [F.col(c) for c in line], "n")
+    paged = placed.groupBy("l_orderkey", F.floor((F.col("n") - 1) / PAGE_ROWS).alias("page_no"))
+    lines = paged.agg(F.sort_array(F.collect_list(F.struct(*line))).alias("lines"))
+    return lines.withColumn("body", F.array_join(F.transform("lines", item), "")).withColumn("page", F.concat_ws("-", "l_orderkey", "page_no"))
+
+
+PAGED_SQL = """SELECT *, l_orderkey || '-' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey) - 1) // 500 AS page FROM lineitem"""
 
 
 @bind(
     "extract_period_sections",
-    """WITH s AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem),
-            n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS period_no FROM s)
-       SELECT n.l_orderkey, period_no, 'Period ' || n.l_returnflag AS period, '1 = ' || n.l_returnflag AS units, '/c/' || l_partkey AS href,
-         row_number() OVER (PARTITION BY l.l_orderkey, l.l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS link_no
-       FROM n JOIN lineitem l ON l.l_orderkey = n.l_orderkey AND l.l_returnflag = n.l_returnflag""",
+    f"""WITH p AS ({PAGED_SQL}), s AS (SELECT DISTINCT page, l_returnflag FROM p),
+            n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY l_returnflag) AS period_no FROM s)
+       SELECT n.page, period_no, 'Period ' || n.l_returnflag AS period, '1 = ' || n.l_returnflag AS units, '/c/' || l_partkey AS href,
+         row_number() OVER (PARTITION BY l.page, l.l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS link_no
+       FROM n JOIN p l ON l.page = n.page AND l.l_returnflag = n.l_returnflag""",
 )
 def _(t):
     def item(x):
@@ -155,7 +165,7 @@ def _(t):
     for flag in ("A", "N", "R"):
         header = f"<header><h2> Period {flag}</h2><p>1 = {flag}</p></header>"
         listing = listing.withColumn("body", F.regexp_replace("body", f"\u0003{flag}", header)).withColumn("body", F.expr(f"concat(substring_index(body, '{header}', 1), if(instr(body, '{header}') > 0, '{header}', ''), replace(substr(body, instr(concat(body, '{header}'), '{header}') + {len(header)}), '{header}', ''))"))
-    pages = listing.select("l_orderkey", F.concat(F.lit('<div><div class="description_piece"><strong><a href="/lost">x</a></strong></div>'), "body").alias("html"))
+    pages = listing.select("page", F.concat(F.lit('<div><div class="description_piece"><strong><a href="/lost">x</a></strong></div>'), "body").alias("html"))
     return op.extract_period_sections(pages, "html")
 
 
@@ -175,16 +185,17 @@ def _(t):
 
 @bind(
     "rewrite_refs",
-    """SELECT l_orderkey, string_agg('<img src="i/p' || CASE l_partkey % 6 WHEN 0 THEN l_partkey + 1 WHEN 1 THEN l_partkey - 1 WHEN 2 THEN 0 ELSE l_partkey END || '.jpg">', '' ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey) AS html
-       FROM lineitem GROUP BY l_orderkey""",
+    f"""SELECT page, string_agg('<img src="i/p' || CASE l_partkey % 6 WHEN 0 THEN l_partkey + 1 WHEN 1 THEN l_partkey - 1 WHEN 2 THEN 0 ELSE l_partkey END || '.jpg">', '' ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey) AS html
+       FROM ({PAGED_SQL}) GROUP BY page""",
 )
 def _(t):
-    docs = line_lists(t, lambda x: F.concat(F.lit('<img src="i/p'), x["l_partkey"].cast("string"), F.lit('.jpg">'))).select("l_orderkey", F.col("body").alias("html"))
-    kind = F.col("l_partkey") % 6
-    new = F.when(kind == 0, F.col("l_partkey") + 1).when(kind == 1, F.col("l_partkey") - 1).otherwise(0)
+    docs = line_lists(t, lambda x: F.concat(F.lit('<img src="i/p'), x["l_partkey"].cast("string"), F.lit('.jpg">'))).select("page", "lines", F.col("body").alias("html"))
+    used = docs.select("page", F.explode("lines.l_partkey").alias("p"))
+    kind = F.col("p") % 6
+    new = F.when(kind == 0, F.col("p") + 1).when(kind == 1, F.col("p") - 1).otherwise(0)
     name = lambda c: F.concat(F.lit("p"), c.cast("string"), F.lit(".jpg"))
-    mapping = t.lineitem.filter(kind < 3).select(F.col("l_orderkey").alias("k"), name(F.col("l_partkey")).alias("old"), name(new).alias("new"))
-    return op.rewrite_refs(docs, "l_orderkey", "html", mapping, "k", "old", "new")
+    mapping = used.filter(kind < 3).select(F.col("page").alias("k"), name(F.col("p")).alias("old"), name(new).alias("new"))
+    return op.rewrite_refs(docs.drop("lines"), "page", "html", mapping, "k", "old", "new")
 
 
 @bind(
@@ -280,11 +291,12 @@ def _(t):
 @bind(
     "flatten_nested_list",
     """SELECT c_custkey, 'n' || c_custkey AS slug, 'n' || c_custkey || '-1' AS raw_slug, c_name AS name, NULL AS parent_slug, c_mktsegment AS territory, 'tag_' || c_nationkey AS tags, c_nationkey % 2 = 0 AS historical
-       FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey
+       FROM customer JOIN (SELECT DISTINCT o_custkey, n // 500 FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)) ON o_custkey = c_custkey
        UNION ALL SELECT o_custkey, 'o' || o_orderkey, 'o' || o_orderkey, 'Order ' || o_orderkey, 'n' || o_custkey, NULL, '', false FROM orders JOIN customer ON c_custkey = o_custkey""",
 )
 def _(t):
-    orders = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    placed = spread_row_number(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], "n")
+    orders = placed.groupBy("o_custkey", F.floor((F.col("n") - 1) / PAGE_ROWS).alias("page_no")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
     item = lambda k: F.concat(F.lit('<li><a class="name" href="/catalogue/o'), k.cast("string"), F.lit('.html">Order '), k.cast("string"), F.lit("</a></li>"))
     named = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey")).withColumn("inner", F.array_join(F.transform("keys", item), ""))
     period = F.when(F.col("c_nationkey") % 2 == 0, " historical_period").otherwise("")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.tables import last_per_key
 from catalog_engine.plans.bind_extract import part_pages
 from catalog_engine.plans.binding import bind
 from catalog_engine.sources import addresses, catalog, files, sinks
@@ -167,8 +166,7 @@ def _(t):
 )
 def _(t):
     target, checkpoint = fresh_path(t.spark, "users"), fresh_path(t.spark, "progress")
-    seed = last_per_key(t.events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id").limit(1)
-    start = seed.select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("event_id"), F.lit("seed").alias("event_type"))
+    start = t.events.agg(F.count(F.lit(1))).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("event_id"), F.lit("seed").alias("event_type"))
     sinks.publish_buckets(sinks.in_buckets(start, ["user_id"], 8), target)
     feed = event_stream(t).select("user_id", "event_id", "event_type", F.col("event_id").alias("seen"))
     incremental.stream_upsert(feed, target, ["user_id"], ["event_id", "event_type"], checkpoint, "seen", buckets=8)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog_engine.operators import aggregates, filters, numbering, similar, tables, tree
+from catalog_engine.operators import aggregates, dataset, filters, numbering, similar, tables, tree
 from catalog_engine.operators.quality import parse_exceptions
 
 
@@ -28,6 +28,12 @@ def test_row_numbers_of_hot_groups(spark, keys, hot_rows):
     assert spread.exceptAll(plain).isEmpty()
 
 
+def test_running_minimum_of_a_long_run(spark):
+    rows = skewed(spark).withColumn("v", F.col("v") % 1000 - F.col("id"))
+    plain = dataset.improvements(rows, "k", "id", "v")
+    assert dataset.improvements(rows, "k", "id", "v", hot_rows=100).exceptAll(plain).isEmpty()
+
+
 def test_null_keys_stay_in_one_group(spark):
     rows = spark.range(300).select(F.when(F.col("id") % 2 == 0, 1).alias("k"), "id")
     spread = numbering.spread_row_number(rows, ["k"], [F.col("id")], "n", 100)
