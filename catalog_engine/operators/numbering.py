@@ -62,8 +62,8 @@ def spread_row_number(
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys of groups above ``hot_rows`` rows (at most total / hot_rows of them), or None when there are none."""
     sizes = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    hot = staged(sizes.filter(F.col("_n") > hot_rows).drop("_n"), "hot")
-    return None if hot.isEmpty() else hot
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    return staged(sizes.filter(F.col("_n") > hot_rows).drop("_n"), "hot") if largest > hot_rows else None
 
 
 def _same_keys(keys: list[str]) -> Column:

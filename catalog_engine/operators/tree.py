@@ -97,9 +97,20 @@ def leaf_paths(nodes: DataFrame, key: str, parent: str, name: str, keep: DataFra
     return leaves.select(key, F.array_join("names", PATH_SEPARATOR).alias("path"))
 
 
-def owner_of_path(nodes: DataFrame, key: str, parent: str, wanted) -> DataFrame:
-    """The path from the root down to one node."""
-    return tree_paths(nodes, key, parent).filter(F.col(key) == F.lit(wanted)).select(F.posexplode("ancestors").alias("step", key))
+def owner_of_path(nodes: DataFrame, key: str, parent: str, wanted, max_depth: int = 200) -> DataFrame:
+    """The path from the root down to one node, found by walking up from it: one scan per level and nothing to shuffle."""
+    links = nodes.select(key, F.col(parent).alias("_up"))
+    steps, seen = [staged(links.filter(F.col(key) == F.lit(wanted)), "path")], {wanted}
+    while len(steps) <= max_depth:
+        above = steps[-1].select(F.col("_up").alias("_next")).dropna()
+        step = staged(links.join(F.broadcast(above), F.col(key) == F.col("_next"), "left_semi"), "path")  # a single id
+        found = step.first()
+        if found is None or found[key] in seen:  # a root, or a loop of parents
+            break
+        seen.add(found[key])
+        steps.append(step)
+    numbered = [s.select(F.lit(i).alias("step"), key) for i, s in enumerate(reversed(steps))]
+    return reduce(lambda a, b: a.unionByName(b), numbered)
 
 
 def tree_filter_ancestors(nodes: DataFrame, key: str, parent: str, matches: Column) -> DataFrame:

@@ -188,6 +188,14 @@ def test_tree_paths(nodes):
     assert roots == {"r", "x"}  # an unknown parent makes a root, a loop hangs below none
 
 
+def test_path_to_one_node(nodes):
+    path = tree.owner_of_path(nodes, "id", "parent", "d").orderBy("step").collect()
+    assert [r["id"] for r in path] == ["r", "a", "c", "d"]
+    assert [r["id"] for r in tree.owner_of_path(nodes, "id", "parent", "x").collect()] == ["x"]
+    assert tree.owner_of_path(nodes, "id", "parent", "none").isEmpty()
+    assert tree.owner_of_path(nodes, "id", "parent", "y").count() == 2
+
+
 def test_both_filters_keep_more_than_ancestors(nodes):
     match = F.col("name") == "Cy"
     up = {r["id"] for r in tree.tree_filter_ancestors(nodes, "id", "parent", match).collect()}
