@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 from __spark_entry__ import entry, queries
 
 ROOT = "/root/testdata/sf0.001"
+PYTHON_QUERIES = {"flatten_nested_list", "leader_groups", "dhash64_image", "corner_stats", "score_batches", "html_rows"}
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["lookup_entity"](spark, ROOT)._jdf.queryExecution().toString()
@@ -22,3 +27,18 @@ def test_entry_returns_rows(spark):
     listing = entry(spark)
     assert listing.columns == ["o_orderkey", "o_custkey", "o_orderstatus", "face_a", "face_b"]
     assert listing.count() == 1500
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Python code runs in workers that cannot import the package, as on a cluster."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from __spark_entry__ import queries\n"
+        f"for name in {sorted(PYTHON_QUERIES)!r}:\n"
+        f"    queries()[name](spark, {ROOT!r}).write.format('noop').mode('overwrite').save()\n"
+    )
+    repo = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
