@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from __spark_entry__ import library_queries, oracle_sql, queries
 from tests.oracle import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
@@ -24,9 +24,9 @@ def test_every_oracle_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(library_queries()))
 def test_query_agrees_with_sql_and_has_a_sound_plan(spark, con, name):
-    df = queries()[name](spark, ROOT)
+    df = library_queries()[name](spark, ROOT)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:
