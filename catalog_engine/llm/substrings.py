@@ -259,11 +259,13 @@ def text_key(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text, F.length(text)), "k2": F.hash(text)}
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = SIZE) -> DataFrame:
-    """Columns ``keep`` with n_bytes, spans (ascending maximal removed ranges) and kept_text (the remaining bytes).
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = SIZE, as_text: bool = False) -> DataFrame:
+    """Columns ``keep`` with n_bytes, spans (ascending maximal removed ranges) and kept_text, the remaining bytes.
 
-    Every byte goes that is covered by a string of ``size`` bytes (at least 32) starting at another place too, in the same or another text,
-    equal rows included. Null counts as empty; a text shorter than ``size`` is never touched.
+    Every byte goes that is covered by a string of ``size`` bytes (at least 32) starting at another place too, in the same or
+    another text, equal rows included. Null counts as empty; a text shorter than ``size`` is never touched. With ``as_text``
+    the result is a string, without the remains of characters that lost a part of their bytes. Columns of the names added
+    must not be among ``keep``.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(body.alias("text")).withColumns(text_key(F.col("text"))).filter(F.octet_length("text") >= size)
@@ -284,8 +286,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
             cuts = [0, *[x for r in merged for x in (r["start"], r["end"])], len(raw)]
             sizes.append(len(raw))
             spans.append(merged)
-            rest.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
-        return [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())]
+            left = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+            rest.append(left.decode(errors="ignore") if as_text else left)
+        return [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.string() if as_text else pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,5 +297,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
     ranges = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", ranges), T.StructField("kept_text", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", ranges), T.StructField("kept_text", T.StringType() if as_text else T.BinaryType())])
     return joined.mapInArrow(run, schema)
