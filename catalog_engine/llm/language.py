@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], t
         else:
             best, first, second = decode(ngram_rows(part) @ weights[:-1] + weights[-1], code)
         label = [names[int(b)] if s else "und" for b, s in zip(best, spoken)]
-        return [pa.array(label, pa.string()), pa.array(np.where(spoken, first, 0.0).astype(np.float64)), pa.array(~spoken | (first - second < margin))]
+        return [pa.array(label, pa.string()), pa.array(np.round(np.where(spoken, first, 0.0).astype(np.float64), 9)), pa.array(~spoken | (first - second < margin))]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     return append(texts, "_text", keep or ["doc_id"], fields, kernel)

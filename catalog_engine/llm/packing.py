@@ -89,10 +89,10 @@ class Windows:
 
     def level_for(self, length: int) -> int:
         """The level whose use leaves the least sum of squares; of equal ones the fullest."""
-        after = self.count[length:].copy()
-        after[-1] = -1  # a full window is no longer counted
-        change = 2 * (after - self.count[: self.size - length + 1]) + 2
-        change[self.count[: self.size - length + 1] == 0] = np.iinfo(np.int64).max
+        before, after = self.count[: self.size - length + 1], self.count[length:]
+        change = 2 * (after - before) + 2
+        change[-1] = 1 - 2 * before[-1]  # a full window is no longer counted
+        change[before == 0] = np.iinfo(np.int64).max
         change[0] = 2 * after[0] + 1
         return len(change) - 1 - int(change[::-1].argmin())
 

@@ -176,6 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: object, text: str = "
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]], text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Columns ``keep`` and the probability of label 1; an empty or null text is scored like any other, as the empty text."""
+    """Columns ``keep`` and the probability of label 1; an empty or null text is scored like any other, as the empty text.
+    Scores are rounded, so that the same text has the same score in any batch."""
     words, network = model
-    return append(docs, text, keep or ["doc_id"], [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(probability(pooled(texts, words), network).astype(np.float64))])
+    return append(docs, text, keep or ["doc_id"], [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(np.round(probability(pooled(texts, words), network), 9))])

@@ -215,8 +215,9 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     Rows without key stay only if no row of their class has one. Of rows that repeat a key with the same fingerprint one stays.
     """
-    marked = staged(fingerprints(docs, text, docs.columns, "_fp"), "marked")
-    classes = near_classes(marked.select(key, "_fp"), key, "_fp")
-    winners = classes.filter("fp = first_word").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
-    kept = marked.join(winners, "_fp").filter(F.col(key).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_fp"]).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = staged(fingerprints(whole, "text", ["doc", "key"]), "marked")
+    classes = near_classes(marked.select("key", "fp"), "key")
+    winners = classes.filter("fp = first_word").select("fp", "component_id")
+    kept = marked.join(winners, "fp").filter(F.col("key").eqNullSafe(F.col("component_id")))
+    return kept.dropDuplicates(["fp"]).select("doc.*")
