@@ -19,7 +19,7 @@ from catalog_engine.llm.texts import append, kept
 
 NONE = np.int32(2**31 - 1)
 LONG_WORD = 192
-MOST_WORDS = 250_000
+MOST_WORDS = 100_000
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
 

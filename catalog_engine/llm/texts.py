@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 PIECE_ROWS = 512
 
 
