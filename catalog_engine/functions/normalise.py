@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html.entities
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -115,24 +115,44 @@ def _ascii(c: str) -> str:
 
 
 def _unescape(c: str) -> str:
-    """Named and numeric entities: cut the text into entities and other runs, replace the entities, join again."""
-    names = _as_map({name: chr(code) for name, code in html.entities.name2codepoint.items()})
-    pieces = f"regexp_extract_all({c}, r'(&#?[A-Za-z0-9]+;|[^&]+|&)', 1)"
+    """Named and numeric entities: cut the text into entities and other runs, replace the entities, join again.
+
+    All names of the HTML standard; those that it allows without a semicolon are also known without one.
+    """
+    names = _as_map({name: text for name, text in html.entities.html5.items()})
+    pieces = f"regexp_extract_all({c}, r'(&#?[A-Za-z0-9]+;?|[^&]+|&)', 1)"
     number = "CASE WHEN lower(substr(p, 3, 1)) = 'x' THEN try_cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS BIGINT) ELSE try_cast(substr(p, 3, length(p) - 3) AS BIGINT) END"
     numeric = f"try_cast(decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32') AS STRING)"
     piece = (
-        f"CASE WHEN p RLIKE r'^&#([0-9]{{1,6}}|[xX][0-9A-Fa-f]{{1,5}});$' THEN {numeric}"
-        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*;$' THEN coalesce(try_element_at({names}, substr(p, 2, length(p) - 2)), p)"
+        f"CASE WHEN p RLIKE r'^&#([0-9]{{1,7}}|[xX][0-9A-Fa-f]{{1,6}});$' THEN coalesce({numeric}, '\ufffd')"
+        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*;?$' THEN coalesce(try_element_at({names}, substr(p, 2)), p)"
         " ELSE p END"
     )
     return f"CASE WHEN instr({c}, '&') = 0 THEN {c} ELSE array_join(transform({pieces}, p -> {piece}), '') END"
 
 
+def unescaped(text: Column) -> Column:
+    """Entities resolved as in ``clean_text``, for a column that has no name."""
+    names = F.expr(_as_map(dict(html.entities.html5)))
+
+    def resolve(piece: Column) -> Column:
+        hexadecimal = F.lower(F.substring(piece, 3, 1)) == "x"
+        digits = F.regexp_extract(piece, r"[0-9A-Fa-f]+(?=;)", 0)
+        code = F.when(hexadecimal, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.coalesce(F.try_element_at(names, F.substr(piece, F.lit(2))), piece)
+        return F.when(piece.rlike(r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"), char).when(piece.rlike(r"^&[A-Za-z][A-Za-z0-9]*;?$"), named).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(&#?[A-Za-z0-9]+;?|[^&]+|&)"), F.lit(1))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")).otherwise(text)
+
+
 @normaliser("s")
 def clean_text(c: str) -> str:
     """Unescape entities, make special spaces plain, fraction slash to slash, collapse white space, trim."""
-    # No-break, narrow no-break, thin, figure space, word joiner, byte order mark; then the fraction slash.
-    special, plain = "\u00a0\u202f\u2009\u2007\u2060\ufeff\u2044", "      /"
+    # No-break, narrow no-break, thin, figure, em and ideographic space, word joiner, byte order mark; then the
+    # fraction slash.
+    special, plain = "\u00a0\u202f\u2009\u2007\u2003\u3000\u2060\ufeff\u2044", "        /"
     return rf"trim(regexp_replace(translate({_unescape(c)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
 
 
@@ -321,13 +341,43 @@ def null_if_unknown(c: str, mode: str = "any") -> str:
 
 # Known titles in priority order.
 TITLES = (
-    "Emperor|King|Regent|Queen|Archbishop|Grand duke|Empress|Bishop|Duke|Administrator|Prince-archbishop|Prince|Emir|Count|"
-    "Margrave|Governor|Prince-bishop|Sultan|Shah|Lord|Landgrave|Duchess|Co-prince|Ban|Prince-abbot|Prince elector|Countess|"
-    "Prime minister|Lady|Abbess|Princess|Vizier|Abbot"
-).split("|")
-
-
-def _title_forms(titles: list[str]) -> list[str]:
+    "Emperor",
+    "King",
+    "Regent",
+    "Queen",
+    "Archbishop",
+    "Grand duke",
+    "Empress",
+    "Bishop",
+    "Duke",
+    "Administrator",
+    "Prince-archbishop",
+    "Prince",
+    "Emir",
+    "Count",
+    "Margrave",
+    "Governor",
+    "Prince-bishop",
+    "Sultan",
+    "Shah",
+    "Lord",
+    "Landgrave",
+    "Duchess",
+    "Co-prince",
+    "Ban",
+    "Prince-abbot",
+    "Prince elector",
+    "Countess",
+    "Prime minister",
+    "Lady",
+    "Abbess",
+    "Princess",
+    "Vizier",
+    "Abbot",
+)
+
+
+def _title_forms(titles: Sequence[str]) -> list[str]:
     """Each title as written and, where that differs, with every word capitalised."""
     forms: list[str] = []
     for title in titles:

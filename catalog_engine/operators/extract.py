@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from catalog_engine.functions import normalise as n
 from catalog_engine.functions.arrays import let
 
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+# an address in quotes or without
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?((?<=["'])[^"']*|(?<!["'])[^\s>"']+)["']?[^>]*>(.*?)</a>"""
 
 
 def pieces(text: Column | str, pattern: str, group: int = 1) -> Column:
@@ -37,20 +38,11 @@ def element(tag: str, attribute: str = "", value: str = "") -> str:
     return rf"(?is)<{tag}\b{mark}[^>]*>(.*?)</{tag}>"
 
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-
-
 def inner_text(markup: Column, separator: str = " ") -> Column:
-    """Text nodes of a fragment, each trimmed, joined by the separator; frequent entities resolved."""
-
-    def resolve(text: Column) -> Column:
-        for entity, char in _ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return text
-
+    """Text nodes of a fragment, each trimmed, joined by the separator; entities resolved."""
     joined = F.regexp_replace(markup, r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
     plain = F.btrim(joined, F.lit(" \t\n\r" + separator))
-    return let(plain, lambda text: F.when(F.contains(text, F.lit("&")), resolve(text)).otherwise(text))
+    return let(plain, n.unescaped)
 
 
 def squeeze(text: Column) -> Column:
@@ -128,8 +120,8 @@ def extract_links(pages: DataFrame, html: str, like: str = "%") -> DataFrame:
     """Anchors with their place in the page, address and text."""
     links = F.arrays_zip(pieces(html, ANCHOR, 1).alias("href"), pieces(html, ANCHOR, 2).alias("inner"))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(links).alias("_pos", "_link"))
-    wanted = rows.filter(F.col("_link.href").like(like))
-    return wanted.select("*", (F.col("_pos") + 1).alias("ordinal"), "_link.href", squeeze(inner_text(F.col("_link.inner"))).alias("text")).drop("_pos", "_link")
+    wanted = rows.withColumn("href", n.unescaped(F.col("_link.href"))).filter(F.col("href").like(like))
+    return wanted.select(*[c for c in rows.columns if c not in ("_pos", "_link")], (F.col("_pos") + 1).alias("ordinal"), "href", squeeze(inner_text(F.col("_link.inner"))).alias("text"))
 
 
 # --- images ----------------------------------------------------------------------------------------------------------
@@ -325,12 +317,14 @@ def rewrite_refs(docs: DataFrame, key: str, html: str, mapping: DataFrame, map_k
 
 def remove_block(docs: DataFrame, html: str, needle: str, opening: str, closing: str) -> DataFrame:
     """Delete the smallest block around the first needle; a document without it stays as it is."""
-    low = F.lower(html)
+    # capitals of A-Z only: lower-casing others can change the length of the text
+    plain = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = plain(F.col(html))
     at = F.instr(low, needle.lower())
     before = F.left(F.col(html), at - 1)
-    tail = F.instr(F.reverse(F.lower(before)), opening[::-1].lower())
+    tail = F.instr(F.reverse(plain(before)), opening[::-1].lower())
     start = at - tail - len(opening) + 1
-    end = F.expr(f"locate({n.literal(closing.lower())}, lower({html}), greatest(instr(lower({html}), {n.literal(needle.lower())}), 1))")
+    end = F.call_function("locate", F.lit(closing.lower()), low, F.greatest(at, F.lit(1)))
     cut = F.concat(F.left(F.col(html), start - 1), F.col(html).substr(end + len(closing), F.length(html)))
     return docs.withColumn(html, F.when((at > 0) & (tail > 0) & (end > 0), cut).otherwise(F.col(html)))
 
@@ -482,7 +476,7 @@ def flatten_nested_list(pages: DataFrame, key: str, markup: str) -> DataFrame:
         for batch in batches:
             rows = []
             for page, text in zip(batch[key], batch[markup], strict=True):
-                for record in _read_list(text):
+                for record in _read_list(text or ""):
                     texts = {f: " ".join(record[f].split()) or None for f in ("raw_name", "territory", "alt_names")}
                     rows.append({**record, **texts, key: page, "name": (texts["raw_name"] or "").rstrip(",").strip() or None})
             yield pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in NODE_SCHEMA.split(", ")]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.functions.normalise import fold_text
+from catalog_engine.functions.normalise import fold_text, literal
 from catalog_engine.operators.numbering import spread_row_number
 
 
@@ -37,7 +37,7 @@ def search_word_prefix(df: DataFrame, column: str, text: str | None) -> DataFram
     """Rows whose folded text, or any word of it, starts with the folded search text."""
     if not text or not text.strip():
         return df
-    wanted = fold_text(f"'{text}'")
+    wanted = fold_text(literal(text))
     # a word starts either at the beginning or after the single separating space
     return df.filter(F.contains(F.concat(F.lit(" "), fold_text(column)), F.concat(F.lit(" "), wanted)))
 

@@ -89,8 +89,12 @@ def resample(mode: str = "luma", left: float = 0.0, right: float = 1.0) -> Calla
     def brightness(frame: pd.DataFrame) -> pd.Series:
         out = []
         for height, width, channels, data in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"], strict=True):
+            if data is None or not (height > 0 and width > 0):  # no picture, or one that could not be read
+                out.append(None)
+                continue
+            height, width, channels = int(height), int(width), int(channels)
             start, stop = int(width * left), int(width * right)
-            if height <= 0 or width <= 0 or stop <= start:
+            if stop <= start:
                 out.append(None)
                 continue
             pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)[:, start:stop].astype(np.float64)
@@ -292,8 +296,8 @@ def detect_swaps(samples: DataFrame, group: str, is_reference: Column, row_id: s
 
 
 def resolution(width: str, height: str) -> Column:
-    """Number of pixels, 0 when unreadable."""
-    return F.greatest(F.coalesce(F.col(width).cast("bigint") * F.col(height), F.lit(0)), F.lit(0)).cast("bigint")
+    """Number of pixels, 0 when unreadable: unless both sides are positive."""
+    return F.when((F.col(width) > 0) & (F.col(height) > 0), F.col(width).cast("bigint") * F.col(height)).otherwise(0).cast("bigint")
 
 
 def is_holder(width: str, height: str) -> Column:
@@ -321,9 +325,10 @@ def corner_stats(size: int = 20) -> Callable[[str], Column]:
     def spread(frame: pd.DataFrame) -> pd.Series:
         out = []
         for height, width, channels, data in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"], strict=True):
-            if height <= 0 or width <= 0:
+            if data is None or not (height > 0 and width > 0):
                 out.append(None)
                 continue
+            height, width, channels = int(height), int(width), int(channels)
             p = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
             corners = (p[:size, :size], p[:size, -size:], p[-size:, :size], p[-size:, -size:])
             out.append(float(np.mean([np.std(c) for c in corners])))
@@ -350,11 +355,11 @@ def split_position(width: Column, boxes: str, peak: Callable[[Column, Column], C
 # --- model scoring ---------------------------------------------------------------------------------------------------
 
 
-def score_batches(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+def score_batches(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a user's batch model over all partitions; it is loaded once per task.
 
     ``load`` returns a function from a batch to a frame with the schema's columns. A failing batch yields one row per input
-    row with NULL results and the message in ``error``.
+    row with NULL results, the message in ``error`` and the row's ``keys``, which are columns of the input and of the schema.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,7 +369,7 @@ def score_batches(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.
                 model = model or load()
                 yield model(batch).assign(error=None)
             except Exception as problem:  # reported as data, the job goes on
-                yield pd.DataFrame({"error": [str(problem)] * len(batch)})
+                yield batch[list(keys)].assign(error=str(problem))
 
     names = [field.split()[0] for field in schema.split(",")]
 

@@ -15,10 +15,13 @@ def _on(keys: list[str], left: str = "t", right: str = "s") -> Column:
 
 
 def last_per_key(source: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One source row per key, the one with the highest ``order``."""
+    """One source row per key, the one with the highest ``order``; without an order the greatest by its values."""
     rest = [c for c in source.columns if c not in keys and c != order]
+    if not rest:
+        return source.select(*keys).distinct()
     if order is None:
-        return source.dropDuplicates(keys)
+        last = source.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_last"))
+        return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
     last = source.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
@@ -41,7 +44,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Add rows with new keys only."""
-    fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    fresh = last_per_key(source, keys, None).select(*source.columns).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
 
@@ -74,9 +77,22 @@ def replace_children(target: DataFrame, source: DataFrame, key: str) -> DataFram
     return target.join(touched, key, "left_anti").select(*target.columns).unionByName(source, allowMissingColumns=True)
 
 
-def coalesce_update(target: DataFrame, source: DataFrame, key: str, keep: list[str], overwrite: list[str] = ()) -> DataFrame:
-    """For keys in the source: ``keep`` columns change only to a present value, ``overwrite`` columns always."""
-    joined = target.alias("t").join(source.withColumn("_in", F.lit(True)).alias("s"), _on([key]), "left")
+def coalesce_update(target: DataFrame, source: DataFrame, key: str, keep: list[str], overwrite: list[str] = (), order: str | None = None) -> DataFrame:
+    """For keys in the source: ``keep`` columns change only to a present value, ``overwrite`` columns always.
+
+    Empty text is not present. Of several source rows for a key the last present value counts, by ``order`` or else the
+    greatest, so the number of target rows never changes.
+    """
+    text = {f.name for f in source.schema if f.dataType.typeName() == "string"}
+    place = [F.col(order).alias("_place")] if order else []
+
+    def last(name: str) -> Column:
+        value = F.nullif(name, F.lit("")) if name in text and name in keep else F.col(name)
+        seen = F.struct(*place, value.alias("_value"))
+        return F.max(F.when(value.isNotNull(), seen) if name in keep else seen)["_value"].alias(name)
+
+    latest = source.groupBy(key).agg(F.lit(True).alias("_in"), *[last(c) for c in [*keep, *overwrite]])
+    joined = target.alias("t").join(latest.alias("s"), _on([key]), "left")
 
     def column(name: str) -> Column:
         if name in keep:
@@ -89,11 +105,12 @@ def coalesce_update(target: DataFrame, source: DataFrame, key: str, keep: list[s
 
 
 def append_info(target: DataFrame, source: DataFrame, key: str, column: str, separator: str = "; ") -> DataFrame:
-    """Append a note unless the list already holds it, so running twice changes nothing."""
-    joined = target.alias("t").join(source.select(key, F.col(column).alias("_note")).alias("s"), _on([key]), "left")
-    current, note = F.nullif(f"t.{column}", F.lit("")), F.nullif("_note", F.lit(""))
-    new = note.isNotNull() & ~F.coalesce(F.array_contains(F.split(current, separator), note), F.lit(False))
-    merged = F.when(new, F.concat_ws(separator, current, note)).otherwise(F.col(f"t.{column}")).alias(column)
+    """Append the notes of a key, in order of their text, unless the list already holds them; running twice changes nothing."""
+    notes = source.groupBy(key).agg(F.array_sort(F.collect_set(F.nullif(column, F.lit("")))).alias("_notes"))
+    joined = target.alias("t").join(notes.alias("s"), _on([key]), "left")
+    current = F.nullif(f"t.{column}", F.lit(""))
+    fresh = F.array_except("_notes", F.coalesce(F.split(current, separator), F.array().cast("array<string>")))
+    merged = F.when(F.size(fresh) > 0, F.concat_ws(separator, current, F.array_join(fresh, separator))).otherwise(F.col(f"t.{column}")).alias(column)
     return joined.select(*[merged if c == column else F.col(f"t.{c}") for c in target.columns])
 
 
@@ -149,9 +166,13 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, entity: str,
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in target.columns])
 
 
-def assign_owner(items: DataFrame, assignments: DataFrame, keys: list[str], owner: str = "owner_id", manual: str = "is_manual") -> DataFrame:
-    """Set (or, with NULL, clear) the owner by hand, for single rows or for a whole group addressed by several keys."""
-    joined = items.alias("t").join(assignments.select(*keys, F.col(owner).alias("_owner"), F.lit(True).alias("_in")).alias("s"), _on(keys), "left")
+def assign_owner(items: DataFrame, assignments: DataFrame, keys: list[str], owner: str = "owner_id", manual: str = "is_manual", order: str | None = None) -> DataFrame:
+    """Set (or, with NULL, clear) the owner by hand, for single rows or for a whole group addressed by several keys.
+
+    Of several assignments for the same keys the last by ``order`` counts, else the one with the greatest owner.
+    """
+    latest = last_per_key(assignments.select(*keys, F.col(owner).alias("_owner"), *([order] if order else [])), keys, order)
+    joined = items.alias("t").join(latest.withColumn("_in", F.lit(True)).alias("s"), _on(keys), "left")
     new = {owner: F.when(F.col("_in"), F.col("_owner")).otherwise(F.col(f"t.{owner}")), manual: F.when(F.col("_in"), 1).otherwise(F.col(f"t.{manual}"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"t.{c}") for c in items.columns])
 
@@ -162,9 +183,13 @@ def cascade_delete(parents: DataFrame, children: DataFrame, key: str, child_key:
     return parents.join(gone, F.col(key) == F.col("_gone"), "left_anti"), children.join(gone, F.col(child_key) == F.col("_gone"), "left_anti")
 
 
-def bulk_update(target: DataFrame, updates: DataFrame, key: str, columns: list[str], fixed: str) -> DataFrame:
-    """Overwrite columns for many keys and mark as fixed the rows in which anything really changed."""
-    joined = target.alias("t").join(updates.withColumn("_in", F.lit(True)).alias("s"), _on([key]), "left")
+def bulk_update(target: DataFrame, updates: DataFrame, key: str, columns: list[str], fixed: str, order: str | None = None) -> DataFrame:
+    """Overwrite columns for many keys and mark as fixed the rows in which anything really changed.
+
+    Of several updates for a key the last by ``order`` counts, else the greatest by its values.
+    """
+    latest = last_per_key(updates.select(key, *columns, *([order] if order else [])), [key], order)
+    joined = target.alias("t").join(latest.withColumn("_in", F.lit(True)).alias("s"), _on([key]), "left")
     text = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit(""))
     changed = F.col("_in") & reduce(lambda a, b: a | b, [text("t", c) != text("s", c) for c in columns])
 

@@ -26,47 +26,30 @@ def resolve_slug_parents(nodes: DataFrame, key: str, slug: str, parent_slug: str
     return nodes.join(first, F.col(parent_slug) == F.col("_slug"), "left").drop("_slug")
 
 
-def tree_paths(nodes: DataFrame, key: str, parent: str, carry: dict[str, Column] | None = None, max_depth: int = 200) -> DataFrame:
+def tree_paths(nodes: DataFrame, key: str, parent: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """Add ``depth``, ``root_id``, ``ancestors`` (root to self) and, per ``carry`` item, its values along that path.
 
-    A node whose parent is missing or unknown is a root.
+    A node whose parent is missing or unknown is a root; nodes that reach none, because their parents form a loop, are left
+    out. Every node holds a piece of its path and the node above that piece; each round puts the piece of that node before its
+    own, so a tree of depth d takes log2(d) rounds.
     """
     carry = carry or {}
-    base = nodes.select("*", *[c.alias(f"_own_{n}") for n, c in carry.items()])
     known = nodes.select(F.col(key).alias("_known")).distinct()
-    roots = base.join(known, F.col(parent) == F.col("_known"), "left_anti")
-
-    def shape(df: DataFrame, above: bool) -> DataFrame:
-        def path(own: Column, name: str) -> Column:
-            return F.concat(F.col(f"_up_{name}"), F.array(own)) if above else F.array(own)
-
-        return df.select(
-            *nodes.columns,
-            *[F.col(f"_own_{n}") for n in carry],
-            (F.col("_up_depth") + 1 if above else F.lit(0)).alias("depth"),
-            (F.col("_up_root") if above else F.col(key)).alias("root_id"),
-            path(F.col(key), "ancestors").alias("ancestors"),
-            *[path(F.col(f"_own_{n}"), n).alias(n) for n in carry],
-        )
-
-    def below(children: DataFrame, paths: DataFrame) -> DataFrame:
-        above = paths.select(
-            F.col(key).alias("_up_key"), F.col("depth").alias("_up_depth"), F.col("root_id").alias("_up_root"),
-            F.col("ancestors").alias("_up_ancestors"), *[F.col(n).alias(f"_up_{n}") for n in carry],
-        )
-        return shape(children.join(above, F.col(parent) == F.col("_up_key")), True)
-
-    parents = nodes.select(F.col(parent).alias("_parent")).dropna().distinct()
-    has_children = F.col(key) == F.col("_parent")
-    inner = base.join(parents, has_children, "left_semi")
-    levels = [staged(shape(roots.join(parents, has_children, "left_semi"), False), "tree")]
-    while len(levels) <= max_depth:
-        level = staged(below(inner, levels[-1]), "tree")
-        if level.isEmpty():
+    linked = nodes.join(known, F.col(parent) == F.col("_known"), "left")
+    lists = ["ancestors", *carry]
+    state = staged(linked.select(*nodes.columns, F.col("_known").alias("_above"), F.array(key).alias("ancestors"), *[F.array(c).alias(n) for n, c in carry.items()]), "tree")
+    waiting = state.filter("_above IS NOT NULL").count()
+    while waiting:
+        above = state.select(F.col(key).alias("_key"), F.col("_above").alias("_next"), *[F.col(n).alias(f"_up_{n}") for n in lists])
+        joined = state.join(above, F.col("_above") == F.col("_key"), "left")
+        longer = [F.when(F.col("_key").isNull(), F.col(n)).otherwise(F.concat(f"_up_{n}", n)).alias(n) for n in lists]
+        state = staged(joined.select(*nodes.columns, F.col("_next").alias("_above"), *longer), "tree")
+        left = state.filter("_above IS NOT NULL").count()
+        if left == waiting:  # as long as a path is unfinished, a shorter one gets finished; so these are loops
             break
-        levels.append(level)
-    walked = reduce(lambda a, b: a.unionByName(b), levels)
-    return shape(roots, False).unionByName(below(base, walked)).drop(*[f"_own_{n}" for n in carry])
+        waiting = left
+    done = state.filter("_above IS NULL")
+    return done.select(*nodes.columns, (F.size("ancestors") - 1).alias("depth"), F.get("ancestors", F.lit(0)).alias("root_id"), *lists)
 
 
 def tree_closure(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
@@ -97,11 +80,11 @@ def leaf_paths(nodes: DataFrame, key: str, parent: str, name: str, keep: DataFra
     return leaves.select(key, F.array_join("names", PATH_SEPARATOR).alias("path"))
 
 
-def owner_of_path(nodes: DataFrame, key: str, parent: str, wanted, max_depth: int = 200) -> DataFrame:
+def owner_of_path(nodes: DataFrame, key: str, parent: str, wanted) -> DataFrame:
     """The path from the root down to one node, found by walking up from it: one scan per level and nothing to shuffle."""
     links = nodes.select(key, F.col(parent).alias("_up"))
     steps, seen = [staged(links.filter(F.col(key) == F.lit(wanted)), "path")], {wanted}
-    while len(steps) <= max_depth:
+    while True:
         above = steps[-1].select(F.col("_up").alias("_next")).dropna()
         step = staged(links.join(F.broadcast(above), F.col(key) == F.col("_next"), "left_semi"), "path")  # a single id
         found = step.first()

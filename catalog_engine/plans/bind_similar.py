@@ -179,7 +179,7 @@ def _(t):
 @bind("resolution", "SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 0 ELSE 64 END::BIGINT AS pixels FROM embeddings")
 def _(t):
     images = pictures(byte_rows(t), 8, 8, same_cell).select("vec_id", "image.width", "image.height")
-    return images.select("vec_id", F.when(F.col("width") < 0, 0).otherwise(op.resolution("width", "height")).alias("pixels"))
+    return images.select("vec_id", op.resolution("width", "height").alias("pixels"))
 
 
 @bind(

@@ -30,12 +30,6 @@ def _(t):
     return files.listing_columns(t.pages.select("page_id", "url"), "url").select("page_id", "dir", "name", "ext")
 
 
-@bind("scan_table_files")
-def _(t):
-    """Listing of the given table files themselves; their bodies are not read."""
-    return files.scan_listing(t.spark, t.root, ["parquet"]).select("name", "ext", "length")
-
-
 @bind("read_json_rows", "SELECT event_id, (props->>'k')::BIGINT AS k, event_type FROM events")
 def _(t):
     path = sinks.write_report(t.events.select("event_id", "event_type", F.from_json("props", "k long").alias("props")), fresh_path(t.spark, "json"), "json")
@@ -51,8 +45,7 @@ def _(t):
     rows = t.customer.select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("n"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("k"))
     path = fresh_path(t.spark, "csv")
     rows.write.option("header", True).option("escape", '"').csv(path)
-    read = t.spark.read.schema("id long, name string, nation int").option("header", True).option("enforceSchema", True).option("escape", '"').option("mode", "FAILFAST")
-    return read.csv(path)
+    return files.read_catalog_csv(t.spark, path, "id long, name string, nation int")
 
 
 @bind(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_engine.functions.normalise import folder_id, folder_slug
+from catalog_engine.operators.numbering import global_row_number
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 
@@ -47,16 +50,21 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON lines, or a file holding one array or object."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).select(F.left(F.trim("value"), F.lit(1)).alias("c"), F.right(F.trim("value"), F.lit(1)).alias("z")).first()
-    one_document = first is not None and (first["c"] == "[" or first["z"] not in ("}",))
-    return reader.option("multiLine", one_document).json(path)
+    """JSON lines, or files that hold one array or object each; every file of a folder is judged by its own first line."""
+    reader = lambda: spark.read.schema(schema) if schema is not None else spark.read
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place")).filter("line <> ''")
+    first = lines.groupBy("file").agg(F.min_by("line", "place").alias("line"))
+    shapes = first.select("file", (F.col("line").startswith("[") | ~F.col("line").endswith("}")).alias("whole")).collect()  # a row per file
+    parts = [reader().option("multiLine", whole).json([r["file"] for r in shapes if r["whole"] == whole]) for whole in {r["whole"] for r in shapes}]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else reader().json(path)
 
 
 def read_catalog_csv(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
-    """Delimited text with a header; the schema is applied by position, so repeated header names do no harm."""
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    """Delimited text with a header; the schema is applied by position, so repeated header names do no harm.
+
+    A quote inside a quoted field is doubled, and such a field may hold line ends.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     return reader.csv(path)
 
 
@@ -71,8 +79,10 @@ def progress_entries(lines: DataFrame, line: str) -> DataFrame:
 
 def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
     """The progress log in file order, with ``line_no``; its last entry is the resume point."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return progress_entries(lines, "value")
+    place = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()]).filter(F.trim("value") != "")
+    numbered = global_row_number(lines, [F.col(n) for n in place], "line_no").select("value", "line_no")
+    return progress_entries(numbered, "value")
 
 
 def last_entry(log: DataFrame, order: str = "line_no") -> DataFrame:

@@ -53,11 +53,6 @@ def stream_dedup(stream: DataFrame, keys: list[str], event_time: str | None = No
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run any batch job over what is new."""
-    _run(stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
-
-
 def high_water(df: DataFrame, key: str, last: int, existing: DataFrame, existing_key: str) -> DataFrame:
     """Ids above the last one handled that are not stored yet."""
     known = existing.select(F.col(existing_key).alias("_known")).distinct()

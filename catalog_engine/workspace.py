@@ -30,14 +30,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, for results that several branches reuse."""
     path = fresh_path(df.sparkSession, label)

@@ -164,3 +164,14 @@ def test_stream_dedup_with_event_time(spark, tmp_path):
     unique = incremental.stream_dedup(incremental.file_stream(spark, inbox, rows.schema), ["k"], "ts", "1 hour")
     incremental.ingest_incremental(unique, str(tmp_path / "out"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_every_json_file_is_judged_by_itself(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k": 1},\n {"k": 2}]')
+    (tmp_path / "b.json").write_text('{"k": 3}\n{"k": 4}\n')
+    assert sorted(r["k"] for r in files.read_json_rows(spark, str(tmp_path), "k long").collect()) == [1, 2, 3, 4]
+
+
+def test_csv_with_doubled_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"a ""b"", c"\n2,"two\nlines"\n')
+    assert [tuple(r) for r in files.read_catalog_csv(spark, str(tmp_path), "id long, name string").orderBy("id").collect()] == [(1, 'a "b", c'), (2, "two\nlines")]

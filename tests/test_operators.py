@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog_engine.operators import aggregates, dataset, filters, numbering, similar, tables, tree
+from catalog_engine.functions.normalise import clean_text
+from catalog_engine.operators import aggregates, dataset, extract, filters, numbering, similar, tables, tree
 from catalog_engine.operators.quality import parse_exceptions
 
 
@@ -207,3 +208,37 @@ def test_slug_parents_take_the_lowest_id(spark):
     rows = spark.createDataFrame([(1, "s", None), (2, "s", None), (3, "t", "s"), (4, "u", "gone")], "id long, slug string, up string")
     resolved = {r["id"]: r["parent_id"] for r in tree.resolve_slug_parents(rows, "id", "slug", "up").collect()}
     assert resolved == {1: None, 2: None, 3: 1, 4: None}
+
+
+def test_updates_never_multiply_rows(spark):
+    target = spark.createDataFrame([(1, "a", None, 0), (2, "b", "x", 0), (3, "c", "y; z", 0)], "id long, name string, info string, is_manual int")
+    source = spark.createDataFrame([(1, "", "n", 1), (1, "q", "m", 2), (3, "", "z", 1), (3, "r", "w", 2), (9, "s", "v", 1)], "id long, name string, info string, at int")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tables.coalesce_update(target, source, "id", ["name"], order="at")) == [(1, "q", None, 0), (2, "b", "x", 0), (3, "r", "y; z", 0)]
+    assert rows(tables.append_info(target, source, "id", "info")) == [(1, "a", "m; n", 0), (2, "b", "x", 0), (3, "c", "y; z; w", 0)]
+    assert rows(tables.bulk_update(target, source, "id", ["name"], "is_manual", "at")) == [(1, "q", None, 1), (2, "b", "x", 0), (3, "r", "y; z", 1)]
+    owners = spark.createDataFrame([(1, 7, 1), (1, 5, 2)], "id long, owner_id long, at int")
+    assert rows(tables.assign_owner(target.withColumn("owner_id", F.lit(0).cast("long")), owners, ["id"], order="at").select("id", "owner_id", "is_manual")) == [(1, 5, 1), (2, 0, 0), (3, 0, 0)]
+
+
+def test_deep_trees_keep_all_nodes_and_loops_end(spark):
+    nodes = spark.createDataFrame([(k, k - 1 if k else None) for k in range(300)] + [(900, 901), (901, 900), (902, 901), (903, 903)], "id long, parent_id long")
+    found = {r["id"]: r for r in tree.tree_paths(nodes, "id", "parent_id").collect()}
+    assert len(found) == 300 and all(found[k]["depth"] == k and found[k]["ancestors"] == list(range(k + 1)) for k in range(300))
+    assert tree.owner_of_path(nodes.filter("id < 250"), "id", "parent_id", 249).count() == 250
+
+
+def test_entities_and_open_addresses(spark):
+    page = spark.createDataFrame([(1, "<a href=/x?a=1&amp;b=2>Gro&szlig; &eacute; &apos;&#x1F600; &lt</a> <a href='/y'>&nosuch; &</a>")], "id long, html string")
+    assert [(r["href"], r["text"]) for r in extract.extract_links(page, "html").orderBy("ordinal").collect()] == [("/x?a=1&b=2", "Groß é '😀 <"), ("/y", "&nosuch; &")]
+    assert spark.createDataFrame([("&apos;a\u2003\u3000b &lt",)], "s string").select(clean_text("s")).first()[0] == "'a b <"
+
+
+def test_search_text_may_hold_quotes(spark):
+    df = spark.createDataFrame([("Louis d'or",), ("dorado",)], "name string")
+    assert [r[0] for r in filters.search_word_prefix(df, "name", "d'or").collect()] == ["Louis d'or"]
+
+
+def test_block_is_cut_where_lower_case_is_longer(spark):
+    df = spark.createDataFrame([("İİİ<div>x NEEDLE y</DIV>rest",)], "html string")
+    assert extract.remove_block(df, "html", "needle", "<div>", "</div>").first()[0] == "İİİrest"
