@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from catalog_engine.llm.texts import kept, pieces
 
 WINDOW = 4096
-MOST_WORDS = 100_000
+MOST_WORDS = 160_000
 #: letters, then signs of ASCII without the apostrophe: the tokenizer always parts the two
 LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
 
