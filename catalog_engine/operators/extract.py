@@ -38,6 +38,55 @@ def element(tag: str, attribute: str = "", value: str = "") -> str:
     return rf"(?is)<{tag}\b{mark}[^>]*>(.*?)</{tag}>"
 
 
+def _start(tag: str, attribute: str, value: str) -> str:
+    """Pattern of a start tag, optionally with an attribute that holds a word."""
+    mark = rf"""[^>]*\b{attribute}\s*=\s*["']?(?<=["'\s=])(?:[^"'>]*\s)?{re.escape(value)}(?=["'\s>/])""" if attribute else r"(?=[\s>/])"
+    return rf"<{tag}\b{mark}[^>]*>"
+
+
+def _end_of(tail: Column, tag: str) -> Column:
+    """Where the element that ``tail`` begins with ends: the characters before its closing tag, nested ones of its kind counted."""
+    tags = F.split(tail, rf"(?i)(?=</?{tag}\b)")
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(-1).alias("end"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece.rlike(rf"(?i)^</{tag}\b"), -1).when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+        closes = (at["end"] < 0) & (depth == 0) & (at["read"] > 0)
+        return F.struct(depth.alias("depth"), (at["read"] + F.length(piece)).alias("read"), F.when(closes, at["read"]).otherwise(at["end"]).alias("end"))
+
+    return F.aggregate(tags, begin, step, lambda at: F.when(at["end"] < 0, at["read"]).otherwise(at["end"]))
+
+
+def _element_at_start(tail: Column, tag: str) -> Column:
+    """(start tag, content, rest from the closing tag on) of the element that the text begins with."""
+
+    def cut(tail: Column, end: Column) -> Column:
+        start = F.regexp_extract(tail, r"^<[^>]*>", 0)
+        inner = F.substring(tail, F.length(start) + 1, F.greatest(end - F.length(start), F.lit(0)))
+        return F.struct(start.alias("start"), inner.alias("inner"), F.substring(tail, end + 1, F.length(tail)).alias("rest"))
+
+    return let(tail, lambda t: let(_end_of(t, tag), lambda e: cut(t, e)))
+
+
+def region(text: Column | str, tag: str, attribute: str = "", value: str = "") -> Column:
+    """Content of the first such element up to its own closing tag; NULL without one."""
+    return _element_at_start(part(text, rf"(?is)({_start(tag, attribute, value)}.*)"), tag)["inner"]
+
+
+def regions(text: Column | str, tag: str, attribute: str, value: str) -> Column:
+    """Contents of all such elements (one inside another counts by itself), as an array."""
+    start = _start(tag, attribute, value)
+    runs = F.filter(F.split(text, rf"(?is)(?={start})"), lambda p: p.rlike(rf"(?is)^{start}"))
+    return F.transform(runs, lambda p: _element_at_start(p, tag)["inner"])
+
+
+def without(text: Column | str, tag: str, attribute: str, value: str) -> Column:
+    """The text with all such elements removed, nested content included."""
+    start = _start(tag, attribute, value)
+    rest = lambda p: F.regexp_replace(_element_at_start(p, tag)["rest"], r"(?i)^</[^>]*>", "")
+    return F.array_join(F.transform(F.split(text, rf"(?is)(?={start})"), lambda p: F.when(p.rlike(rf"(?is)^{start}"), rest(p)).otherwise(p)), "")
+
+
 def inner_text(markup: Column, separator: str = " ") -> Column:
     """Text nodes of a fragment, each trimmed, joined by the separator; entities resolved."""
     joined = F.regexp_replace(markup, r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
@@ -70,9 +119,10 @@ def extract_fields(pages: DataFrame, html: str, labels: list[str], separator: st
     """Long table (label, value): the cell after the first header cell holding the label, or after such a plain cell."""
 
     def value(label: str) -> Column:
-        quoted = re.escape(label)
-        after = [part(html, rf"(?is)<{h}\b[^>]*>[^<]*{quoted}[^<]*</{h}>\s*<td\b[^>]*>(.*?)</td>") for h in ("th", "td")]
-        return F.struct(F.lit(label).alias("label"), inner_text(F.coalesce(*after), separator).alias("value"))
+        # the label may lie inside child tags of its cell, the value may hold a table of its own
+        child = r"(?:<(?!/?t[hdr]\b)[^>]*>[^<]*)*"
+        after = [part(html, rf"(?is)<{h}\b[^>]*>[^<]*{child}?{re.escape(label)}[^<]*{child}</{h}>\s*(<td\b[^>]*>.*)") for h in ("th", "td")]
+        return F.struct(F.lit(label).alias("label"), inner_text(_element_at_start(F.coalesce(*after), "td")["inner"], separator).alias("value"))
 
     found = pages.select("*", F.inline(F.array(*[value(label) for label in labels])))
     return found.drop(html).filter(F.coalesce("value", F.lit("")) != "")
@@ -80,11 +130,11 @@ def extract_fields(pages: DataFrame, html: str, labels: list[str], separator: st
 
 def _feature_cells(html: str, section: str) -> Column:
     """Header and value of every row of the features section; tooltips are left out of the values."""
-    rows = _rows(part(html, element("section", "id", section)))
+    rows = _rows(region(html, "section", "id", section))
 
     def cell(row: Column) -> Column:
         label = F.rtrim(F.lower(squeeze(inner_text(part(row, element("th"))))), F.lit(":"))
-        markup = F.regexp_replace(part(row, element("td")), element("div", "class", "tooltip"), "")
+        markup = without(part(row, element("td")), "div", "class", "tooltip")
         return F.struct(F.trim(F.regexp_replace(label, "[^a-z0-9]+", "_"), F.lit("_")).alias("label"), squeeze(inner_text(markup)).alias("value"))
 
     return F.filter(F.transform(rows, cell), lambda c: c["label"].isNotNull() & c["value"].isNotNull())
@@ -106,8 +156,8 @@ def extract_feature_table(pages: DataFrame, html: str, labels: list[str], sectio
 
 
 def extract_title(pages: DataFrame, html: str) -> DataFrame:
-    """Heading text up to its first span, and the span as subtitle."""
-    heading = part(html, element("h1"))
+    """Heading text up to its first span, and the span as subtitle; the heading of ``#main_title`` before any other."""
+    heading = F.coalesce(part(region(html, "div", "id", "main_title"), element("h1")), part(html, element("h1")))
     before = F.regexp_replace(heading, r"(?is)<span\b.*$", "")
     return pages.select(
         *[c for c in pages.columns if c != html],
@@ -167,18 +217,21 @@ def extract_media(pages: DataFrame, html: str) -> DataFrame:
     def typed(kind: str, faces: Column, source: Column | None = None) -> Column:
         return F.transform(faces, lambda f: F.struct(F.lit(kind).alias("kind"), f["face_a"].alias("face_a"), f["face_b"].alias("face_b"), f["source"].alias("source_type") if source is not None else F.lit(None).cast("int").alias("source_type")))
 
-    def blocks(tag: str, name: str) -> Column:
-        return F.filter(F.transform(pieces(html, element(tag, "class", name)), lambda b: _faces(_picture_links(b))), lambda f: f["face_a"].isNotNull())
+    def blocks(place: Column, tag: str, name: str) -> Column:
+        found = F.coalesce(regions(place, tag, "class", name), F.array().cast("array<string>"))
+        return F.filter(F.transform(found, lambda b: _faces(_picture_links(b))), lambda f: f["face_a"].isNotNull())
 
-    edge_part = part(html, r"(?is)<h3\b[^>]*>\s*edge[^<]*</h3>(.*?)(?:<h3\b|</section>|$)")
+    edge_part = part(region(html, "section", "id", "fiche_descriptions"), r"(?is)<h3\b[^>]*>\s*edge[^<]*</h3>(.*?)(?:<h3\b|</section>|$)")
     edge = F.coalesce(F.get(_picture_links(edge_part, True), F.lit(0)), _file(attribute(part(edge_part, r"(?is)(<img\b[^>]*>)"), "src"), True))
     edges = F.when(edge.isNotNull(), F.array(F.struct(edge.alias("face_a"), edge.alias("face_b")))).otherwise(F.array().cast("array<struct<face_a:string,face_b:string>>"))
-    comments = F.filter(pieces(part(html, element("div", "id", "fiche_comments")), r"(?is)(<a\b[^>]*\bhref\b[^>]*>.*?</a>)"), lambda a: F.lower(a).contains("<img"))
+    linked = pieces(F.coalesce(region(html, "div", "id", "fiche_comments"), F.lit("")), r"(?is)(<a\b[^>]*\bhref\b[^>]*>.*?</a>)")
+    comments = F.filter(linked, lambda a: F.lower(a).contains("<img"))
     comment_rows = F.transform(
         comments, lambda a: F.struct(_file(attribute(a, "href")).alias("face_a"), F.lit(None).cast("string").alias("face_b"), F.when(attribute(a, "href").contains("/forum/images/"), 2).otherwise(1).alias("source"))
     )
     everything = F.concat(
-        typed("1", _reference_faces(html)), typed("2", blocks("div", "example_image")), typed("3", blocks("td", "sale_pictures")), typed("edge", edges),
+        typed("1", _reference_faces(html)), typed("2", blocks(region(html, "div", "id", "examples_list"), "div", "example_image")),
+        typed("3", blocks(region(html, "table", "id", "sales_list"), "td", "sale_pictures")), typed("edge", edges),
         typed("comment", F.filter(comment_rows, lambda c: c["face_a"].isNotNull()), F.lit(1)),
     )
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(everything).alias("_pos", "_m"))
@@ -276,20 +329,39 @@ BOILERPLATE = (
     (r"(?is)<style\b.*?</style>", ""),
     (r"(?is)<nav\b.*?</nav>", ""),
     (r"(?is)<footer\b.*?</footer>", ""),
-    (r"""(?is)<header\b[^>]*\bid\s*=\s*["']global_header["'][^>]*>.*?</header>""", ""),
-    (r"""(?is)<div\b[^>]*\bclass\s*=\s*["']ad["'][^>]*>.*?</div>""", ""),
-    (r"""(?is)<(div|section)\b[^>]*\bid\s*=\s*["'](?:sale_offers|fiche_echanges)["'][^>]*>.*?</\1>""", ""),
-    (r"""(?is)<span\b[^>]*\bclass\s*=\s*["']translated_info["'][^>]*>.*?</span>""", ""),
     (r"""(?is)<img\b[^>]*\bsrc\s*=\s*["']https?://[^"']*/design/[^"']*["'][^>]*>""", ""),
 )
 
 
-def strip_boilerplate(pages: DataFrame, html: str, rules=BOILERPLATE) -> DataFrame:
-    """Documents without their frame, advertising, scripts and exchange offers."""
-    cleaned = F.col(html)
+# Elements that go with all they hold, as (tag, attribute, value).
+BOILERPLATE_BLOCKS = (
+    ("header", "id", "global_header"),
+    ("div", "class", "ad"),
+    ("div", "id", "sale_offers"),
+    ("section", "id", "sale_offers"),
+    ("div", "id", "fiche_echanges"),
+    ("section", "id", "fiche_echanges"),
+    ("span", "class", "translated_info"),
+)
+
+
+def strip_boilerplate(pages: DataFrame, html: str, rules=BOILERPLATE, blocks=BOILERPLATE_BLOCKS) -> DataFrame:
+    """Documents without their frame, advertising, scripts and exchange offers; ``#middle_element`` keeps only its ``main#main``."""
+    cleaned = pages
     for pattern, replacement in rules:
-        cleaned = F.regexp_replace(cleaned, pattern, replacement)
-    return pages.withColumn(html, cleaned)
+        cleaned = cleaned.withColumn(html, F.regexp_replace(html, pattern, replacement))
+    for block in blocks:
+        start = rf"(?is){_start(*block)}"
+        cleaned = cleaned.withColumn(html, F.when(F.col(html).rlike(start), without(html, *block)).otherwise(F.col(html)))
+    middle = part(html, rf"(?is)({_start('div', 'id', 'middle_element')}.*)")
+
+    def only_main(tail: Column, cut: Column) -> Column:
+        main = _element_at_start(part(cut["inner"], rf"(?is)({_start('main', 'id', 'main')}.*)"), "main")
+        before = F.left(F.col(html), F.length(html) - F.length(tail))
+        return let(main, lambda m: F.concat(before, cut["start"], m["start"], m["inner"], F.lit("</main>"), cut["rest"]))
+
+    kept = let(middle, lambda tail: let(_element_at_start(tail, "div"), lambda cut: only_main(tail, cut)))
+    return cleaned.withColumn(html, F.coalesce(kept, F.col(html)))
 
 
 # --- rewriting -------------------------------------------------------------------------------------------------------
@@ -472,14 +544,20 @@ def _read_list(markup: str) -> list[dict]:
 def flatten_nested_list(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """Nested list markup → one row per node with its parent's slug, tags, other names, territory and period flag."""
 
+    columns = [key, *[f.split()[0] for f in NODE_SCHEMA.split(", ")]]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for page, text in zip(batch[key], batch[markup], strict=True):
+                rows = []
                 for record in _read_list(text or ""):
                     texts = {f: " ".join(record[f].split()) or None for f in ("raw_name", "territory", "alt_names")}
                     rows.append({**record, **texts, key: page, "name": (texts["raw_name"] or "").rstrip(",").strip() or None})
-            yield pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in NODE_SCHEMA.split(", ")]])
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     source = pages.select(key, markup)
     return source.mapInPandas(read, f"{key} {dict(source.dtypes)[key]}, {NODE_SCHEMA}")

@@ -23,20 +23,28 @@ def last_per_key(source: DataFrame, keys: list[str], order: str | None) -> DataF
         last = source.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_last"))
         return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
     last = source.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_last"))
-    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in (order, *rest)])
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
-    """Insert new keys; for known ones overwrite the listed columns. Of several source rows for a key the last one counts."""
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], order: str | None = None, keep_newer: bool = False) -> DataFrame:
+    """Insert new keys; for known ones overwrite the listed columns. Of several source rows for a key the last one counts.
+
+    With ``keep_newer`` a stored row stays when its ``order`` is above that of the source row, so late news change nothing.
+    """
+    if keep_newer and order not in target.columns:
+        raise ValueError("the table must store the order column to keep newer rows")
     latest = last_per_key(source, keys, order).withColumn("_in", F.lit(True))
     joined = target.withColumn("_had", F.lit(True)).alias("t").join(latest.alias("s"), _on(keys), "full_outer")
+    taken = F.col("_in")
+    if keep_newer:
+        taken = taken & F.coalesce(F.col(f"s.{order}") >= F.col(f"t.{order}"), F.col(f"t.{order}").isNull())
 
     def column(name: str) -> Column:
         if name in keys:
             return F.coalesce(f"t.{name}", f"s.{name}").alias(name)
         if name not in latest.columns:
             return F.col(f"t.{name}").alias(name)
-        from_source = F.col("_in") if name in update else F.col("_had").isNull()
+        from_source = taken if name in update else F.col("_had").isNull()
         return F.when(from_source, F.col(f"s.{name}")).otherwise(F.col(f"t.{name}")).alias(name)
 
     return joined.select(*[column(c) for c in target.columns])

@@ -17,10 +17,10 @@ def markup(*pieces):
 def part_pages(t):
     """One entity page per part."""
     html = markup(
-        '<html><head><title>x</title></head><div id="main_title"><h1>\n', "$p_name", " &amp; co <span> ", "$p_type", '</span></h1></div>',
-        '<section id="fiche_caracteristiques"><table><tr><th>Issuer:</th><td><a href="/i.php">', "$p_brand", "</a></td></tr>\n<tr><th> Value </th><td>", "$p_size",
+        '<html><head><title>x</title></head><h1>Menu</h1><div class="t" id="main_title"><div>i</div><h1>\n', "$p_name", " &amp; co <span> ", "$p_type", '</span></h1></div>',
+        '<section id="fiche_caracteristiques"><table><tr><th>Issuer:</th><td><a href="/i.php">', "$p_brand", "</a></td></tr>\n<tr><th><a href='/v'> Value </a></th><td>", "$p_size",
         " Cents<br/>(old)\n<br/>second line</td></tr><tr><th>Weight (max)</th><td>", "$p_retailprice", "  g <div class=\"tooltip\">hint</div></td></tr>",
-        "<tr><td>Size</td><td>", "$p_size", " mm</td></tr></table></section><table><tr><th>Issuer</th><td>wrong</td></tr></table>",
+        "<tr><td><b>Size</b></td><td><table><tr><td>", "$p_size", "</td><td> mm</td></tr></table></td></tr></table></section><table><tr><th>Issuer</th><td>wrong</td></tr></table>",
         "<p>Rarity index: <a>?</a> <strong>", "$p_size", "</strong></p></html>",
     )
     return t.part.select("p_partkey", html.alias("html"))
@@ -29,7 +29,7 @@ def part_pages(t):
 @bind(
     "extract_fields",
     """SELECT p_partkey, 'Issuer' AS label, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'Value', p_size || ' Cents' || chr(10) || '(old)' || chr(10) || 'second line' FROM part
-       UNION ALL SELECT p_partkey, 'Size', p_size || ' mm' FROM part""",
+       UNION ALL SELECT p_partkey, 'Size', p_size || chr(10) || 'mm' FROM part""",
 )
 def _(t):
     return op.extract_fields(part_pages(t), "html", ["Issuer", "Value", "Size", "Shape"])
@@ -81,9 +81,9 @@ def media_pages(t):
     )
     html = F.concat(
         F.lit('<div id="fiche_photo">'), main, F.lit('</div><section id="fiche_descriptions"><h3>Edge</h3><p>Plain</p><a href="/e/edge'), F.col("p_partkey").cast("string"),
-        F.lit('-original.png"><img src="t.png"/></a><h3>Mint</h3><a href="/no.png"><img src="u"/></a></section><div id="examples_list"><div class="example_image"><a href="/x/e1.jpg"><img/></a><a href="/x/e2.jpg"><img/></a></div></div>'),
+        F.lit('-original.png"><img src="t.png"/></a><h3>Mint</h3><a href="/no.png"><img src="u"/></a></section><div id="examples_list"><div class="big example_image"><div><a href="/x/e1.jpg"><img/></a></div><div><a href="/x/e2.jpg"><img/></a></div></div></div><div class="example_image"><a href="/outside.jpg"><img/></a></div>'),
         F.lit('<table id="sales_list"><tr><td class="sale_pictures"><a href="/s/s1.jpg"><img/></a></td></tr><tr><td class="sale_pictures"><a href="/none">text</a></td></tr></table>'),
-        F.lit('<div id="fiche_comments"><a href="https://h/forum/images/f'), F.col("p_partkey").cast("string"), F.lit('.jpg"><img/></a><a href="/c/plain.jpg"><img/></a><a href="/t.html">no</a></div>'),
+        F.lit('<div id="fiche_comments"><div><div><a href="https://h/forum/images/f'), F.col("p_partkey").cast("string"), F.lit('.jpg"><img/></a></div></div><p><a href="/c/plain.jpg"><img/></a></p><a href="/t.html">no</a></div><a href="/after.jpg"><img/></a>'),
     )
     return t.part.select("p_partkey", html.alias("html"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_engine.operators.tables import upsert
-from catalog_engine.sources.sinks import BUCKET, in_buckets, publish_buckets
+from catalog_engine.sources.sinks import BUCKET, in_buckets, publish_buckets, read_buckets
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, file_glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -30,27 +30,28 @@ def ingest_incremental(stream: DataFrame, target: str, checkpoint: str) -> None:
     _run(stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint))
 
 
-def stream_upsert(stream: DataFrame, target: str, keys: list[str], columns: list[str], checkpoint: str, order: str | None = None, buckets: int = 64) -> None:
-    """Upsert every batch into a table stored in key buckets (see ``sinks.in_buckets``).
+def stream_upsert(stream: DataFrame, target: str, keys: list[str], columns: list[str], checkpoint: str, order: str, buckets: int = 64) -> None:
+    """Upsert every batch into a table stored in key buckets (see ``sinks.publish_buckets``).
 
-    A batch rewrites only the buckets its keys fall into, and replaying it after a failure leaves the same state.
+    The table stores ``order``, so a late older row never replaces a newer one, whichever batch it comes in. A batch rewrites
+    only the buckets its keys fall into, and replaying it after a failure leaves the same state.
     """
     spark = stream.sparkSession
+    update = [*columns, *([] if order in columns else [order])]
 
     def apply(batch: DataFrame, _: int) -> None:
-        feed = in_buckets(batch, keys, buckets)
+        feed = in_buckets(batch.select(*keys, *update), keys, buckets)
         touched = [r[BUCKET] for r in feed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        state = spark.read.parquet(target).filter(F.col(BUCKET).isin(touched))
-        publish_buckets(upsert(state, feed, [*keys, BUCKET], columns, order), target)
+        if touched:
+            state = read_buckets(spark, target, touched)
+            publish_buckets(upsert(state, feed, [*keys, BUCKET], update, order, keep_newer=True), target, keys)
 
     _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Drop repeats of a key. With an event time, keys are forgotten after the delay, which bounds the state."""
-    if event_time is None:
-        return stream.dropDuplicates(keys)
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def stream_dedup(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 day") -> DataFrame:
+    """Drop repeats of a key that come within the delay; keys are forgotten after it, which bounds the state."""
+    return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def high_water(df: DataFrame, key: str, last: int, existing: DataFrame, existing_key: str) -> DataFrame:

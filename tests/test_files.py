@@ -143,18 +143,66 @@ def test_streams_take_each_file_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(8))
 
 
-def test_stream_upsert_replays_safely(spark, tmp_path):
+def upserted(spark, tmp_path, *batches):
+    """Start a bucketed table of four rows and a folder with one file per batch."""
     inbox, target = str(tmp_path / "in"), str(tmp_path / "state")
-    spark.createDataFrame([(1, "new", 2), (1, "old", 1), (2, "b", 1)], "k long, v string, seq int").write.parquet(inbox)
-    start = spark.createDataFrame([(1, "first"), (7, "kept"), (8, "kept"), (9, "kept")], "k long, v string")
-    sinks.publish_buckets(sinks.in_buckets(start, ["k"], 64), target)
-    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*.parquet")}
-    stream = incremental.file_stream(spark, inbox, spark.read.parquet(inbox).schema)
-    for progress in ("p1", "p2"):  # the second run replays everything
+    for rows in batches:
+        spark.createDataFrame(rows, "k long, v string, seq int").coalesce(1).write.mode("append").parquet(inbox)
+    start = spark.createDataFrame([(1, "first", 0), (7, "kept", 0), (8, "kept", 0), (9, "kept", 0)], "k long, v string, seq int")
+    sinks.publish_buckets(sinks.in_buckets(start, ["k"], 64), target, ["k"])
+    return incremental.file_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_batch=1), target
+
+
+def state_of(spark, target):
+    return sorted(map(tuple, sinks.read_buckets(spark, target).select("k", "v").collect()))
+
+
+AFTER = [(1, "new"), (2, "b"), (7, "kept"), (8, "kept"), (9, "kept")]
+
+
+def test_stream_upsert_replays_safely(spark, tmp_path):
+    stream, target = upserted(spark, tmp_path, [(1, "new", 2), (1, "old", 1), (2, "b", 1)])
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*/*.parquet")}
+    for progress in ("p1", "p2", "p3"):  # the later runs replay everything
         incremental.stream_upsert(stream, target, ["k"], ["v"], str(tmp_path / progress), "seq")
-    assert sorted(map(tuple, spark.read.parquet(target).select("k", "v").collect())) == [(1, "new"), (2, "b"), (7, "kept"), (8, "kept"), (9, "kept")]
-    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*.parquet")}
+    assert state_of(spark, target) == AFTER
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").glob("*/*/*.parquet")}
     assert len(before.items() & after.items()) == 3  # buckets without news are left alone
+    assert all(len(list(p.glob("version=*"))) <= 2 for p in (tmp_path / "state").glob("bucket=*"))
+
+
+def test_stream_upsert_ignores_late_older_rows(spark, tmp_path):
+    stream, target = upserted(spark, tmp_path, [(1, "new", 2), (2, "b", 1)], [(1, "old", 1)])
+    incremental.stream_upsert(stream, target, ["k"], ["v"], str(tmp_path / "p"), "seq")
+    assert state_of(spark, target) == AFTER
+
+
+@pytest.mark.parametrize("stop", range(2))
+def test_stream_upsert_stopped_between_renames(spark, tmp_path, monkeypatch, stop):
+    """A batch that dies after some of its buckets were published leaves every row readable and can be replayed."""
+    stream, target = upserted(spark, tmp_path, [(1, "new", 2), (2, "b", 1)])
+    real, calls = sinks._folders, []
+
+    def dying(fs, folder, label):
+        names = real(fs, folder, label)
+        if ".new-" not in folder.toString():
+            return names
+
+        def some():
+            for i, name in enumerate(names):
+                if i == stop and not calls:
+                    calls.append(name)
+                    raise RuntimeError("executor lost")
+                yield name
+
+        return some()
+
+    monkeypatch.setattr(sinks, "_folders", dying)
+    with pytest.raises(Exception, match="executor lost"):
+        incremental.stream_upsert(stream, target, ["k"], ["v"], str(tmp_path / "p"), "seq")
+    assert {k for k, _ in state_of(spark, target)} >= {1, 7, 8, 9}
+    incremental.stream_upsert(stream, target, ["k"], ["v"], str(tmp_path / "p"), "seq")
+    assert state_of(spark, target) == AFTER
 
 
 def test_stream_dedup_with_event_time(spark, tmp_path):

@@ -242,3 +242,21 @@ def test_search_text_may_hold_quotes(spark):
 def test_block_is_cut_where_lower_case_is_longer(spark):
     df = spark.createDataFrame([("İİİ<div>x NEEDLE y</DIV>rest",)], "html string")
     assert extract.remove_block(df, "html", "needle", "<div>", "</div>").first()[0] == "İİİrest"
+
+
+def test_nested_markup(spark):
+    page = (
+        '<p>a</p><div id="sale_offers"><div>x<div>y</div></div>z</div>k<div id="middle_element"><p>q</p><div>w</div>'
+        '<main id="main"><div>keep</div></main><div>r</div></div>end<div class=ad>v<div>u</div></div>!'
+    )
+    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, 'x<div id="sale_offers">open'), (5, '<div id="sale_offers_2">k</div>')], "id int, html string")
+    kept = [r["html"] for r in extract.strip_boilerplate(rows, "html").orderBy("id").collect()]
+    assert kept == ['<p>a</p>k<div id="middle_element"><main id="main"><div>keep</div></main></div>end!', None, "", "x", '<div id="sale_offers_2">k</div>']
+    nested = spark.createDataFrame([('a<div id="q" class="x">1<DIV>2</div >3</div>4',)], "html string")
+    assert nested.select(extract.region("html", "div", "id", "q").alias("r")).first()["r"] == "1<DIV>2</div >3"
+
+
+def test_a_region_of_many_tags(spark):
+    body = "<div>é</div>" * 5_000
+    rows = spark.createDataFrame([(f'<i>x</i><div id="q">{body}</div>tail',)], "html string")
+    assert rows.select(extract.region("html", "div", "id", "q").alias("r")).first()["r"] == body
