@@ -11,23 +11,34 @@ from catalog_engine.streaming import incremental
 from catalog_engine.workspace import fresh_path
 
 
+def saved_files(t):
+    """A text file per supplier below ``nation=n/entity=name_id``; every sixth folder has no id."""
+    name = F.lower(F.translate("s_name", "#", "-"))
+    folder = F.when(F.col("s_suppkey") % 6 == 0, name).otherwise(F.concat_ws("_", name, "s_suppkey"))
+    path = fresh_path(t.spark, "saved")
+    t.supplier.select(F.col("s_nationkey").alias("nation"), folder.alias("entity"), "s_name").write.partitionBy("nation", "entity").text(path)
+    return path
+
+
 @bind(
     "scan_documents",
-    """SELECT 'g' || p_size AS "group", lower(p_name) AS slug, p_partkey AS entity_id, length(p_name) AS size FROM part WHERE p_partkey % 6 <> 0""",
+    """SELECT 'nation=' || s_nationkey AS "group", 'entity=' || lower(replace(s_name, '#', '-')) AS slug, s_suppkey AS entity_id, s_name || chr(10) AS text FROM supplier WHERE s_suppkey % 6 <> 0""",
 )
 def _(t):
-    folder = F.when(F.col("p_partkey") % 6 == 0, F.lower("p_name")).otherwise(F.concat(F.lower("p_name"), F.lit("_"), "p_partkey"))
-    paths = t.part.select(F.concat(F.lit("file:/html/g"), "p_size", F.lit("/"), folder, F.lit("/page.html")).alias("p"), F.encode("p_name", "UTF-8").alias("content"))
-    found = files.document_columns(paths, "p", F.decode("content", "UTF-8"))
-    return found.select("group", "slug", "entity_id", F.length("text").alias("size"))
+    return files.scan_documents(t.spark, saved_files(t), "*.txt").select("group", "slug", "entity_id", "text")
 
 
 @bind(
     "scan_listing",
-    r"""SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS dir, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(url, '\.([^./]*)$', 1)) AS ext FROM pages""",
+    """WITH f AS (SELECT 'nation=' || s_nationkey AS top, 'entity=' || lower(replace(s_name, '#', '-')) || CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE '_' || s_suppkey END AS folder, length(s_name) + 1 AS length FROM supplier)
+       SELECT false AS is_dir, top || '/' || folder AS place, NULL AS name, 'txt' AS ext, length FROM f
+       UNION ALL SELECT DISTINCT true, '', top, '', NULL::BIGINT FROM f UNION ALL SELECT true, top, folder, '', NULL FROM f""",
 )
 def _(t):
-    return files.listing_columns(t.pages.select("page_id", "url"), "url").select("page_id", "dir", "name", "ext")
+    listing = files.scan_listing(t.spark, saved_files(t), ["TXT"], folders=True)
+    above = F.regexp_replace("relative", "/?[^/]*$", "")
+    # Spark chooses the names of the files
+    return listing.select("is_dir", above.alias("place"), F.when(F.col("is_dir"), F.col("name")).alias("name"), "ext", "length")
 
 
 @bind("read_json_rows", "SELECT event_id, (props->>'k')::BIGINT AS k, event_type FROM events")
@@ -48,14 +59,20 @@ def _(t):
     return files.read_catalog_csv(t.spark, path, "id long, name string, nation int")
 
 
-@bind(
-    "read_progress_log",
-    "SELECT event_type || user_id AS slug, (event_id % 50)::INT AS page, event_id AS line_no FROM events WHERE event_id = (SELECT max(event_id) FROM events)",
-)
+def progress_log(t):
+    path = fresh_path(t.spark, "log")
+    t.events.orderBy("event_id").select(F.concat("event_type", "user_id", F.lit(", "), F.col("event_id") % 50)).write.text(path)
+    return files.read_progress_log(t.spark, path)
+
+
+@bind("read_progress_log", "SELECT event_type || user_id AS slug, (event_id % 50)::INT AS page, row_number() OVER (ORDER BY event_id) AS line_no FROM events")
+def _(t):
+    return progress_log(t).select("slug", "page", "line_no")
+
+
+@bind("last_entry", "SELECT event_type || user_id AS slug, (event_id % 50)::INT AS page FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
 def _(t):
-    lines = t.events.select(F.col("event_id").alias("line_no"), F.concat("event_type", "user_id", F.lit(","), F.col("event_id") % 50).alias("value"))
-    log = files.progress_entries(lines, "value").withColumn("at", F.col("line_no"))
-    return files.last_entry(log, "at").select("slug", "page", "line_no")
+    return files.last_entry(progress_log(t)).select("slug", "page")
 
 
 @bind("read_table", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -129,13 +146,15 @@ def _(t):
 
 @bind(
     "html_rows",
-    """SELECT p_partkey, 1 AS row_no, 2 AS cell_no, false AS is_header, p_brand AS text FROM part UNION ALL SELECT p_partkey, 2, 2, false, p_size || ' Cents (old) second line' FROM part
-       UNION ALL SELECT p_partkey, 4, 2, false, p_size || ' mm' FROM part""",
+    """WITH c(row_no, cell_no, is_header, fixed) AS (VALUES (1, 1, true, 'Issuer:'), (2, 1, true, 'Value'), (3, 1, true, 'Weight (max)'), (4, 1, false, 'Size'), (4, 3, false, 'mm'), (5, 1, true, 'Issuer'), (5, 2, false, 'wrong'))
+       SELECT p_partkey, row_no, cell_no, is_header, fixed AS text FROM part, c UNION ALL SELECT p_partkey, 1, 2, false, p_brand FROM part
+       UNION ALL SELECT p_partkey, 2, 2, false, p_size || ' Cents (old) second line' FROM part UNION ALL SELECT p_partkey, 3, 2, false, p_retailprice || ' g hint' FROM part
+       UNION ALL SELECT p_partkey, 4, 2, false, p_size::VARCHAR FROM part""",
 )
 def _(t):
     catalog.register_html_rows(t.spark)
     part_pages(t).createOrReplaceTempView("part_pages")
-    return t.spark.sql("SELECT p_partkey, row_no, cell_no, is_header, text FROM part_pages, LATERAL html_rows(html) WHERE cell_no = 2 AND row_no IN (1, 2, 4) AND NOT is_header")
+    return t.spark.sql("SELECT p_partkey, row_no, cell_no, is_header, text FROM part_pages, LATERAL html_rows(html)")
 
 
 # --- streaming -------------------------------------------------------------------------------------------------------

@@ -56,19 +56,13 @@ def register_functions(spark: SparkSession) -> list[str]:
     return sorted(REGISTRY)
 
 
-class _CellReader:
-    """Table function: one row per table cell of a document."""
-
-    def eval(self, markup: str):
-        if not markup:
-            return
-        for row_no, row in enumerate(re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", markup), 1):
-            for cell_no, (tag, inner) in enumerate(re.findall(r"(?is)<(t[hd])\b[^>]*>(.*?)</t[hd]>", row), 1):
-                yield row_no, cell_no, tag.lower() == "th", " ".join(re.sub(r"<[^>]*>", " ", inner).split())
-
-
 def register_html_rows(spark: SparkSession) -> None:
-    """SQL table function ``html_rows(markup)`` for lateral joins over documents."""
-    function = F.udtf(_CellReader, returnType="row_no int, cell_no int, is_header boolean, text string")
-    spark.udtf.register("html_rows", function)
-
+    """SQL table function ``html_rows(markup)`` for lateral joins over documents: one row per table cell."""
+    spark.sql(
+        r"""CREATE OR REPLACE TEMPORARY FUNCTION html_rows(markup STRING)
+            RETURNS TABLE (row_no INT, cell_no INT, is_header BOOLEAN, text STRING) RETURN
+            SELECT cells.* FROM inline(flatten(transform(regexp_extract_all(markup, r'(?is)<tr\b[^>]*>(.*?)</tr>', 1), (body, i) ->
+              transform(regexp_extract_all(body, r'(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)', 1), (cell, j) -> struct(
+                i + 1, j + 1, lower(left(cell, 3)) = '<th', trim(regexp_replace(regexp_replace(cell, r'<[^>]*>', ' '), r'[\s\x{00a0}]+', ' '))
+              ))))) AS cells(row_no, cell_no, is_header, text)"""
+    )

@@ -37,11 +37,27 @@ def listing_columns(files: DataFrame, path: str) -> DataFrame:
     )
 
 
-def scan_listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """Files below a root with size and time; file bodies are never read."""
+def scan_listing(spark: SparkSession, root: str, extensions: list[str] | None = None, folders: bool = False) -> DataFrame:
+    """Files below a root with size and time; file bodies are never read.
+
+    ``relative`` is the path below the root. With ``folders``, every folder that holds a file at any depth has a row too
+    (``is_dir``); a folder without any file is not seen, because Spark lists files.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    listed = listing_columns(files, "path")
-    return listed.filter(F.col("ext").isin([e.lower() for e in extensions])) if extensions else listed
+    named = files.select(F.lit(False).alias("is_dir"), F.substr("path", F.lit(len(base) + 1)).alias("relative"), "*")
+    listed = listing_columns(named, "path")
+    kept = listed.filter(F.col("ext").isin([e.lower() for e in extensions])) if extensions else listed
+    if not folders:
+        return kept
+    parts = F.split("relative", "/")
+    above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    found = named.select(F.explode(above).alias("relative")).distinct()
+    rows = found.select(
+        F.lit(True).alias("is_dir"), "relative", F.concat(F.lit(base), "relative").alias("path"), F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")
+    )
+    return kept.unionByName(listing_columns(rows, "path").withColumn("ext", F.lit("")))
 
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
