@@ -22,8 +22,10 @@ INPUTS = 4 * DIM + 1
 #: 0 separates words; letters and bytes of other scripts, digits, and signs form words of their own
 KIND = np.array([0 if b <= 32 else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], dtype=np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
-CAPITAL = np.array([65 <= b <= 90 for b in range(256)], dtype=np.int64)
+CAPITAL = np.array([65 <= b <= 90 for b in range(256)], dtype=np.int8)
 BASE = 0x100000001B3
+#: bytes and words of a text that are worked on at a time, so that a long text needs little more memory than a short one
+BLOCK_BYTES, BLOCK_WORDS = 1 << 16, 1 << 15
 
 
 def index_vectors(seed: int = 11) -> np.ndarray:
@@ -42,6 +44,17 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Sum of the lower-cased bytes before each place, weighted by powers of ``BASE``, modulo 2^64."""
+    sums, powers = np.zeros(len(data) + 1, dtype=np.uint64), _powers(BASE, BLOCK_BYTES)
+    for at in range(0, len(data), BLOCK_BYTES):
+        part = LOWER[data[at : at + BLOCK_BYTES]]
+        part *= powers[: len(part)] * np.uint64(pow(BASE, at, 1 << 64))
+        np.cumsum(part, out=sums[at + 1 : at + 1 + len(part)])
+        sums[at + 1 : at + 1 + len(part)] += sums[at]
+    return sums
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket of every word, the row it stands in, and the number of rows."""
     data, offsets = flat(texts)
@@ -56,10 +69,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     starts, ends = cut[:-1], cut[1:]
     real = kind[starts] != 0
     starts, ends = starts[real], ends[real]
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum(LOWER[data] * _powers(BASE, size), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(pow(BASE, -1, 1 << 64), size)[starts]
-    capitals = np.concatenate([[0], np.cumsum(CAPITAL[data])])
+    sums, back = _prefix_hashes(data), pow(BASE, -1, 1 << 64)
+    value = (sums[ends] - sums[starts]) * _powers(back, BLOCK_BYTES)[starts % BLOCK_BYTES]
+    value *= _powers(pow(back, BLOCK_BYTES, 1 << 64), size // BLOCK_BYTES + 1)[starts // BLOCK_BYTES]
+    capitals = np.zeros(size + 1, dtype=np.int32)
+    np.cumsum(CAPITAL[data], out=capitals[1:])
     shout = (capitals[ends] - capitals[starts]) * 2 > ends - starts
     value = (value + shout.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     bucket = ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
@@ -80,13 +94,17 @@ def word_vectors(docs: DataFrame, text: str = "text", reach: int = 2) -> np.ndar
         for batch in batches:
             for piece in pieces(batch, "text"):
                 word, row, _ = words_of(piece.column("text"))
-                around = np.zeros((len(word), DIM), dtype=np.int16)
-                for away in range(1, min(reach, max(len(word) - 1, 0)) + 1):
-                    same = (row[away:] == row[:-away])[:, None]
-                    around[away:] += index[word[:-away]] * same
-                    around[:-away] += index[word[away:]] * same
-                for k in range(DIM):
-                    total[k] += np.bincount(word, weights=around[:, k], minlength=BUCKETS).astype(np.int64)
+                for at in range(0, len(word), BLOCK_WORDS):
+                    low, high = max(at - reach, 0), at + BLOCK_WORDS + reach
+                    near, rows = word[low:high], row[low:high]
+                    around = np.zeros((len(near), DIM), dtype=np.int16)
+                    for away in range(1, min(reach, len(near) - 1) + 1):
+                        same = (rows[away:] == rows[:-away])[:, None]
+                        around[away:] += index[near[:-away]] * same
+                        around[:-away] += index[near[away:]] * same
+                    own = slice(at - low, at - low + BLOCK_WORDS)
+                    for k in range(DIM):
+                        total[k] += np.bincount(near[own], weights=around[own, k], minlength=BUCKETS).astype(np.int64)
         seen = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32))] + [pa.array(total[k, seen]) for k in range(DIM)], names=["bucket", *names])
 
@@ -107,15 +125,16 @@ def pooled(texts: pa.Array, words: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each text, and the logarithm of its length."""
     word, row, rows = words_of(texts)
     out = np.zeros((rows, INPUTS), dtype=np.float32)
-    count = np.bincount(row, minlength=rows)
-    filled = np.flatnonzero(count)
-    if len(filled):
-        first = np.concatenate([[0], np.cumsum(count[filled])[:-1]])
-        vectors, n = words[word], count[filled][:, None]
-        mean = np.add.reduceat(vectors, first, axis=0) / n
-        spread = np.sqrt(np.maximum(np.add.reduceat(vectors * vectors, first, axis=0) / n - mean * mean, 0))
-        out[filled, : 2 * DIM], out[filled, 2 * DIM : 4 * DIM] = mean, spread
-        out[filled, -1] = np.log1p(n[:, 0])
+    total, square = np.zeros((rows, 2 * DIM)), np.zeros((rows, 2 * DIM))
+    for at in range(0, len(word), BLOCK_WORDS):
+        own, vectors = row[at : at + BLOCK_WORDS], words[word[at : at + BLOCK_WORDS]].astype(np.float64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        total[own[first]] += np.add.reduceat(vectors, first, axis=0)
+        square[own[first]] += np.add.reduceat(vectors * vectors, first, axis=0)
+    count = np.bincount(row, minlength=rows)[:, None]
+    mean = total / np.maximum(count, 1)
+    out[:, : 2 * DIM], out[:, 2 * DIM : 4 * DIM] = mean, np.sqrt(np.maximum(square / np.maximum(count, 1) - mean * mean, 0))
+    out[:, -1] = np.log1p(count[:, 0])
     return out
 
 
@@ -156,7 +175,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: object, text: str = "
     """Word vectors of the whole corpus and the network.
 
     Labels come only from rows with the condition ``train``; about ``rows`` of them, taken by a hash of the key, are enough
-    for the network. A key with several labels counts by their mean. Without both classes the score is the same everywhere.
+    for the network. A key with several labels counts by their mean, one with several texts by one of them. Without both classes
+    the score is the same everywhere.
     """
     words = lexicon(word_vectors(docs, text))
     marked = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(F.col("key").isNotNull() & F.col("label").isNotNull())
@@ -165,7 +185,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: object, text: str = "
     chosen = sampled(marked, "key", rows / total if total else 1.0)
     # the sample is bounded by ``rows``, so it may be sent to every task
     known = docs.filter(train).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    found = append(known, "text", ["key", "label"], [T.StructField("pool", T.BinaryType())], lambda texts: [pa.array([r.tobytes() for r in pooled(texts, words)], pa.binary())]).collect()
+    inputs = append(known, "text", ["key", "label"], [T.StructField("pool", T.BinaryType())], lambda texts: [pa.array([r.tobytes() for r in pooled(texts, words)], pa.binary())])
+    # one row per key, so that rows that repeat a key don't lengthen the sample
+    found = inputs.groupBy("key", "label").agg(F.min("pool").alias("pool")).collect()
     found.sort(key=lambda r: (r["key"], bytes(r["pool"])))
     truth = np.array([r["label"] for r in found], dtype=np.int64)
     if not len(truth) or truth.min() == truth.max():

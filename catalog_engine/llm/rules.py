@@ -139,14 +139,16 @@ def learn_rules(rows: list[dict], most_rules: int = 12, most_conditions: int = 4
 
 def fit_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = 5000) -> list[tuple[list[Condition], float]]:
     """Learns from the statistics of about ``rows`` labelled documents, taken by a hash of the key. Several labels of a key
-    count by their mean. No labels give no rules."""
+    count by their mean, several texts by one of them. No labels give no rules."""
     marked = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).filter(F.col("_key").isNotNull() & F.col("_label").isNotNull())
     marked = marked.groupBy("_key").agg((F.avg("_label") < 0.5).cast("int").alias("bad"))
     total = marked.count()
     # bounded by ``rows``
     chosen = F.broadcast(sampled(marked, "_key", rows / total if total else 1.0))
     known = with_statistics(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key"), "_text")
-    sample = [r.asDict() for r in known.select("_key", "bad", *[c.alias(n) for n, c in features().items()]).collect()]
+    # one row per key, so that rows that repeat a key don't lengthen the sample
+    one = known.select("_key", "bad", F.struct(*[c.alias(n) for n, c in features().items()]).alias("_one")).groupBy("_key", "bad").agg(F.min("_one").alias("_one"))
+    sample = [r.asDict() for r in one.select("_key", "bad", "_one.*").collect()]
     sample.sort(key=lambda r: (r["_key"], r["n_words"], r["mean_word"]))
     return learn_rules(sample)
 

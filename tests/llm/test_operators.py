@@ -84,6 +84,40 @@ def test_quality_of_odd_documents(spark, odd_docs, empty_docs):
     assert quality.score_quality(empty_docs, quality.fit_quality(empty_docs, labels, F.lit(True))).count() == 0
 
 
+def test_long_texts_are_worked_on_in_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    random = np.random.default_rng(8)
+    texts = [None, "", "x" * 500, "Ab c, 12 " * 90, " ".join(random.choice(["Alpha", "beta", "7", "!?", "\n"], 400))]
+    words = random.normal(size=(quality.BUCKETS, 2 * quality.DIM)).astype(np.float32)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = quality.words_of(pa.array(texts)), quality.pooled(pa.array(texts), words), quality.word_vectors(docs)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(quality, "BLOCK_WORDS", 16)
+    blocks = quality.words_of(pa.array(texts)), quality.pooled(pa.array(texts), words), quality.word_vectors(docs)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[0], blocks[0]))
+    assert np.allclose(whole[1], blocks[1], atol=1e-6) and np.array_equal(whole[2], blocks[2])
+    bucket, row, _ = whole[0]
+    for k in range(len(texts)):
+        own = words[bucket[row == k]].astype(np.float64)
+        if len(own):
+            assert np.allclose(whole[1][k, : 2 * quality.DIM], own.mean(axis=0), atol=1e-5)
+            assert np.allclose(whole[1][k, 2 * quality.DIM : -1], own.std(axis=0), atol=1e-5)
+
+
+def test_rows_that_repeat_a_key_do_not_lengthen_the_sample(spark, monkeypatch):
+    rows = [(k, f"plain words of text number {k} stand here " * (8 if k % 2 else 1)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once, often = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + [rows[3]] * 300))
+    sizes = []
+    monkeypatch.setattr(quality, "train_network", lambda inputs, truth: sizes.append((len(inputs), int(truth.sum()))))
+    monkeypatch.setattr(rules, "learn_rules", lambda sample: sizes.append((len(sample), sum(1 - r["bad"] for r in sample))))
+    for docs in (once, often):
+        quality.fit_quality(docs, labels, F.lit(True))
+        rules.fit_rules(docs, labels)
+    assert sizes == [(40, 20)] * 4
+
+
 def test_words_are_told_apart_by_letters_and_capitals():
     import pyarrow as pa
 
