@@ -200,11 +200,12 @@ def linked_words(words: DataFrame, name: str = "fp", sample: int = 1 << 15, leaf
     return edges.distinct()
 
 
-def near_classes(marked: DataFrame, key: str = "doc_id", name: str = "fp") -> DataFrame:
+def near_classes(marked: DataFrame, key: str = "doc_id", name: str = "fp", links: DataFrame | None = None) -> DataFrame:
     """One row per distinct fingerprint: its class (``root``, one of the fingerprints), the least key of the class
-    (``component_id``; null if no row of the class has a key) and the fingerprint that this key has (``first_word``)."""
+    (``component_id``; null if no row of the class has a key) and the fingerprint that this key has (``first_word``).
+    ``links`` (a, b) replace those of fingerprints within the distance."""
     words = staged(marked.groupBy(F.col(name).alias("fp")).agg(F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"))).alias("least")), "words")
-    roots = similar_components(linked_words(words), "a", "b")
+    roots = similar_components(linked_words(words) if links is None else links, "a", "b")
     classes = words.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
     first = classes.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("first"))
     return classes.join(first, "root").select("fp", "root", F.col("first.least.id").alias("component_id"), F.col("first.fp").alias("first_word"))
