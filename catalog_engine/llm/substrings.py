@@ -12,11 +12,14 @@ can hold repeated windows, and only their suffixes, which begin at the core, hav
 4. a bucket sorts its suffixes by multikey quicksort and gets common lengths from neighbours, to the right and, with the
    bytes before the core reversed, to the left; a window repeats if both lengths together cover it.
 
+Strings of words are found in the same manner in texts whose words have become hashes of eight bytes.
+
 A core with very many kinds of runs would make one bucket too large: there every window is counted by a 128-bit hash instead.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,8 @@ from pyspark.sql import types as T
 from catalog_engine.llm.texts import flat, pieces
 from catalog_engine.workspace import staged
 
-SIZE, GRAM = 400, 8
+SIZE, GRAM, WORD_BYTES = 400, 8, 8
+SPANS = "array<struct<start: int, end: int>>"
 PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -234,7 +238,7 @@ def repeats(docs: DataFrame, size: int = SIZE, bucket_kinds: int = 100_000) -> D
     wanted = staged(kinds.select("core", "kind", "times", "at.*", "before", "windows"), "kinds")
 
     listed = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "kind", "times", "first", "before", "windows")).alias("wanted"))
-    texts = docs.join(listed, ["k1", "k2"]).select(F.encode("text", "UTF-8").alias("text"), F.explode("wanted").alias("w")).select("text", "w.*")
+    texts = docs.join(listed, ["k1", "k2"]).select(F.col("text").cast("binary").alias("text"), F.explode("wanted").alias("w")).select("text", "w.*")
     cut = texts.select("core", "kind", "before", "windows", "times", F.substring("text", F.col("first") + 1, F.col("windows") + (size - 1)).alias("content"))
     large = wanted.groupBy("core").count().filter(F.col("count") > bucket_kinds).select("core", F.lit(True).alias("large"))
     cut = staged(cut.join(large, "core", "left"), "suffixes")
@@ -259,30 +263,67 @@ def text_key(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text, F.length(text)), "k2": F.hash(text)}
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = SIZE, as_text: bool = False) -> DataFrame:
+def merged_ranges(ranges: list | None) -> list[dict[str, int]]:
+    """Ascending ranges that do not touch."""
+    merged: list = []
+    for r in sorted(ranges or [], key=lambda r: r["start"]):
+        if merged and r["start"] <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], r["end"])
+        else:
+            merged.append({"start": r["start"], "end": r["end"]})
+    return merged
+
+
+def word_repeats(docs: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, word_spans) like ``repeats`` for strings of so many words: the texts as 64-bit hashes of their words, in which a
+    word has ``WORD_BYTES`` bytes. The ranges are those of the hashes."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                split = [t.encode().split() for t in piece.column("text").to_pylist()]
+                coded = [np.array([digest(w) for w in s], dtype=np.uint64).tobytes() if len(s) >= words else None for s in split]
+                table = pa.RecordBatch.from_arrays([pa.array(coded, pa.binary()), piece.column("k1"), piece.column("k2")], names=["text", "k1", "k2"])
+                yield table.filter(table.column("text").is_valid())
+
+    coded = docs.select("text", "k1", "k2").mapInArrow(code, "text binary, k1 long, k2 int")
+    return repeats(staged(coded, "coded"), WORD_BYTES * words).withColumnRenamed("spans", "word_spans")
+
+
+def ranges_of_words(raw: bytes, ranges: list | None, words: int) -> list[dict[str, int]]:
+    """Ranges of hashes as ranges of bytes from the first whole word to the last; parts of a word at the ends do not count."""
+    if not ranges:
+        return []
+    whole = [(-(-r["start"] // WORD_BYTES), r["end"] // WORD_BYTES) for r in ranges]
+    places = [m.span() for m in re.finditer(rb"\S+", raw)]
+    return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in whole if b - a >= words]
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = SIZE, as_text: bool = False, words: int | None = None) -> DataFrame:
     """Columns ``keep`` with n_bytes, spans (ascending maximal removed ranges) and kept_text, the remaining bytes.
 
     Every byte goes that is covered by a string of ``size`` bytes (at least 32) starting at another place too, in the same or
     another text, equal rows included. Null counts as empty; a text shorter than ``size`` is never touched. With ``as_text``
-    the result is a string, without the remains of characters that lost a part of their bytes. Columns of the names added
-    must not be among ``keep``.
+    the result is a string, without the remains of characters that lost a part of their bytes. With ``words`` every string of
+    so many words (at least 4, whatever white space is between them) that starts elsewhere too goes as well, however short it
+    is. Columns of the names added must not be among ``keep``.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(body.alias("text")).withColumns(text_key(F.col("text"))).filter(F.octet_length("text") >= size)
-    found = repeats(keyed, size)
+    texts = docs.select(body.alias("text")).withColumns(text_key(F.col("text")))
+    keyed = texts.filter(F.octet_length("text") >= size)
+    found = repeats(keyed, size).withColumn("word_spans", F.lit(None).cast(SPANS))
+    if words:
+        found = found.drop("word_spans").join(word_repeats(texts, words), ["k1", "k2"], "full")
     keep = keep or ["doc_id"]
     marked = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)], body.alias("_text")).withColumns({f"_{n}": c for n, c in text_key(F.col("_text")).items()})
-    joined = marked.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"), ["_k1", "_k2"], "left")
+    joined = marked.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans", "word_spans"), ["_k1", "_k2"], "left")
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
         sizes, spans, rest = [], [], []
-        for body, ranges in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
-            raw, merged = body.encode(), []
-            for r in sorted(ranges or [], key=lambda r: r["start"]):
-                if merged and r["start"] <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], r["end"])
-                else:
-                    merged.append(dict(r))
+        for body, ranges, coded in zip(*(batch.column(n).to_pylist() for n in ("_text", "spans", "word_spans"))):
+            raw = body.encode()
+            merged = merged_ranges([*(ranges or []), *ranges_of_words(raw, coded, words)])
             cuts = [0, *[x for r in merged for x in (r["start"], r["end"])], len(raw)]
             sizes.append(len(raw))
             spans.append(merged)
