@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.functions.arrays import let
-
+UNDER = r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(terms of )?(the )?"
 # Sentences of public licences and of the usual notices, as patterns over normalised text (lower case, words
-# separated by single spaces, no other signs). Each matches a whole sentence.
+# separated by single spaces, no other signs). Each matches from the start of a line or sentence to the end of one; a space also
+# stands for a line end inside the sentence, `` .*`` at the end for a rest of the line or nothing, and ``.*`` inside for some words.
 SENTENCES = (
     (1, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(mit|expat) licen[sc]e"),
     (2, r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
@@ -20,21 +20,46 @@ SENTENCES = (
     (8, r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis .*"),
     (9, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? (v)?3( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
     (10, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? (v)?2( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
-    (11, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version"),
-    (12, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version"),
-    (13, r"this program is distributed in the hope that it will be useful but without any warranty .*"),
+    (11, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu general public licen[sc]e as published by the free software foundation( either)? version 3( of the licen[sc]e)?( or at your option any later version)?"),
+    (12, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu general public licen[sc]e as published by the free software foundation( either)? version 2( of the licen[sc]e)?( or at your option any later version)?"),
+    (13, r"this (program|library|software|file) is distributed in the hope that it will be useful but without any warranty .*"),
     (14, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by nc|attribution noncommercial)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
     (15, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by sa|attribution sharealike)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
     (16, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by|attribution)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
     (17, r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    (18, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (18, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer .*"),
     (19, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer .*"),
-    (20, r"neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (20, r"neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission .*"),
     (21, r"this software is provided by .* as is and any express or implied warranties .*"),
     (22, r"spdx licen[sc]e identifier mit"),
     (23, r"spdx licen[sc]e identifier apache 2 0"),
     (24, r"spdx licen[sc]e identifier gpl 3 0( only| or later)?"),
     (25, r"spdx licen[sc]e identifier gpl 2 0( only| or later)?"),
+    (26, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu (lesser|library) general public licen[sc]e as published by the free software foundation( either)? version (2 1|3)( of the licen[sc]e)?( or at your option any later version)?"),
+    (27, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu affero general public licen[sc]e as published by the free software foundation( either)? version 3( of the licen[sc]e)?( or at your option any later version)?"),
+    (28, UNDER + r"(gnu )?(lgpl|lesser general public licen[sc]e)( lgpl)?( version)?( v)?( ?(2 1|3)( 0)?)?( of the licen[sc]e)?( or at your option any later version)?"),
+    (29, UNDER + r"(gnu )?(agpl|affero general public licen[sc]e)( agpl)?( version)?( v)?( ?3( 0)?)?( of the licen[sc]e)?( or at your option any later version)?"),
+    (30, r"this source code form is subject to the terms of the mozilla public licen[sc]e( version| v)? 2 0"),
+    (31, UNDER + r"(mpl|mozilla public licen[sc]e)( version| v)? 2( 0)?"),
+    (32, r"permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted .*"),
+    (33, UNDER + r"isc licen[sc]e"),
+    (34, r"this is free and unencumbered software released into the public domain"),
+    (35, UNDER + r"(cc0|creative commons zero)( 1 0)?( universal)?( licen[sc]e)?"),
+    (36, UNDER + r"boost software licen[sc]e( version)? 1 0"),
+    (37, UNDER + r"((3 clause|new|modified|revised) bsd|bsd 3 clause)( licen[sc]e)?"),
+    (38, UNDER + r"((2 clause|simplified|freebsd) bsd|bsd 2 clause)( licen[sc]e)?"),
+    (39, UNDER + r"(creative commons|cc) (by nc sa|attribution noncommercial sharealike)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (40, UNDER + r"(creative commons|cc) (by nc nd|attribution noncommercial noderiv(ative)?s)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (41, UNDER + r"(creative commons|cc) (by nd|attribution noderiv(ative)?s)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (42, r"spdx licen[sc]e identifier lgpl (2 1|3 0)( only| or later)?"),
+    (43, r"spdx licen[sc]e identifier agpl 3 0( only| or later)?"),
+    (44, r"spdx licen[sc]e identifier mpl 2 0"),
+    (45, r"spdx licen[sc]e identifier isc"),
+    (46, r"spdx licen[sc]e identifier unlicense"),
+    (47, r"spdx licen[sc]e identifier cc0 1 0"),
+    (48, r"spdx licen[sc]e identifier bsl 1 0"),
+    (49, r"spdx licen[sc]e identifier bsd 3 clause"),
+    (50, r"spdx licen[sc]e identifier bsd 2 clause"),
 )
 # Ordered rules (licence, identifiers). Sentences that are no licence sentences may stand between them. At one
 # place the first rule that fits wins, so longer rules come first.
@@ -59,28 +84,44 @@ RULES = (
     ("CC-BY", (16,)),
     ("BSD-3-Clause", (17, 18, 19, 20)),
     ("BSD-2-Clause", (17, 18, 19)),
+    ("LGPL", (26, 13)),
+    ("AGPL-3.0", (27, 13)),
+    *((name, (n,)) for name, ids in (
+        ("LGPL", (26, 28, 42)), ("AGPL-3.0", (27, 29, 43)), ("MPL-2.0", (30, 31, 44)), ("ISC", (32, 33, 45)), ("Unlicense", (34, 46)), ("CC0-1.0", (35, 47)),
+        ("BSL-1.0", (36, 48)), ("BSD-3-Clause", (37, 49)), ("BSD-2-Clause", (38, 50)), ("CC-BY-NC-SA", (39,)), ("CC-BY-NC-ND", (40,)), ("CC-BY-ND", (41,)),
+    ) for n in ids),
 )
 #: every sentence above holds one of these; a sentence without them needs no closer look
-CUE = r"(?i)licen|permission|copyright|warrant|redistribut|endorse|compliance|spdx"
+CUE = r"(?i)licen|permission|copyright|warrant|redistribut|endorse|compliance|spdx|unencumbered|redistribute|cc0|cc by|creative commons|\b[al]?gpl\b|\bmpl\b|bsd"
+
 
+def _pattern(sentence: str) -> str:
+    """The pattern of a sentence over ``normalised`` text."""
+    some = "[^\\n]*(?:\\n[^\\n]+){0,4}?"
+    start, rest = (sentence[:-3], "(?:[ \\n][^\\n]*)?") if sentence.endswith(" .*") else (sentence, "")
+    return start.replace(" ", "[ \\n]").replace(".*", some) + rest
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; every run of anything but letters and digits becomes one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
+def normalised(text: Column) -> Column:
+    """Lower case; every run of anything but letters and digits becomes one space, the end of a line one line end.
 
-def sentences(text: Column) -> Column:
-    """Ends of lines and ``.``, ``!``, ``?``, ``:`` or ``;`` before white space end a sentence."""
-    return F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.!?:;])\s+")
+    ``.``, ``!`` and ``?`` before white space and blank lines end a sentence and leave an empty line; ``:`` and ``;`` before white
+    space count as the end of a line. Marks of comments and lists at the ends of lines go.
+    """
+    out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    for old, new in ((r"\bv\.\s+(?=\d)", "v "), (r"""[.!?]["')\]]*\s+""", "\n\n"), (r"[:;]\s+", "\n"), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n ?", "\n")):
+        out = F.regexp_replace(out, old, new)
+    return F.trim(out)
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order. Before a sentence there may be a number as in lists."""
     known = F.lit(None).cast("int")
     for number, pattern in reversed(SENTENCES):
-        known = (lambda p, n, rest: lambda s: F.when(s.rlike(f"^(?:{p})$"), F.lit(n)).otherwise(rest(s) if callable(rest) else rest))(pattern, number, known)
-    found = F.transform(F.filter(sentences(text), lambda s: s.rlike(CUE)), lambda s: let(normalised(s), known))
-    return F.when(text.rlike(CUE), F.filter(found, lambda n: n.isNotNull())).otherwise(F.array().cast("array<int>"))
+        known = (lambda p, n, rest: lambda s: F.when(s.rlike(f"^(?:\\d{{1,2}} )?(?:{p})$"), F.lit(n)).otherwise(rest(s) if callable(rest) else rest))(_pattern(pattern), number, known)
+    every = "(?m)^(?:\\d{1,2} )?(?:" + "|".join(_pattern(p) for _, p in SENTENCES) + ")$"
+    found = F.transform(F.regexp_extract_all(normalised(text), F.lit(every), F.lit(0)), known)
+    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<int>"))
 
 
 def _longest_first() -> str:
