@@ -56,16 +56,19 @@ def links_between(pages: DataFrame, host: str = "host", html: str = "html") -> D
     return found.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, own_share: bool = False) -> DataFrame:
     """(host, trust, distrust): PageRank that returns to the seeds (host, trust, distrust) with probability 1 - damping.
 
+    Distrust of a host is dealt out among those who link to it; with ``own_share`` each of them gets it by the share of its own
+    links that go there, however many others there are.
+
     Both ranks move in one pass: trust along the links, distrust against them. Each round is written to the shared folder, so
     that a lost executor costs a round at most; contributions are added up before they are shuffled.
     """
-    forward = links.select(F.col("src").alias("from"), F.col("dst").alias("to"), "n", F.lit(True).alias("ahead"))
-    arcs = forward.unionByName(links.select(F.col("dst").alias("from"), F.col("src").alias("to"), "n", F.lit(False).alias("ahead")))
-    out = arcs.groupBy("from", "ahead").agg(F.sum("n").alias("all"))
-    arcs = staged(arcs.join(out, ["from", "ahead"]).select("from", "to", "ahead", (F.col("n") / F.col("all")).alias("share")), "arcs")
+    forward = links.select(F.col("src").alias("from"), F.col("dst").alias("to"), "n", F.lit(True).alias("ahead"), F.col("src").alias("whole"))
+    arcs = forward.unionByName(links.select(F.col("dst").alias("from"), F.col("src").alias("to"), "n", F.lit(False).alias("ahead"), F.col("src" if own_share else "dst").alias("whole")))
+    out = arcs.groupBy("whole", "ahead").agg(F.sum("n").alias("all"))
+    arcs = staged(arcs.join(out, ["whole", "ahead"]).select("from", "to", "ahead", (F.col("n") / F.col("all")).alias("share")), "arcs")
     seeds = staged(seeds, "seeds")
     ranks = seeds
     if not arcs.take(1):
@@ -82,13 +85,13 @@ def judge_hosts(pages: DataFrame, links: DataFrame, rules: list[Rule], least: fl
     """(host, trust, distrust, blocked) from pages with host, path and the rules' verdict.
 
     A host is a seed if the rules decide more of its pages one way than the other, and decide most of them; its weight is that
-    surplus, and a rank is given per unit of seed weight. Blocked: distrust of at least ``least`` that outweighs the trust.
+    surplus, and a rank is given per unit of seed weight. Distrust goes by own links. Blocked: distrust of at least ``least`` that outweighs the trust.
     """
     per_host = pages.filter("host <> ''").groupBy("host").agg(F.avg((F.col("verdict") == "allow").cast("double")).alias("_"), F.count(F.lit(1)).alias("pages"), F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     mostly = F.col("good") + F.col("bad") >= 0.5 * F.col("pages")
     surplus = lambda a, b: F.when(mostly, F.greatest(F.lit(0.0), (F.col(a) - F.col(b)) / F.col("pages"))).otherwise(0.0)
     seeds = per_host.select("host", surplus("good", "bad").alias("trust"), surplus("bad", "good").alias("distrust"))
-    ranks = propagate(links, seeds, rounds)
+    ranks = propagate(links, seeds, rounds, own_share=True)
     return ranks.withColumn("blocked", (F.col("distrust") >= least) & (F.col("distrust") > F.col("trust")))
 
 
