@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog_engine.functions.arrays import let
 from catalog_engine.llm.bytepairs import decode, encode, read_ranks
 from catalog_engine.llm.hosts import Rule, filter_urls
 from catalog_engine.llm.language import fit_languages, identify
 from catalog_engine.llm.licences import scan_licences
 from catalog_engine.llm.packing import pack
+from catalog_engine.llm.periodic import collapse_runs, strongest
 from catalog_engine.llm.quality import fit_quality, score_quality
 from catalog_engine.llm.rules import fit_rules, judge
 from catalog_engine.llm.simhash import fingerprints, near_classes
@@ -111,6 +113,38 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def with_periods(text: Column, key: Column) -> Column:
+    """The text, in which every tenth key (by its checksum) repeats a stretch of its own words up to the end."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    checksum = F.crc32(key.cast("string").cast("binary"))
+    part = (checksum - checksum % 10) / 10
+
+    def rewritten(words: Column) -> Column:
+        count, share = F.size(words).cast("long"), 3 + part.cast("long") % 8
+        start = part.cast("long") % count
+        rest = count - start
+        period = 1 + ((rest - rest % share) / share).cast("long")
+        return let(F.struct(start.alias("start"), period.alias("period")), lambda at: F.array_join(F.transform(words, lambda w, i: repeated(words, at, w, i)), " "))
+
+    def repeated(words: Column, at: Column, word: Column, i: Column) -> Column:
+        source = at["start"] + (i - at["start"]) % at["period"]
+        return F.when(i < at["start"], word).otherwise(F.get(words, source.cast("int")))
+
+    return F.when((checksum % 10 == 0) & (F.size(words) > 0), let(words, rewritten)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    found = collapse_runs(docs).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    times = (1000 * F.col("best.length") - (1000 * F.col("best.length")) % F.col("best.period")) / F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", times.cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ORACLES["op3_exact_top_k"] = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v FROM embeddings
