@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine.functions.arrays import let
 from catalog_engine.llm.bytepairs import decode, encode, read_ranks
+from catalog_engine.llm.dialogue import repair
 from catalog_engine.llm.hosts import Rule, filter_urls
 from catalog_engine.llm.language import fit_languages, identify
 from catalog_engine.llm.licences import scan_licences
@@ -145,6 +146,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows left out, emptied, without sentence ends, repeated or given to the user, by checksum."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", shown("conv_id"), shown("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    hit = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)))
+    return hit.select("conv_id", "turn", "role", "text")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damaged(rows), rows)
+
+
 ORACLES["op3_exact_top_k"] = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v FROM embeddings
