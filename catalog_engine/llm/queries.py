@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog_engine.functions.arrays import let
 from catalog_engine.llm.bytepairs import decode, encode, read_ranks
 from catalog_engine.llm.dialogue import repair
+from catalog_engine.llm.disclosure import KINDS, find_personal, span_list
 from catalog_engine.llm.hosts import Rule, filter_urls
 from catalog_engine.llm.language import fit_languages, identify
 from catalog_engine.llm.licences import scan_licences
@@ -114,6 +115,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    base = F.concat(*[span_list(k, k) for k in KINDS])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    spans = F.array_join(F.concat(base, span_list("term", "term")), ",")
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def with_periods(text: Column, key: Column) -> Column:
     """The text, in which every tenth key (by its checksum) repeats a stretch of its own words up to the end."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
