@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_open_folders: ContextVar[list[str] | None] = ContextVar("open_folders", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,4 +37,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, for results that several branches reuse."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    folders = _open_folders.get()
+    if folders is not None:
+        folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this workspace, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``staged(build())``, after which the folders that ``build`` has staged are removed; only its result needed them."""
+    folders: list[str] = []
+    before = _open_folders.set(folders)
+    try:
+        made = build()
+        path = fresh_path(spark, label)
+        made.write.parquet(path)
+    finally:
+        _open_folders.reset(before)
+        for folder in folders:
+            remove(spark, folder)
+    if before.old_value is not before.MISSING and before.old_value is not None:
+        before.old_value.append(path)
+    return spark.read.schema(made.schema).parquet(path)
