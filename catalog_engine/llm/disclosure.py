@@ -123,44 +123,56 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit(f"{kind}:"), form(s["value"])).alias("entity")))
 
 
-def mentions(texts: DataFrame) -> DataFrame:
-    """(digest, entity, near): every mention of an entity with the terms around it; equal ones of equal texts once."""
-    found = texts.select("digest", "text", *[spans.alias(kind) for kind, spans in personal_spans(F.col("text")).items()])
-    each = found.select("digest", "text", F.explode(F.concat(*[_entities(k) for k in KINDS])).alias("at")).select("digest", "text", "at.*")
-    begin = F.greatest(F.col("start") - NEAR_CHARS, F.lit(0)).cast("int")
-    left = F.col("text").substr(begin + 1, (F.col("start") - begin).cast("int"))
-    right = F.col("text").substr((F.col("stop") + 1).cast("int"), F.lit(NEAR_CHARS))
-    # a word that the cut may have shortened is none
-    left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.length("text") > F.col("stop") + NEAR_CHARS, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    before = let(terms_of(left), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS))
-    near = F.concat(before, F.slice(terms_of(right), 1, NEAR_WORDS))
-    return each.select("digest", "entity", near.alias("near")).distinct()
-
-
-def disclosing_terms(texts: DataFrame, contexts: int = CONTEXTS, share: float = GENERALISE) -> tuple[DataFrame, DataFrame] | None:
-    """(term, share) of the terms that disclose an entity, and (digest, term) of the texts that hold one; None without any.
-
-    A term must stand near the entity in ``contexts`` different surroundings and texts, so that what is copied counts once.
-    With n texts, of which c hold the entity, t the term and j both near each other, the term discloses
-    log(j n / (c t)) of the log(n / c) bits; an entity that all texts hold has none to disclose.
+def mentions(docs: DataFrame) -> DataFrame:
+    """(text_hash, said) of the rows that mention an entity; ``said`` has the entity and the terms around it of each mention."""
+    found = docs.select("text", *[spans.alias(kind) for kind, spans in personal_spans(F.col("text")).items()])
+    each = found.withColumn("at", F.concat(*[_entities(k) for k in KINDS])).filter(F.size("at") > 0)
+    text = F.col("text")
+
+    def before(at: Column) -> Column:
+        begin = F.greatest(at["start"] - NEAR_CHARS, F.lit(0)).cast("int")
+        left = text.substr(begin + 1, (at["start"] - begin).cast("int"))
+        # a word that the cut may have shortened is none
+        whole = lambda part: terms_of(F.when(begin > 0, F.regexp_replace(part, r"^[\p{L}\p{N}]+", "")).otherwise(part))
+        return let(let(left, whole), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS))
+
+    def behind(at: Column) -> Column:
+        right = text.substr((at["stop"] + 1).cast("int"), F.lit(NEAR_CHARS))
+        whole = lambda part: terms_of(F.when(F.length(part) == NEAR_CHARS, F.regexp_replace(part, r"[\p{L}\p{N}]+$", "")).otherwise(part))
+        return F.slice(let(right, whole), 1, NEAR_WORDS)
+
+    said = F.transform("at", lambda at: F.struct(at["entity"].alias("entity"), F.concat(before(at), behind(at)).alias("near")))
+    return each.select(F.xxhash64("text").alias("text_hash"), said.alias("said"))
+
+
+def disclosing_terms(docs: DataFrame, contexts: int = CONTEXTS, share: float = GENERALISE) -> DataFrame | None:
+    """(term, share) of the terms that disclose an entity, from the column ``text`` of all documents; None without any.
+
+    With n documents, of which c hold the entity, t the term and j both near each other, the term discloses
+    log(j n / (c t)) of the log(n / c) bits; an entity that all documents hold has none to disclose. What is copied is no
+    evidence: the term must stand near the entity in ``contexts`` different surroundings and texts.
     """
-    met = staged(mentions(texts), "mentions")
-    pairs = met.select("entity", "digest", F.xxhash64("near").alias("around"), F.explode(F.array_distinct("near")).alias("term"))
-    several = lambda what: pairs.select("entity", "term", what).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= contexts)
-    together = several("digest").select("entity", "term", F.col("n").alias("joint"))
-    candidates = staged(together.join(several("around").select("entity", "term"), ["entity", "term"], "left_semi"), "candidates")
+    met = staged(mentions(docs), "mentions")
+    pairs = F.flatten(F.transform("said", lambda s: F.transform(s["near"], lambda w: F.struct(s["entity"].alias("entity"), w.alias("term")))))
+    joint = met.select(F.inline(F.array_distinct(pairs))).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
+    around = met.select("text_hash", F.inline("said")).select("entity", "text_hash", F.xxhash64("near").alias("around"), F.explode(F.array_distinct("near")).alias("term"))
+
+    def several(what: str) -> DataFrame:
+        different = around.select("entity", "term", what).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+        return different.filter(F.col("n") >= contexts).select("entity", "term")
+
+    supported = several("text_hash").join(several("around"), ["entity", "term"], "left_semi")
+    candidates = staged(joint.join(supported, ["entity", "term"], "left_semi"), "candidates")
     if candidates.isEmpty():
         return None
-    of_entity = met.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
-    held = texts.select("digest", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    held = staged(held.join(candidates.select("term").distinct(), "term", "left_semi").distinct(), "held")
-    of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    n = texts.select("digest").distinct().count()
-    known = F.log(F.col("joint") * F.lit(float(n)) / (F.col("holding") * F.col("seen"))) / F.nullif(F.log(F.lit(float(n)) / F.col("holding")), F.lit(0.0))
+    of_entity = met.select(F.explode(F.array_distinct("said.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
+    held = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    of_term = held.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    n = F.lit(float(docs.count()))
+    known = F.log(F.col("joint") * n / (F.col("holding") * F.col("seen"))) / F.nullif(F.log(n / F.col("holding")), F.lit(0.0))
     scored = candidates.join(of_entity, "entity").join(of_term, "term").select("term", known.alias("share"))
     terms = staged(scored.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= share), "terms")
-    return terms, held.join(terms, "term").select("digest", "term", "share")
+    return None if terms.isEmpty() else terms
 
 
 def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None, contexts: int = CONTEXTS, share: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -168,18 +180,19 @@ def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None =
     value, label) for the terms that disclose a value somewhere in the corpus, and ``sanitised``: the text with all of that
     generalised to a label in brackets, or removed.
 
-    Places count code points. A null text is the empty text, which holds nothing; repeated rows and copies of a text count
-    once in the statistics and have equal results; an empty table gives an empty one. Other columns are not looked at. Rows
+    Places count code points. A null text is the empty text, which holds nothing; every row counts in the statistics,
+    and equal texts have equal results; an empty table gives an empty one. Other columns are not looked at. Rows
     meet the terms of their text by the digest of the whole text; that table is as small as what is disclosed.
     """
     keep = keep or ["doc_id"]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("text"), F.sha2(body, 256).alias("digest"))
-    known = disclosing_terms(whole.select("digest", "text"), contexts, share)
-    if known is None:
+    terms = disclosing_terms(whole.select("text"), contexts, share)
+    if terms is None:
         joined = whole.withColumn("leaks", F.lit(None).cast("array<struct<term:string,share:double>>"))
     else:
-        leaks = staged(known[1].groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("leaks")), "leaks")
+        held = whole.select("digest", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term").distinct()
+        leaks = staged(held.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("leaks")), "leaks")
         joined = whole.join(leaks, "digest", "left")
     spans = personal_spans(F.col("text"))
     found = joined.select("row", "text", "leaks", *[spans[k].alias(k) for k in KINDS])

@@ -108,10 +108,10 @@ def corpus() -> list[str]:
 
 
 def plain_terms(texts: list[str | None], contexts: int) -> dict[str, float]:
-    whole = sorted({t or "" for t in texts})
+    whole = [t or "" for t in texts]
     words = lambda t: [w for w in re.split(r"[^a-z0-9]+", re.sub(r"\S*@\S*", " ", t.lower()))]
     good = lambda ws: [w for w in ws if len(w) >= 3 and re.search("[a-z]", w)]
-    holding, near, around = {}, {}, {}
+    holding, near, around, texts_of = {}, {}, {}, {}
     for k, t in enumerate(whole):
         for kind, spans in plain_personal(t).items():
             for a, b in spans:
@@ -120,6 +120,7 @@ def plain_terms(texts: list[str | None], contexts: int) -> dict[str, float]:
                 holding.setdefault((kind, value), set()).add(k)
                 for w in side:
                     near.setdefault((kind, value, w), set()).add(k)
+                    texts_of.setdefault((kind, value, w), set()).add(t)
                     around.setdefault((kind, value, w), set()).add(side)
     seen = {}
     for k, t in enumerate(whole):
@@ -127,7 +128,7 @@ def plain_terms(texts: list[str | None], contexts: int) -> dict[str, float]:
             seen.setdefault(w, set()).add(k)
     out = {}
     for (kind, value, w), ks in near.items():
-        if len(ks) >= contexts and len(around[kind, value, w]) >= contexts:
+        if len(texts_of[kind, value, w]) >= contexts and len(around[kind, value, w]) >= contexts:
             c = len(holding[kind, value])
             out[w] = max(out.get(w, -9), math.log(len(ks) * len(whole) / (c * len(seen[w]))) / math.log(len(whole) / c))
     return out
@@ -136,8 +137,7 @@ def plain_terms(texts: list[str | None], contexts: int) -> dict[str, float]:
 def test_terms_that_disclose(spark):
     texts = corpus()
     frame = spark.createDataFrame([(k, t, "x", 1.0) for k, t in enumerate(texts)], "doc_id long, text string, term string, share double").repartition(5)
-    whole = frame.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    terms, _ = disclosure.disclosing_terms(whole, contexts=3, share=-9.0)
+    terms = disclosure.disclosing_terms(frame.select(F.coalesce("text", F.lit("")).alias("text")), contexts=3, share=-9.0)
     want = plain_terms(texts, 3)
     assert {r["term"]: pytest.approx(r["share"]) for r in terms.collect()} == want
     assert want["zebulon"] >= disclosure.REMOVE and 0.3 < want["bluebird"] < disclosure.GENERALISE and "marmalade" not in want
