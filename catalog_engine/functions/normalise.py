@@ -114,7 +114,7 @@ def _ascii(c: str) -> str:
 # --- I1 to I4 --------------------------------------------------------------------------------------------------------
 
 
-def _unescape(c: str) -> str:
+def unescape_sql(c: str) -> str:
     """Named and numeric entities: cut the text into entities and other runs, replace the entities, join again.
 
     All names of the HTML standard; those that it allows without a semicolon are also known without one.
@@ -153,7 +153,7 @@ def clean_text(c: str) -> str:
     # No-break, narrow no-break, thin, figure, em and ideographic space, word joiner, byte order mark; then the
     # fraction slash.
     special, plain = "\u00a0\u202f\u2009\u2007\u2003\u3000\u2060\ufeff\u2044", "        /"
-    return rf"trim(regexp_replace(translate({_unescape(c)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
+    return rf"trim(regexp_replace(translate({unescape_sql(c)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
 
 
 @normaliser("s")

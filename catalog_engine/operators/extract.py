@@ -1,7 +1,8 @@
 """Extraction from tables of documents.
 
-A document is one row, so its parts are handled as arrays inside the row: regular expressions cut the markup, higher-order
-functions pick and clean the pieces, and rows appear only at the end through ``explode``. Nothing is shuffled and no text
+A document is one row, so its parts are handled as arrays inside the row: the markup is first brought into one form
+(``markup.canonical``), regular expressions cut it, higher-order functions pick and clean the pieces, and rows appear only at
+the end through ``explode``. Nothing is shuffled and no text
 leaves the JVM, except for nested lists, which need a stack.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine.functions import normalise as n
 from catalog_engine.functions.arrays import let
+from catalog_engine.operators.markup import canonical
 
 # an address in quotes or without
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?((?<=["'])[^"']*|(?<!["'])[^\s>"']+)["']?[^>]*>(.*?)</a>"""
@@ -99,7 +101,9 @@ def squeeze(text: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    return part(tag, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""")
+    """Value of an attribute in double or single quotes or without any, entities resolved."""
+    value = rf"""(?is)^<(?:[^>"']|"[^"]*"|'[^']*')*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    return let(F.coalesce(*[part(tag, value, k) for k in (1, 2, 3)]), n.unescaped)
 
 
 def _file(href: Column, strip_original: bool = False) -> Column:
@@ -117,6 +121,7 @@ def _rows(markup: Column | str) -> Column:
 
 def extract_fields(pages: DataFrame, html: str, labels: list[str], separator: str = "\n") -> DataFrame:
     """Long table (label, value): the cell after the first header cell holding the label, or after such a plain cell."""
+    pages = pages.withColumn(html, canonical(html))
 
     def value(label: str) -> Column:
         # the label may lie inside child tags of its cell, the value may hold a table of its own
@@ -142,11 +147,13 @@ def _feature_cells(html: str, section: str) -> Column:
 
 def extract_feature_rows(pages: DataFrame, html: str, section: str = "fiche_caracteristiques") -> DataFrame:
     """Long table (label, value) of the features section."""
+    pages = pages.withColumn(html, canonical(html))
     return pages.select(*[c for c in pages.columns if c != html], F.inline(_feature_cells(html, section)))
 
 
 def extract_feature_table(pages: DataFrame, html: str, labels: list[str], section: str = "fiche_caracteristiques") -> DataFrame:
     """The same as one column per label (the last row wins), without a pivot."""
+    pages = pages.withColumn(html, canonical(html))
     cells = pages.withColumn("_cells", _feature_cells(html, section))
 
     def last(label: str) -> Column:
@@ -157,6 +164,7 @@ def extract_feature_table(pages: DataFrame, html: str, labels: list[str], sectio
 
 def extract_title(pages: DataFrame, html: str) -> DataFrame:
     """Heading text up to its first span, and the span as subtitle; the heading of ``#main_title`` before any other."""
+    pages = pages.withColumn(html, canonical(html))
     heading = F.coalesce(part(region(html, "div", "id", "main_title"), element("h1")), part(html, element("h1")))
     before = F.regexp_replace(heading, r"(?is)<span\b.*$", "")
     return pages.select(
@@ -168,6 +176,7 @@ def extract_title(pages: DataFrame, html: str) -> DataFrame:
 
 def extract_links(pages: DataFrame, html: str, like: str = "%") -> DataFrame:
     """Anchors with their place in the page, address and text."""
+    pages = pages.withColumn(html, canonical(html))
     links = F.arrays_zip(pieces(html, ANCHOR, 1).alias("href"), pieces(html, ANCHOR, 2).alias("inner"))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(links).alias("_pos", "_link"))
     wanted = rows.withColumn("href", n.unescaped(F.col("_link.href"))).filter(F.col("href").like(like))
@@ -213,6 +222,7 @@ def _reference_faces(html: str) -> Column:
 
 def extract_media(pages: DataFrame, html: str) -> DataFrame:
     """Image references: kind 1 reference, 2 example, 3 sale, ``edge`` and ``comment`` (source 2 when from the forum)."""
+    pages = pages.withColumn(html, canonical(html))
 
     def typed(kind: str, faces: Column, source: Column | None = None) -> Column:
         return F.transform(faces, lambda f: F.struct(F.lit(kind).alias("kind"), f["face_a"].alias("face_a"), f["face_b"].alias("face_b"), f["source"].alias("source_type") if source is not None else F.lit(None).cast("int").alias("source_type")))
@@ -243,6 +253,7 @@ def extract_media(pages: DataFrame, html: str) -> DataFrame:
 
 def extract_mintage(pages: DataFrame, html: str) -> DataFrame:
     """Rows of the table below the mintage heading; a spanning header cell takes its names from the second header row."""
+    pages = pages.withColumn(html, canonical(html))
     table = part(html, r"(?is)<h3\b[^>]*>[^<]*mintage[^<]*</h3>.*?(<table\b.*?</table>)")
     work = pages.withColumn("_table", table).withColumn("_head", _rows(part("_table", element("thead"))))
     cells = r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)"
@@ -282,6 +293,7 @@ def extract_mintage(pages: DataFrame, html: str) -> DataFrame:
 
 def extract_face(pages: DataFrame, html: str, label: str) -> DataFrame:
     """Themes, description with its theme key, legends, creators and reference image of one face."""
+    pages = pages.withColumn(html, canonical(html))
     table = part(html, rf"(?is)<h3\b[^>]*>\s*{label}\s*:?\s*</h3>.*?(<table\b[^>]*\bcoin-desc\b[^>]*>.*?</table>)")
     work = pages.withColumn("_t", table)
 
@@ -303,6 +315,7 @@ def extract_face(pages: DataFrame, html: str, label: str) -> DataFrame:
 
 def extract_period_sections(pages: DataFrame, html: str) -> DataFrame:
     """Listing page: every header opens a period and the result links up to the next header belong to it."""
+    pages = pages.withColumn(html, canonical(html))
     sections = F.slice(F.split(html, r"(?i)<header\b"), 2, 2_000_000_000)
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(sections).alias("_pos", "_s"))
     head, tail = F.substring_index("_s", "</header>", 1), F.col("_s").substr(F.instr("_s", "</header>"), F.length("_s"))
@@ -310,13 +323,14 @@ def extract_period_sections(pages: DataFrame, html: str) -> DataFrame:
     hrefs = pieces(tail, r"""(?is)\bdescription_piece\b[^>]*>.*?<strong>\s*<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']""")
     kept = rows.select(
         "*", (F.col("_pos") + 1).alias("period_no"), squeeze(inner_text(part(head, element("h2")))).alias("period"),
-        squeeze(inner_text(part(head, element("p")))).alias("units"), F.posexplode_outer(hrefs).alias("_i", "href"),
+        squeeze(inner_text(part(head, element("p")))).alias("units"), F.posexplode_outer(F.transform(hrefs, n.unescaped)).alias("_i", "href"),
     )
     return kept.withColumn("link_no", F.col("_i") + 1).drop("_pos", "_s", "_i")
 
 
 def extract_after_label(pages: DataFrame, html: str, label: str, tag: str = "strong") -> DataFrame:
     """Text of the next strong element after a label, and its number when it is one."""
+    pages = pages.withColumn(html, canonical(html))
     text = squeeze(inner_text(part(html, rf"(?is){re.escape(label)}.*?<{tag}\b[^>]*>(.*?)</{tag}>")))
     number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
     return pages.select(*[c for c in pages.columns if c != html], text.alias("value"), number.alias("number"))
@@ -411,8 +425,11 @@ def classify_segments(docs: DataFrame, text: str, separator: str = r"(?i)<br\s*/
 
 def extract_people(pages: DataFrame, html: str, label: str = "Engravers?") -> DataFrame:
     """Names of a labelled paragraph, linked or separated by commas, with address and artist id."""
+    pages = pages.withColumn(html, canonical(html))
     after = part(html, rf"(?is)<p\b[^>]*>\s*<strong\b[^>]*>\s*{label}\s*:?\s*</strong>(.*?)</p>")
-    runs = pieces(after, r"(?is)(<a\b[^>]*>.*?</a>|[^<]+)")
+    # only anchors tell names apart, other tags are formatting
+    plain = F.regexp_replace(after, r"(?i)</?(?!a[\s>])[a-z][^>]*>", "")
+    runs = pieces(plain, r"(?is)(<a\b[^>]*>.*?</a>|[^<]+)")
     nobody = "array<struct<name:string,href:string>>"
 
     def people(run: Column) -> Column:
@@ -428,6 +445,7 @@ def extract_people(pages: DataFrame, html: str, label: str = "Engravers?") -> Da
 
 def extract_letterings(pages: DataFrame, html: str) -> DataFrame:
     """Lines of the lettering paragraph."""
+    pages = pages.withColumn(html, canonical(html))
     after = part(html, r"(?is)<p\b[^>]*>\s*<strong\b[^>]*>\s*Lettering[^<]*</strong>(.*?)</p>")
     block = F.coalesce(part(after, element("span", "class", "lettering")), after)
     lines = F.filter(F.transform(F.split(F.regexp_replace(block, r"(?i)<br\s*/?>", "\n"), "\n"), lambda x: squeeze(inner_text(x))), lambda x: x != "")
@@ -440,6 +458,7 @@ def extract_letterings(pages: DataFrame, html: str) -> DataFrame:
 
 def extract_directory(pages: DataFrame, html: str, kind: str) -> DataFrame:
     """List items of a directory page: ``mints``, ``tags``, ``techniques`` or ``rulers``."""
+    pages = pages.withColumn(html, canonical(html))
     keep = [c for c in pages.columns if c != html]
     items = pages.select(*keep, F.explode(pieces(html, element("li"))).alias("_li"))
     script = {"mints": "mint", "techniques": "technique", "rulers": "ruler"}.get(kind)
@@ -547,17 +566,18 @@ def flatten_nested_list(pages: DataFrame, key: str, markup: str) -> DataFrame:
     columns = [key, *[f.split()[0] for f in NODE_SCHEMA.split(", ")]]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
             for page, text in zip(batch[key], batch[markup], strict=True):
-                rows = []
                 for record in _read_list(text or ""):
-                    texts = {f: " ".join(record[f].split()) or None for f in ("raw_name", "territory", "alt_names")}
-                    rows.append({**record, **texts, key: page, "name": (texts["raw_name"] or "").rstrip(",").strip() or None})
+                    texts = [" ".join(record[f].split()) or None for f in ("raw_name", "territory", "alt_names")]
+                    name = (texts[0] or "").rstrip(",").strip() or None
+                    rows.append((page, record["position"], record["raw_slug"], record["slug"], texts[0], name, *texts[1:], record["tags"], record["parent_slug"], record["raw_parent_slug"], record["historical"]))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     source = pages.select(key, markup)
     return source.mapInPandas(read, f"{key} {dict(source.dtypes)[key]}, {NODE_SCHEMA}")

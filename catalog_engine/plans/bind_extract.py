@@ -17,9 +17,10 @@ def markup(*pieces):
 def part_pages(t):
     """One entity page per part."""
     html = markup(
-        '<html><head><title>x</title></head><h1>Menu</h1><div class="t" id="main_title"><div>i</div><h1>\n', "$p_name", " &amp; co <span> ", "$p_type", '</span></h1></div>',
+        '<html><head><title>x</title></head><!-- <h1>Old</h1> --><script>if (a < b) { s = "<h1>No</h1>" }</script><h1>Menu</h1><div class="t" title="a > b" id="main_title"><div>i</div><h1>\n', "$p_name", " &amp; co <span> ", "$p_type", '</span></h1></div>',
         '<section id="fiche_caracteristiques"><table><tr><th>Issuer:</th><td><a href="/i.php">', "$p_brand", "</a></td></tr>\n<tr><th><a href='/v'> Value </a></th><td>", "$p_size",
         " Cents<br/>(old)\n<br/>second line</td></tr><tr><th>Weight (max)</th><td>", "$p_retailprice", "  g <div class=\"tooltip\">hint</div></td></tr>",
+        '<!-- <tr><th>Old</th><td>x</td></tr> --><tr><th title="a>b">Edge<td><table><tr><td>Reeded</td></tr></table> &amp; fine',
         "<tr><td><b>Size</b></td><td><table><tr><td>", "$p_size", "</td><td> mm</td></tr></table></td></tr></table></section><table><tr><th>Issuer</th><td>wrong</td></tr></table>",
         "<p>Rarity index: <a>?</a> <strong>", "$p_size", "</strong></p></html>",
     )
@@ -38,7 +39,7 @@ def _(t):
 @bind(
     "extract_feature_rows",
     """SELECT p_partkey, 'issuer' AS label, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'value', p_size || ' Cents (old) second line' FROM part
-       UNION ALL SELECT p_partkey, 'weight_max', p_retailprice || ' g' FROM part""",
+       UNION ALL SELECT p_partkey, 'weight_max', p_retailprice || ' g' FROM part UNION ALL SELECT p_partkey, 'edge', 'Reeded & fine' FROM part""",
 )
 def _(t):
     return op.extract_feature_rows(part_pages(t), "html")
@@ -110,7 +111,7 @@ def _(t):
     head = F.when(two, '<tr><th>Year</th><th>Mark</th><th colspan="3">Mintage</th><th>Price</th></tr><tr><th>UNC</th><th>BU</th><th>Proof</th></tr>').otherwise("<tr><th>Year</th><th> Mark</th><th>Mintage UNC</th><th>Price</th></tr>")
     first = F.concat(
         markup("<tr><td>", "$_year", "</td><td>M", "$p_size", "</td>"), F.when(F.col("p_size") % 4 > 0, markup("<td>", "$p_partkey", "</td>")).otherwise("<td>Unknown 5</td>"),
-        F.when(two, markup("<td>-</td><td>", "$p_size", ",000</td><td>9 $</td></tr><tr><td>1800</td><td></td><td></td><td>7</td></tr><tr><td></td><td>unknown</td></tr>")).otherwise("<td>1 $</td></tr>"),
+        F.when(two, markup("<td><table><tr><td>-</td></tr></table></td><td>", "$p_size", ",000</td><td>9 $</td></tr><tr><td>1800</td><td></td><td></td><td>7</td></tr><tr><td></td><td>unknown</td></tr>")).otherwise("<td>1 $</td></tr>"),
     )
     html = F.concat(F.lit("<h3>Other</h3><table><tbody><tr><td>1</td></tr></tbody></table><h3>Mintage, Worth</h3><div><table><thead>"), head, F.lit("</thead><tbody>"), first, F.lit("</tbody></table></div>"))
     rows = t.part.withColumn("_year", 1900 + F.col("p_size")).select("p_partkey", html.alias("html"))
@@ -120,10 +121,10 @@ def _(t):
 @bind(
     "extract_face",
     """SELECT p_partkey, p_brand || '|Birds' AS themes, 'A ' || p_name || ' on grass.' AS description, 't' || p_size AS description_key, upper(p_name) || '|' || p_type AS legends, 'Me' AS creators,
-         CASE WHEN p_size % 2 = 0 THEN '/i/' || p_partkey || '.jpg' END AS reference_image FROM part""",
+         CASE WHEN p_size % 2 = 0 THEN '/i/a&b' || p_partkey || '.jpg' END AS reference_image FROM part""",
 )
 def _(t):
-    image = F.when(F.col("p_size") % 2 == 0, markup("/i/", "$p_partkey", ".jpg")).otherwise("/NoImage.png")
+    image = F.when(F.col("p_size") % 2 == 0, markup("/i/a&amp;b", "$p_partkey", ".jpg")).otherwise("/NoImage.png")
     html = F.concat(
         F.lit("<h3>Reverse</h3><table class='tbl coin-desc'><tr><th></th></tr></table><h3> Obverse: </h3><table class=\"tbl coin-desc\"><tr><th><img src=\""), image,
         markup('"/></th></tr><tr><td><span class="theme">', "$p_brand", '</span><span class="theme"> Birds</span><p><span>Description</span><br/>A <a href="/c?a=1&amp;theme=t', "$p_size", '">', "$p_name",
@@ -153,13 +154,13 @@ PAGED_SQL = """SELECT *, l_orderkey || '-' || (row_number() OVER (PARTITION BY l
     "extract_period_sections",
     f"""WITH p AS ({PAGED_SQL}), s AS (SELECT DISTINCT page, l_returnflag FROM p),
             n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY l_returnflag) AS period_no FROM s)
-       SELECT n.page, period_no, 'Period ' || n.l_returnflag AS period, '1 = ' || n.l_returnflag AS units, '/c/' || l_partkey AS href,
+       SELECT n.page, period_no, 'Period ' || n.l_returnflag AS period, '1 = ' || n.l_returnflag AS units, '/c/a&b' || l_partkey AS href,
          row_number() OVER (PARTITION BY l.page, l.l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS link_no
        FROM n JOIN p l ON l.page = n.page AND l.l_returnflag = n.l_returnflag""",
 )
 def _(t):
     def item(x):
-        return F.concat(F.lit("\u0003"), x["l_returnflag"], F.lit('<div class="resultat_recherche"><div class="description_piece"><i>x</i><strong><a href="/c/'), x["l_partkey"].cast("string"), F.lit('">n</a></strong></div></div>'))
+        return F.concat(F.lit("\u0003"), x["l_returnflag"], F.lit('<div class="resultat_recherche"><div class="description_piece"><i>x</i><strong><a href="/c/a&amp;b'), x["l_partkey"].cast("string"), F.lit('">n</a></strong></div></div>'))
 
     listing = line_lists(t, item)
     for flag in ("A", "N", "R"):
@@ -222,10 +223,10 @@ def _(t):
 @bind(
     "extract_people",
     """SELECT p_partkey, 1 AS person_no, p_name AS name, '/artist.php?id=' || p_size AS href, p_size::BIGINT AS artist_id FROM part
-       UNION ALL SELECT p_partkey, 2, p_brand, NULL, NULL FROM part UNION ALL SELECT p_partkey, 3, p_type, NULL, NULL FROM part UNION ALL SELECT p_partkey, 4, 'Last', '/x', NULL FROM part""",
+       UNION ALL SELECT p_partkey, 2, p_brand, NULL, NULL FROM part UNION ALL SELECT p_partkey, 3, p_type, NULL, NULL FROM part UNION ALL SELECT p_partkey, 4, 'Last', '/x?a=1&b=2', NULL FROM part""",
 )
 def _(t):
-    html = markup('<p>no</p><p><strong>Engravers:</strong> <a href="/artist.php?id=', "$p_size", '"> ', "$p_name", "</a>, ", "$p_brand", " ,", "$p_type", ', <a href="/x">Last</a></p>')
+    html = markup('<p>no</p><p><strong>Engravers:</strong> <a href="/artist.php?id=', "$p_size", '"> ', "$p_name", "</a>, ", "$p_brand", " ,<em>", "$p_type", '</em>, <a href="/x?a=1&amp;b=2">Last</a></p>')
     return op.extract_people(t.part.select("p_partkey", html.alias("html")), "html")
 
 

@@ -146,10 +146,10 @@ def _(t):
 
 @bind(
     "html_rows",
-    """WITH c(row_no, cell_no, is_header, fixed) AS (VALUES (1, 1, true, 'Issuer:'), (2, 1, true, 'Value'), (3, 1, true, 'Weight (max)'), (4, 1, false, 'Size'), (4, 3, false, 'mm'), (5, 1, true, 'Issuer'), (5, 2, false, 'wrong'))
+    """WITH c(row_no, cell_no, is_header, fixed) AS (VALUES (1, 1, true, 'Issuer:'), (2, 1, true, 'Value'), (3, 1, true, 'Weight (max)'), (4, 1, true, 'Edge'), (4, 2, false, 'Reeded & fine'), (5, 1, false, 'Size'), (6, 1, true, 'Issuer'), (6, 2, false, 'wrong'))
        SELECT p_partkey, row_no, cell_no, is_header, fixed AS text FROM part, c UNION ALL SELECT p_partkey, 1, 2, false, p_brand FROM part
        UNION ALL SELECT p_partkey, 2, 2, false, p_size || ' Cents (old) second line' FROM part UNION ALL SELECT p_partkey, 3, 2, false, p_retailprice || ' g hint' FROM part
-       UNION ALL SELECT p_partkey, 4, 2, false, p_size::VARCHAR FROM part""",
+       UNION ALL SELECT p_partkey, 5, 2, false, p_size || ' mm' FROM part""",
 )
 def _(t):
     catalog.register_html_rows(t.spark)

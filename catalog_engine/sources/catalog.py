@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.functions.normalise import REGISTRY
+from catalog_engine.functions.normalise import REGISTRY, unescape_sql
+from catalog_engine.operators.markup import canonical_sql
 
 _IDENTIFIER = re.compile(r"^[a-zA-Z0-9_]+$")
 
@@ -57,12 +58,15 @@ def register_functions(spark: SparkSession) -> list[str]:
 
 
 def register_html_rows(spark: SparkSession) -> None:
-    """SQL table function ``html_rows(markup)`` for lateral joins over documents: one row per table cell."""
+    """SQL table function ``html_rows(markup)`` for lateral joins over documents: one row per table cell.
+
+    A table inside a cell is text of that cell; entities are resolved."""
+    plain = r"trim(regexp_replace(regexp_replace(cell, r'<[^>]*>', ' '), r'[\s\x{00a0}]+', ' '))"
     spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION html_rows(markup STRING)
+        rf"""CREATE OR REPLACE TEMPORARY FUNCTION html_rows(markup STRING)
             RETURNS TABLE (row_no INT, cell_no INT, is_header BOOLEAN, text STRING) RETURN
-            SELECT cells.* FROM inline(flatten(transform(regexp_extract_all(markup, r'(?is)<tr\b[^>]*>(.*?)</tr>', 1), (body, i) ->
+            SELECT cells.* FROM inline(flatten(transform(regexp_extract_all({canonical_sql("markup")}, r'(?is)<tr\b[^>]*>(.*?)</tr>', 1), (body, i) ->
               transform(regexp_extract_all(body, r'(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)', 1), (cell, j) -> struct(
-                i + 1, j + 1, lower(left(cell, 3)) = '<th', trim(regexp_replace(regexp_replace(cell, r'<[^>]*>', ' '), r'[\s\x{00a0}]+', ' '))
+                i + 1, j + 1, lower(left(cell, 3)) = '<th', transform(array({plain}), shown -> {unescape_sql("shown")})[0]
               ))))) AS cells(row_no, cell_no, is_header, text)"""
     )
