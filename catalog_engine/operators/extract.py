@@ -102,8 +102,10 @@ def squeeze(text: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in double or single quotes or without any, entities resolved."""
-    value = rf"""(?is)^<(?:[^>"']|"[^"]*"|'[^']*')*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    return let(F.coalesce(*[part(tag, value, k) for k in (1, 2, 3)]), n.unescaped)
+    other = rf"""\s*+(?!{name}\s*=)[^\s=>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
+    value = rf"""(?is)^<[^\s>]+(?:{other})*+\s*+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+    bare = let(part(tag, value), lambda v: F.when(v.rlike("^[\"']"), F.nullif(v.substr(F.lit(2), F.length(v) - 2), F.lit(""))).otherwise(v))
+    return let(bare, n.unescaped)
 
 
 def _file(href: Column, strip_original: bool = False) -> Column:

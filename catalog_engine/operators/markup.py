@@ -51,17 +51,23 @@ def _inner_tables(text: str) -> str:
     return _let(parts, "parts", f"CASE WHEN size(parts) < 4 THEN {text} ELSE {_let(depths, 'depths', joined)} END")
 
 
+# a cell that the next part of a table follows before its end, and a row that another row or the table's end follows
+_OPEN_CELL = rf"(?i)<t[dh]{_AFTER}(?:[^<]++|<(?!/?(?:{_PARTS}){_AFTER}))*+<(?!/t[dh]{_AFTER})|<t[dh]{_AFTER}(?:[^<]++|<(?!/?(?:{_PARTS}){_AFTER}))*+\z"
+_OPEN_ROW = rf"(?i)</t[dh]\s*>\s*(?:<(?:tr|/?(?:table|thead|tbody|tfoot)){_AFTER}|\z)"
+
+
 def _implied_ends(text: str) -> str:
     """Leaves out the end tags of cells and rows and puts them where the next part of the table is. A table tag is added at
-    the end and taken away again, so that the last row ends too."""
-    bare = r"regexp_replace({}, r'(?i)</(?:td|th|tr)\s*>', '')".format(text)
-    cell, row = r"regexp_extract({}, r'(?i)^<(td|th){}', 1)", r"{} RLIKE r'(?i)^<tr{}'"
-    ends_cell = "CASE WHEN {0} <> '' THEN concat('</', {0}, '>') ELSE '' END".format(cell.format("parts[i - 1]", _AFTER))
-    ends_row = f"CASE WHEN {cell.format('parts[i - 1]', _AFTER)} <> '' OR {row.format('parts[i - 1]', _AFTER)} THEN '</tr>' ELSE '' END"
-    before = f"CASE WHEN i = 0 THEN '' WHEN {cell.format('p', _AFTER)} <> '' THEN {ends_cell} ELSE concat({ends_cell}, {ends_row}) END"
+    the end and taken away again, so that the last row ends too. Nothing is done where none is missing."""
+    bare = rf"regexp_replace({text}, r'(?i)</(?:td|th|tr)\s*>', '')"
+    kinds = rf"transform(parts, p -> lower(regexp_extract(p, r'(?i)^<(td|th|tr){_AFTER}', 1)))"
+    ends = "CASE kinds[i - 1] WHEN 'td' THEN '</td></tr>' WHEN 'th' THEN '</th></tr>' WHEN 'tr' THEN '</tr>' ELSE '' END"
+    cell = "CASE kinds[i - 1] WHEN 'td' THEN '</td>' WHEN 'th' THEN '</th>' ELSE '' END"
+    before = f"CASE WHEN i = 0 THEN '' WHEN kinds[i] IN ('td', 'th') THEN {cell} ELSE {ends} END"
     parts = rf"split(concat({bare}, '<table >'), r'(?i)(?=</?(?:{_PARTS}){_AFTER})')"
-    joined = f"array_join(transform(parts, (p, i) -> concat({before}, p)), '')"
-    return _let(parts, "parts", _let(joined, "whole", "left(whole, length(whole) - 8)"))
+    joined = _let(kinds, "kinds", f"array_join(transform(parts, (p, i) -> concat({before}, p)), '')")
+    closed = _let(parts, "parts", _let(joined, "whole", "left(whole, length(whole) - 8)"))
+    return f"CASE WHEN {text} RLIKE r'{_OPEN_CELL}' OR {text} RLIKE r'{_OPEN_ROW}' THEN {closed} ELSE {text} END"
 
 
 def canonical_sql(text: str) -> str:
