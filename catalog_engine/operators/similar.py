@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalog_engine.functions import normalise as n
 from catalog_engine.functions.arrays import let
 from catalog_engine.operators.filters import changed_rows
-from catalog_engine.operators.numbering import hot_groups, spread_row_number
+from catalog_engine.operators.numbering import spread_row_number
 from catalog_engine.workspace import staged
 
 # --- exact duplicates ------------------------------------------------------------------------------------------------
@@ -124,6 +124,10 @@ def _bands(limit: int) -> tuple[int, int, int]:
     raise ValueError("hashes that differ in this many bits are not similar")
 
 
+#: from this distance on a scope has two leaders at most; under it similar pairs are found by bands
+FEW_LEADERS = 48
+
+
 def _distinct_hashes(df: DataFrame, scope: str, digest: str, order: str) -> DataFrame:
     """One row per scope and hash value: its first row and how many there are."""
     return df.filter(F.col(digest).isNotNull()).groupBy(scope, digest).agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("copies"))
@@ -167,48 +171,35 @@ def hamming_pairs(df: DataFrame, scope: str, digest: str, row_id: str, limit: in
     return pairs.unionByName(copies.select(scope, "id_a", F.col(row_id).alias("id_b"), F.lit(0).alias("distance")))
 
 
-def leader_groups(df: DataFrame, scope: str, digest: str, order: str, limit: int = 9, task_hashes: int = 20_000) -> DataFrame:
+def leader_groups(df: DataFrame, scope: str, digest: str, order: str, limit: int = 9) -> DataFrame:
     """Greedy groups in order: the first free row leads and takes every free row within ``limit`` bits of it.
 
     Groups of one get NULL, the others are numbered from 1 per scope. Rows with equal hashes always share a leader, so only
-    distinct hashes are grouped. Scopes with at most ``task_hashes`` of them run inside one task; larger ones are settled in
-    rounds over their similar pairs: a hash leads as soon as no earlier undecided hash is near, and takes its neighbours.
+    distinct hashes are grouped. They are settled in rounds over their similar pairs: a hash leads as soon as no earlier
+    undecided hash is near, and takes its neighbours. Rows with a null scope are one scope; a null hash is in no group.
     """
-    hashes = staged(_distinct_hashes(df, scope, digest, order), "hashes")
-    large = hot_groups(hashes, [scope], task_hashes)
-    if large is None:
-        led = _lead_in_task(hashes, scope, digest, limit)
-    else:
-        same = F.col(scope).eqNullSafe(F.col(f"_hot_{scope}"))
-        small = hashes.join(large, same, "left_anti")
-        led = _lead_in_task(small, scope, digest, limit).unionByName(
-            _lead_in_rounds(hashes.join(large, same, "left_semi"), scope, digest, limit)
-        )
-    led = staged(led, "leaders")
+    # as a struct a null scope is equal to itself in joins
+    hashes = staged(_distinct_hashes(df, scope, digest, order).withColumn(scope, F.struct(F.col(scope).alias("s"))), "hashes")
+    lead = _lead_in_rounds if limit < FEW_LEADERS else _lead_by_two
+    led = staged(lead(hashes, scope, digest, limit), "leaders")
     sizes = led.groupBy(scope, "leader").agg(F.sum("copies").alias("_size")).filter("_size > 1")
     numbered = spread_row_number(sizes, [scope], [F.col("leader")], "group_id").select(F.col(scope).alias("_gscope"), F.col("leader").alias("_leader"), "group_id")
-    grouped = led.join(numbered, F.col(scope).eqNullSafe(F.col("_gscope")) & (F.col("leader") == F.col("_leader")), "left")
-    keyed = grouped.select(F.col(scope).alias("_scope"), F.col(digest).alias("_digest"), "group_id")
+    grouped = led.join(numbered, (F.col(scope) == F.col("_gscope")) & (F.col("leader") == F.col("_leader")), "left")
+    keyed = grouped.select(F.col(f"{scope}.s").alias("_scope"), F.col(digest).alias("_digest"), "group_id")
     joined = df.join(keyed, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col(digest) == F.col("_digest")), "left")
     return joined.drop("_scope", "_digest")
 
 
-def _lead_in_task(hashes: DataFrame, scope: str, digest: str, limit: int) -> DataFrame:
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first_id", kind="stable").reset_index(drop=True)
-        values = group[digest].to_numpy(dtype=np.int64)
-        leader = np.full(len(group), -1, dtype=np.int64)
-        free = np.arange(len(group))
-        while len(free):
-            near = np.bitwise_count((values[free] ^ values[free[0]]).view(np.uint64)) <= limit
-            leader[free[near]] = free[0]
-            free = free[~near]
-        group["leader"] = group["first_id"].to_numpy()[leader]
-        return group
-
-    types = dict(hashes.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in hashes.columns) + f", leader {types['first_id']}"
-    return hashes.groupBy(scope).applyInPandas(lead, schema)
+def _lead_by_two(hashes: DataFrame, scope: str, digest: str, limit: int) -> DataFrame:
+    """Leaders where a scope has two at most: no three hashes of 64 bits differ by 49 or more from each other, as of three
+    bits two are always equal (Plotkin's bound). The first hash leads, and the first that is not near it leads the rest."""
+    earliest = lambda rows, name: rows.groupBy(F.col(scope).alias(f"_{name}")).agg(F.min(F.struct("first_id", digest)).alias(name))
+    joined = hashes.join(earliest(hashes, "one"), F.col(scope) == F.col("_one"))
+    near = F.bit_count(F.col(digest).bitwiseXOR(F.col(f"one.{digest}"))) <= limit
+    both = joined.withColumn("_near", near)
+    rest = earliest(both.filter(~F.col("_near")), "two")
+    leader = F.when(F.col("_near"), F.col("one.first_id")).otherwise(F.col("two.first_id"))
+    return both.join(rest, F.col(scope) == F.col("_two"), "left").select(*hashes.columns, leader.alias("leader"))
 
 
 def _lead_in_rounds(hashes: DataFrame, scope: str, digest: str, limit: int) -> DataFrame:

@@ -110,7 +110,19 @@ def _(t):
     return op.hamming_pairs(staged(hashed(t), "hashed"), "label", "hash", "vec_id", LIMIT)
 
 
-@bind("leader_groups")
+@bind(
+    "leader_groups",
+    f"""WITH RECURSIVE h AS ({DHASH_SQL}), d AS (SELECT label, hash, min(vec_id) AS id FROM h GROUP BY ALL),
+          o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS pos FROM d),
+          r AS (SELECT label, pos, [hash] AS led FROM o WHERE pos = 1
+                UNION ALL SELECT o.label, o.pos, CASE WHEN len(list_filter(r.led, lambda x: bit_count(xor(x, o.hash)) <= {LIMIT})) > 0 THEN r.led ELSE list_append(r.led, o.hash) END
+                FROM r JOIN o ON o.label = r.label AND o.pos = r.pos + 1),
+          f AS (SELECT label, arg_max(led, pos) AS led FROM r GROUP BY label),
+          g AS (SELECT h.vec_id, h.label, list_filter(f.led, lambda x: bit_count(xor(x, h.hash)) <= {LIMIT})[1] AS leader FROM h JOIN f ON f.label = h.label),
+          s AS (SELECT g.label, g.leader, d.id, count(*) AS n FROM g JOIN d ON d.label = g.label AND d.hash = g.leader GROUP BY ALL),
+          k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS group_id FROM s WHERE n > 1)
+        SELECT g.vec_id, g.label, k.group_id FROM g LEFT JOIN k ON k.label = g.label AND k.leader = g.leader""",
+)
 def _(t):
     return op.leader_groups(staged(hashed(t), "hashed"), "label", "hash", "vec_id", LIMIT).select("vec_id", "label", "group_id")
 

@@ -99,11 +99,11 @@ def hash_rows(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("task_hashes", [10_000, 5])
-def test_leader_groups_agree_with_the_greedy_loop(spark, task_hashes):
-    rows = hash_rows()
-    grouped = similar.leader_groups(spark.createDataFrame(rows, "s int, i long, h long"), "s", "h", "i", 9, task_hashes).collect()
-    expected = brute_leaders(rows, 9)
+@pytest.mark.parametrize("limit", [0, 9, 40, 47, 48, 63])
+def test_leader_groups_agree_with_the_greedy_loop(spark, limit):
+    rows = hash_rows() + [(None, 5_000 + i, h) for i, (_, _, h) in enumerate(hash_rows(7)[:40])] + [(7, 9_000, 0), (7, 9_001, -1), (7, 9_002, 1), (8, 9_100, 5)]
+    grouped = similar.leader_groups(spark.createDataFrame(rows, "s int, i long, h long"), "s", "h", "i", limit).collect()
+    expected = brute_leaders([(s, i, h % 2**64) for s, i, h in rows], limit)
     assert len(grouped) == len(rows)
     assert {r["i"]: r["group_id"] for r in grouped} == {i: expected.get(i) for _, i, _ in rows}
 

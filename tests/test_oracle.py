@@ -12,7 +12,7 @@ ROOT = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"conditional_having", "semi_owners", "set_minus"}
 
 
-PYTHON_ALLOWED = {"flatten_nested_list", "leader_groups", "dhash64_image", "corner_stats", "score_batches"}
+PYTHON_ALLOWED = {"flatten_nested_list", "dhash64_image", "corner_stats", "score_batches"}
 
 
 @pytest.fixture(scope="module")

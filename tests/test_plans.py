@@ -9,7 +9,7 @@ from pathlib import Path
 from __spark_entry__ import entry, queries
 
 ROOT = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"flatten_nested_list", "leader_groups", "dhash64_image", "corner_stats", "score_batches", "html_rows"}
+PYTHON_QUERIES = {"flatten_nested_list", "dhash64_image", "corner_stats", "score_batches", "html_rows"}
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["lookup_entity"](spark, ROOT)._jdf.queryExecution().toString()
