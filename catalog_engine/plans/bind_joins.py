@@ -35,10 +35,10 @@ def _(t):
 @bind(
     "semi_owners",
     """SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-         WHERE l_returnflag <> 'R' AND l_linenumber > 5 AND l_quantity > 48)""",
+         WHERE l_returnflag <> 'R')""",
 )
 def _(t):
-    children = live_rows(t.lineitem, removed()).filter("l_linenumber > 5 AND l_quantity > 48")
+    children = live_rows(t.lineitem, removed())
     owners = t.customer.select("c_custkey", "c_name")
     return op.semi_owners(owners, t.orders, children, ("c_custkey", "o_custkey"), ("o_orderkey", "l_orderkey"))
 

@@ -87,12 +87,13 @@ def _(t):
     f"""WITH b AS ({BYTE_SQL}), c AS (SELECT vec_id, i % 9 AS x, i // 9 AS y, b FROM b JOIN (SELECT unnest(range(72)) AS i) ON i % 64 = pos),
             n AS (SELECT vec_id, x, y, b, lead(b) OVER (PARTITION BY vec_id, y ORDER BY x) AS nxt FROM c)
        SELECT vec_id, sum(CASE WHEN b > nxt THEN (1::HUGEINT << (y * 8 + x)::INT) ELSE 0 END) FILTER (WHERE x < 8 AND y < 4)::BIGINT AS low_half,
-         bit_count(sum(CASE WHEN b > nxt THEN (1::HUGEINT << (y * 8 + x)::INT) ELSE 0 END) FILTER (WHERE x < 8)::HUGEINT)::INT AS bits FROM n WHERE vec_id % 11 <> 0 GROUP BY vec_id""",
+         bit_count(sum(CASE WHEN b > nxt THEN (1::HUGEINT << (y * 8 + x)::INT) ELSE 0 END) FILTER (WHERE x < 8)::HUGEINT)::INT AS bits FROM n WHERE vec_id % 11 <> 0 GROUP BY vec_id
+       UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE vec_id % 11 = 0""",
 )
 def _(t):
     # an 18 by 16 picture whose 2 by 2 blocks are the 9 by 8 cells
     cell = lambda i: (F.floor(F.floor(i / 18) / 2) * 9 + F.floor(i % 18 / 2)) % 64
-    images = pictures(byte_rows(t), 16, 18, cell).filter("image.height > 0")
+    images = pictures(byte_rows(t), 16, 18, cell)
     small = images.select("vec_id", op.resample("luma")("image").alias("cells"))
     bits = small.select("vec_id", op.dhash64("cells", stretch=False).alias("hash"))
     return bits.select("vec_id", F.col("hash").bitwiseAND((1 << 32) - 1).alias("low_half"), F.bit_count("hash").alias("bits"))
@@ -197,10 +198,11 @@ def _(t):
 @bind(
     "corner_stats",
     f"""SELECT vec_id, round(avg(s), 6) AS spread FROM (SELECT vec_id, x // 4 AS cx, y // 4 AS cy, stddev_pop(b) AS s FROM (SELECT vec_id, pos % 8 AS x, pos // 8 AS y, b FROM ({BYTE_SQL}))
-          WHERE x NOT IN (3, 4) AND y NOT IN (3, 4) AND vec_id % 11 <> 0 GROUP BY ALL) GROUP BY vec_id""",
+          WHERE x NOT IN (3, 4) AND y NOT IN (3, 4) AND vec_id % 11 <> 0 GROUP BY ALL) GROUP BY vec_id
+        UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id % 11 = 0""",
 )
 def _(t):
-    images = pictures(byte_rows(t), 8, 8, same_cell).filter("image.height > 0")
+    images = pictures(byte_rows(t), 8, 8, same_cell)
     return images.select("vec_id", F.round(op.corner_stats(3)("image"), 6).alias("spread"))
 
 

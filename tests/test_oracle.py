@@ -9,7 +9,7 @@ from tests.oracle import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
 # nothing to find on so few rows
-MAY_BE_EMPTY = {"conditional_having", "semi_owners", "set_minus"}
+MAY_BE_EMPTY = {"conditional_having", "set_minus"}
 
 
 PYTHON_ALLOWED = {"flatten_nested_list", "dhash64_image", "corner_stats", "score_batches"}
