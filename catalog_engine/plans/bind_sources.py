@@ -177,15 +177,16 @@ def _(t):
     """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id UNION ALL SELECT -1, 0, 'seed'""",
 )
 def _(t):
-    inbox, target, checkpoint = (fresh_path(t.spark, name) for name in ("inbox", "users", "progress"))
+    target = fresh_path(t.spark, "users")
     rows = t.events.select("user_id", "event_id", "event_type")
-    for late in (0, 1):  # the newer half comes first, and each file is a batch of its own
-        half = F.col("event_id") > rows.agg(F.avg("event_id").alias("m")).scalar()
-        rows.filter(~half if late else half).coalesce(1).write.mode("append").parquet(inbox)
     start = t.events.agg(F.count(F.lit(1))).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("event_id"), F.lit("seed").alias("event_type"))
     sinks.publish_buckets(sinks.in_buckets(start, ["user_id"], 8), target, ["user_id"])
-    feed = incremental.file_stream(t.spark, inbox, rows.schema, files_per_batch=1)
-    incremental.stream_upsert(feed, target, ["user_id"], ["event_type"], checkpoint, "event_id", buckets=8)
+    newer = F.col("event_id") > rows.agg(F.avg("event_id").alias("m")).scalar()
+    for half in (newer, ~newer):  # the older rows come last and change nothing
+        inbox, checkpoint = fresh_path(t.spark, "inbox"), fresh_path(t.spark, "progress")
+        rows.filter(half).write.parquet(inbox)
+        feed = incremental.file_stream(t.spark, inbox, rows.schema)
+        incremental.stream_upsert(feed, target, ["user_id"], ["event_type"], checkpoint, "event_id", buckets=8)
     return sinks.read_buckets(t.spark, target).drop(sinks.BUCKET)
 
 
