@@ -19,28 +19,31 @@ from catalog_engine.llm.texts import append, flat, sampled
 
 PAIRS, TRIPLES = 1024, 3072
 WIDTH = PAIRS + TRIPLES
+BLOCK = 1 << 20  # bytes of text worked on at once
 #: ASCII letters and bytes of other scripts stay, everything else separates words
 LETTER = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint64)
 
 
-def ngram_rows(texts: pa.Array) -> np.ndarray:
-    """One row of hashed n-gram weights per text, of length 1 (0 without letters)."""
+def ngram_rows(texts: pa.Array, block: int = BLOCK) -> np.ndarray:
+    """One row of hashed n-gram weights per text, of length 1 (0 without letters); bytes are counted in blocks."""
     data, offsets = flat(pc.utf8_lower(texts))
     rows, size = len(offsets) - 1, len(data)
     counts = np.zeros(rows * WIDTH, dtype=np.float32)
-    if size:
-        letters = LETTER[data]
-        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets)) * WIDTH
+    for begin in range(0, size, block):
+        end = min(begin + block + 2, size)
+        letters = LETTER[data[begin:end]]
+        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(np.clip(offsets, begin, end))) * WIDTH
         for n, base, buckets in ((2, 0, PAIRS), (3, PAIRS, TRIPLES)):
-            if size < n:
+            grams = min(block, end - begin - n + 1)
+            if grams < 1:
                 continue
-            gram = letters[: size - n + 1].copy()
+            gram = letters[:grams].copy()
             for k in range(1, n):
-                gram = (gram << np.uint64(8)) | letters[k : size - n + 1 + k]
+                gram = (gram << np.uint64(8)) | letters[k : grams + k]
             blank = np.uint64(0x202020 & ((1 << 8 * n) - 1))
-            inside = (row[: size - n + 1] == row[n - 1 :]) & (gram != blank)
+            inside = (row[:grams] == row[n - 1 : grams + n - 1]) & (gram != blank)
             mixed = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            cell = row[: size - n + 1] + base + (mixed % np.uint64(buckets)).astype(np.int64)
+            cell = row[:grams] + base + (mixed % np.uint64(buckets)).astype(np.int64)
             counts += np.bincount(cell[inside], minlength=rows * WIDTH).astype(np.float32)
     weights = np.sqrt(counts, out=counts).reshape(rows, WIDTH)
     return weights / np.maximum(np.sqrt((weights * weights).sum(axis=1, keepdims=True)), 1e-9)
@@ -77,31 +80,31 @@ def train_bits(rows: np.ndarray, targets: np.ndarray, rounds: int = 150, rate: f
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codeword of least logistic loss, its share against the others, and the share of the runner-up."""
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None, :, :]).sum(axis=2)
+    loss = np.logaddexp(0, -margins) @ (code > 0).T + np.logaddexp(0, margins) @ (code < 0).T
     share = np.exp(loss.min(axis=1, keepdims=True) - loss)
     share /= share.sum(axis=1, keepdims=True)
     order = np.sort(share, axis=1)
     return loss.argmin(axis=1), order[:, -1], order[:, -2] if code.shape[0] > 1 else np.zeros(len(order))
 
 
-def fit_languages(train: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 400, languages: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their codewords and the bit classifiers.
+def fit_languages(train: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 400, most_rows: int = 25_600) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their codewords and the bit classifiers; every label with a text that has a letter is learned.
 
-    Learns from about ``per_language`` rows of each of the ``languages`` most frequent labels, taken by a hash of the key:
-    at most some 25,000 rows whatever the size of the table. Rows without label are left out; no labels give no language.
+    Learns from about ``per_language`` keys of each label, fewer if all labels together would exceed ``most_rows``, and from at least
+    one key of each; they are taken by a hash of the key, one row per key and label however often the table repeats it (of
+    different texts the least). Rows without label are left out; no labels give no language.
     """
-    known = train.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = known.groupBy(F.col(label).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages).collect()
-    names = sorted(r["l"] for r in sizes)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    known = train.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key"), draw.alias("draw"))
+    sizes = known.groupBy("label").agg(F.approx_count_distinct("draw").alias("keys"), F.min("draw").alias("least")).collect()
+    names = sorted(r["label"] for r in sizes)
     code = codewords(len(names))
     if len(names) < 2:
         return names, code, np.zeros((WIDTH + 1, code.shape[1] if len(names) else 1), dtype=np.float32)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.select(F.col(text).alias("text"), F.col(label).alias("label"), draw.alias("draw")).filter(F.coalesce("draw", F.lit(1.0)) < F.coalesce(F.try_element_at(share, F.col("label")), F.lit(0.0)))
+    wanted = max(1, min(per_language, most_rows // len(names)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], max(min(1.0, wanted / max(r["keys"], 1)), r["least"]))])
+    chosen = known.filter(F.col("draw") <= F.try_element_at(share, F.col("label"))).groupBy("label", "key").agg(F.min("text").alias("text"))
     rows = append(chosen, "text", ["label"], [T.StructField("grams", T.BinaryType())], lambda texts: [pa.array([r.astype(np.float16).tobytes() for r in ngram_rows(texts)], pa.binary())]).collect()
-    if not rows:
-        return [], codewords(0), np.zeros((WIDTH + 1, 1), dtype=np.float32)
     rows.sort(key=lambda r: (r["label"], bytes(r["grams"])))
     grams = np.stack([np.frombuffer(r["grams"], dtype=np.float16) for r in rows]).astype(np.float32)
     place = {name: k for k, name in enumerate(names)}
