@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNDER = r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(terms of )?(the )?"
+UNDER = r"(this (software|work|project|file|code|program|library) is )?(released|(dual )?licensed|distributed|available|provided) under (either )?(of )?(a |the )?(terms of )?(the )?"
 # Sentences of public licences and of the usual notices, as patterns over normalised text (lower case, words
 # separated by single spaces, no other signs). Each matches from the start of a line or sentence to the end of one; a space also
 # stands for a line end inside the sentence, `` .*`` at the end for a rest of the line or nothing, and ``.*`` inside for some words.
 SENTENCES = (
-    (1, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(mit|expat) licen[sc]e"),
+    (1, UNDER + r"(mit|expat)( licen[sc]e)?"),
     (2, r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
     (3, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     (4, r"the software is provided as is without warranty of any kind .*"),
-    (5, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?apache licen[sc]e( version)? 2( 0)?( the licen[sc]e)?"),
+    (5, UNDER + r"apache( licen[sc]e)?( version| v)? ?v?2( 0)?( licen[sc]e)?( the licen[sc]e)?"),
     (6, r"you may not use this file except in compliance with the licen[sc]e"),
     (7, r"you may obtain a copy of the licen[sc]e at .*"),
     (8, r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis .*"),
-    (9, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? (v)?3( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
-    (10, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? (v)?2( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
+    (9, UNDER + r"(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? ?v? ?3( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
+    (10, UNDER + r"(gnu )?(gpl|general public licen[sc]e)( gpl)?( as published by the free software foundation)?( either)?( version)? ?v? ?2( of the licen[sc]e)?( 0)?( or at your option any later version)?"),
     (11, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu general public licen[sc]e as published by the free software foundation( either)? version 3( of the licen[sc]e)?( or at your option any later version)?"),
     (12, r"this (program|library|software|file) is free software you can redistribute it and or modify it under the terms of (the )?gnu general public licen[sc]e as published by the free software foundation( either)? version 2( of the licen[sc]e)?( or at your option any later version)?"),
     (13, r"this (program|library|software|file) is distributed in the hope that it will be useful but without any warranty .*"),
-    (14, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by nc|attribution noncommercial)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
-    (15, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by sa|attribution sharealike)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
-    (16, r"(this (software|work|project|file|code) is )?(released|licensed|distributed|available|provided) under (a |the )?(creative commons|cc) (by|attribution)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (14, UNDER + r"(creative commons|cc) (by nc|attribution noncommercial)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (15, UNDER + r"(creative commons|cc) (by sa|attribution sharealike)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
+    (16, UNDER + r"(creative commons|cc) (by|attribution)( (4|4 0|3|3 0))?( international)?( licen[sc]e)?"),
     (17, r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     (18, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer .*"),
     (19, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer .*"),
@@ -60,6 +60,13 @@ SENTENCES = (
     (48, r"spdx licen[sc]e identifier bsl 1 0"),
     (49, r"spdx licen[sc]e identifier bsd 3 clause"),
     (50, r"spdx licen[sc]e identifier bsd 2 clause"),
+    (51, UNDER + r"(epl|eclipse public licen[sc]e)( epl)?( version| v)? ?v?(1|2)( 0)?"),
+    (52, r"spdx licen[sc]e identifier epl (1|2) 0"),
+    (53, UNDER + r"(zlib|zlib libpng)( licen[sc]e)?"),
+    (54, r"this software is provided as is without any express or implied warranty"),
+    (55, r"spdx licen[sc]e identifier zlib"),
+    (56, UNDER + r"artistic licen[sc]e( version| v)? ?v?2( 0)?"),
+    (57, r"spdx licen[sc]e identifier artistic 2 0"),
 )
 # Ordered rules (licence, identifiers). Sentences that are no licence sentences may stand between them. At one
 # place the first rule that fits wins, so longer rules come first.
@@ -89,10 +96,26 @@ RULES = (
     *((name, (n,)) for name, ids in (
         ("LGPL", (26, 28, 42)), ("AGPL-3.0", (27, 29, 43)), ("MPL-2.0", (30, 31, 44)), ("ISC", (32, 33, 45)), ("Unlicense", (34, 46)), ("CC0-1.0", (35, 47)),
         ("BSL-1.0", (36, 48)), ("BSD-3-Clause", (37, 49)), ("BSD-2-Clause", (38, 50)), ("CC-BY-NC-SA", (39,)), ("CC-BY-NC-ND", (40,)), ("CC-BY-ND", (41,)),
+        ("EPL", (51, 52)), ("Zlib", (53, 54, 55)), ("Artistic-2.0", (56, 57)),
     ) for n in ids),
 )
 #: every sentence above holds one of these; a sentence without them needs no closer look
-CUE = r"(?i)licen|permission|copyright|warrant|redistribut|endorse|compliance|spdx|unencumbered|redistribute|cc0|cc by|creative commons|\b[al]?gpl\b|\bmpl\b|bsd"
+CUE = r"(?i)licen|permission|copyright|warrant|redistribut|endorse|compliance|spdx|unencumbered|redistribute|cc0|\bcc\W+by|creative commons|gpl|\bmpl\b|bsd|under\W[\W\w]{0,30}?\b(?:mit|expat|zlib|apache|epl|artistic)\b"
+
+
+# How the names of licences begin, after which "and" or "or" may bring another one.
+NAMES = r"(?:mit|expat|apache|gnu|[al]?gpl|bsd|mpl|mozilla|epl|eclipse|isc|zlib|boost|artistic|cc0|cc by|creative commons|lesser general|general public|affero)\b"
+#: what splits one sentence about several licences into one for each, and cuts the exceptions of SPDX expressions
+SPLITS = (
+    (r"\n\n+", "\f"),  # no sentence goes on behind one of these
+    (r" with (?<=\bspdx licen[sc]e identifier[ \n][a-z0-9 ]{1,200} with )[a-z0-9 ]+?(?= (?:or|and) |[\n\f]|$)", ""),
+    (r" (?:or(?! later\b)|and) (?<=\bspdx licen[sc]e identifier[ \n][a-z0-9 ]{1,200} (?:or|and) )", "\nspdx license identifier "),
+    (
+        r"[ \n](?:and|or)(?=(?: at your option)?(?: under)?(?: the)?[ \n]" + NAMES + r")(?<=\b(?:released|licensed|distributed|available|provided) under [a-z0-9 \n]{1,120}[ \n](?:and|or))(?: at your option)?(?: under)?(?: the)?[ \n]",
+        "\nlicensed under ",
+    ),
+    (r"\f", "\n\n"),
+)
 
 
 def _pattern(sentence: str) -> str:
@@ -106,11 +129,14 @@ def normalised(text: Column) -> Column:
     """Lower case; every run of anything but letters and digits becomes one space, the end of a line one line end.
 
     ``.``, ``!`` and ``?`` before white space and blank lines end a sentence and leave an empty line; ``:`` and ``;`` before white
-    space count as the end of a line. Marks of comments and lists at the ends of lines go.
+    space count as the end of a line. Marks of comments and lists at the ends of lines go. A sentence about two licences, or an SPDX
+    expression, becomes one line for each of them.
     """
     out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
     for old, new in ((r"\bv\.\s+(?=\d)", "v "), (r"""[.!?]["')\]]*\s+""", "\n\n"), (r"[:;]\s+", "\n"), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n ?", "\n")):
         out = F.regexp_replace(out, old, new)
+    for old, new in SPLITS:
+        out = F.regexp_replace(out, "(?m)" + old, new)
     return F.trim(out)
 
 

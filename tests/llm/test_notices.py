@@ -55,3 +55,30 @@ def test_wrapped_notices(spark):
     found = {r["doc_id"]: r["licences"] for r in licences.scan_licences(frame).collect()}
     wrong = [(t[:90], want, found[k]) for k, (t, want) in enumerate(cases) if found[k] != want]
     assert not wrong, wrong
+
+
+ONE_LINE = {
+    "This work is released under CC-BY-4.0.": ["CC-BY"],
+    "This software is licensed under GPLv3.": ["GPL-3.0"],
+    "This program is distributed under the GPL v3.": ["GPL-3.0"],
+    "This program is licensed under GPL-2.0.": ["GPL-2.0"],
+    "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0", "MIT"],
+    "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": ["MIT", "Apache-2.0", "BSD-3-Clause"],
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0"],
+    "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT": ["GPL-2.0", "MIT"],
+    "It is available.\nAvailable under the MIT License and the Apache License 2.0.": ["MIT", "Apache-2.0"],
+    "This project is dual licensed under either of the MIT\nor Apache-2.0 license.": ["MIT", "Apache-2.0"],
+    "Licensed under the Eclipse Public License 2.0.": ["EPL"],
+    "Released under the zlib license.": ["Zlib"],
+    "Licensed under the Artistic License 2.0.": ["Artistic-2.0"],
+    "SPDX-License-Identifier: EPL-2.0": ["EPL"],
+    "Available under the counter and the MIT building.": [],
+    "The MIT and the GNU project were under pressure.": [],
+}
+
+
+def test_glued_versions_expressions_and_two_licences(spark):
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(ONE_LINE)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licences"] for r in licences.scan_licences(frame).collect()}
+    wrong = [(t, want, found[k]) for k, (t, want) in enumerate(ONE_LINE.items()) if found[k] != want]
+    assert not wrong, wrong

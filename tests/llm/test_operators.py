@@ -325,7 +325,7 @@ def test_licences(spark, odd_docs, empty_docs):
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.": ["BSD-2-Clause"],
-        "SPDX-License-Identifier: MIT": [],
+        "SPDX-License-Identifier: MIT": ["MIT"],
         "// SPDX-License-Identifier: Apache-2.0\nReleased under the MIT license": ["MIT"],
         "we license nothing": [],
     }
@@ -333,7 +333,7 @@ def test_licences(spark, odd_docs, empty_docs):
     found = licences.scan_licences(frame)
     assert plain_plan(found)
     rows = {r["doc_id"]: r["licences"] for r in found.collect()}
-    assert [rows[k] for k in (0, 2, 3, 6)] == [list(texts.values())[k] for k in (0, 2, 3, 6)]
+    assert [rows[k] for k in (0, 2, 3, 4, 6)] == [list(texts.values())[k] for k in (0, 2, 3, 4, 6)]
     assert rows[1] == ["Apache-2.0"] and rows[5][-1] == "MIT"
     odd = licences.scan_licences(odd_docs).collect()
     assert len(odd) == odd_docs.count() and all(r["n_licences"] == 0 for r in odd) and licences.scan_licences(empty_docs).count() == 0
