@@ -90,6 +90,9 @@ def match_variants(df: DataFrame, row_key: str, id_col: str, years: str, variant
     return df.join(hits, F.col(row_key) == F.col("_hit"), "left").withColumn("is_match", F.col("_hit").isNotNull().cast("int")).drop("_hit")
 
 
+HEAD = 4  # letters by which names first meet the lengths of owner names
+
+
 def auto_associate(items: DataFrame, owners: DataFrame) -> DataFrame:
     """Link items (row_id, owner_name, owner_id, is_manual) to owners (id, name, territory, is_section) by rule.
 
@@ -109,10 +112,13 @@ def auto_associate(items: DataFrame, owners: DataFrame) -> DataFrame:
     active = rules.filter("_active")
     exact = active.filter("NOT _typed OR _leaves <= 1").select(F.col("name").alias("item_name"), F.col("id").alias("owner"))
 
-    # name…territory as an equi-join: every prefix of the distinct item names meets the owner names
-    names = items.select(F.col("owner_name").alias("item_name")).dropna().distinct().withColumn("_text", F.lower("item_name"))
-    prefixes = names.withColumn("_start", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))), lambda n: F.left(F.col("_text"), n))))
+    # name…territory as an equi-join: of the prefixes of a name only those as long as an owner name of the same beginning
     typed = active.filter("_typed")
+    sizes = typed.groupBy(F.left("_prefix", F.lit(HEAD)).alias("_head")).agg(F.collect_set(F.length("_prefix")).alias("_sizes"))
+    names = items.select(F.col("owner_name").alias("item_name")).dropna().distinct().withColumn("_text", F.lower("item_name"))
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_text"), F.lit(HEAD)))), lambda n: F.left(F.col("_text"), n))
+    met = names.withColumn("_head", F.explode(heads)).join(sizes, "_head")
+    prefixes = met.select("item_name", "_text", F.explode(F.filter("_sizes", lambda n: n <= F.length("_text"))).alias("_size")).withColumn("_start", F.left("_text", F.col("_size")))
     fits = F.col("_text").endswith(F.col("_suffix")) & (F.length("_text") >= F.length("_prefix") + F.length("_suffix"))
     patterned = prefixes.join(typed, (F.col("_start") == F.col("_prefix")) & fits).select("item_name", F.col("id").alias("owner"))
 

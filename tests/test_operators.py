@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog_engine.functions.normalise import clean_text
-from catalog_engine.operators import aggregates, dataset, extract, filters, numbering, similar, tables, tree
+from catalog_engine.operators import aggregates, dataset, extract, filters, joins, numbering, similar, tables, tree
 from catalog_engine.operators.quality import parse_exceptions
 
 
@@ -260,3 +261,20 @@ def test_a_region_of_many_tags(spark):
     body = "<div>é</div>" * 5_000
     rows = spark.createDataFrame([(f'<i>x</i><div id="q">{body}</div>tail',)], "html string")
     assert rows.select(extract.region("html", "div", "id", "q").alias("r")).first()["r"] == body
+
+
+def test_owners_by_name_and_territory_agree_with_brute_force(spark):
+    texts = [""] + ["".join(p) for n in range(1, 8) for p in itertools.product("aB", repeat=n)][::3] + ["a" * 10_000, "a" * 9_999 + "b"]
+    items = [(k, t, None, False) for k, t in enumerate(texts)] + [(len(texts), None, None, False)]
+    owners = [(k, name, territory, False) for k, (name, territory) in enumerate([("aa", "b"), ("A", "B"), ("abab", "a"), ("aBaBa", "ba"), ("a" * 5_000, "b"), ("", "a"), (None, "b"), ("bb", None), ("aaa", "aaaa")])]
+
+    def lowest(name):
+        leaves = [o[1] for o in owners]
+        same = [k for k, n, t, _ in owners if n is not None and n == name and (not t or leaves.count(n) <= 1)]
+        fits = lambda n, t: t and n is not None and (n or not name) and len(name) >= len(n) + len(t) and name.lower().startswith(n.lower()) and name.lower().endswith(t.lower())
+        return min(same + [k for k, n, t, _ in owners if fits(n, t)], default=None)
+
+    found = joins.auto_associate(
+        spark.createDataFrame(items, "row_id long, owner_name string, owner_id long, is_manual boolean"), spark.createDataFrame(owners, "id long, name string, territory string, is_section boolean")
+    )
+    assert {r["row_id"]: r["new_owner_id"] for r in found.collect()} == {k: None if n is None else lowest(n) for k, n, _, _ in items}
