@@ -210,14 +210,14 @@ def _(t):
 @bind(
     "classify_segments",
     r"""WITH s AS (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS seg, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), 1) AS segment_no FROM documents)
-        SELECT doc_id, segment_no, CASE WHEN segment_no % 7 = 0 THEN 'copyright' WHEN segment_no % 5 = 0 THEN 'image_group' ELSE 'text' END AS kind FROM s WHERE trim(seg) <> '' OR segment_no % 7 = 0 OR segment_no % 5 = 0""",
+        SELECT doc_id, segment_no, CASE WHEN segment_no % 7 = 0 THEN 'copyright' WHEN segment_no % 5 = 0 THEN 'image_group' ELSE 'text' END AS kind, trim(CASE WHEN segment_no % 7 = 0 THEN '© ' ELSE '' END || trim(regexp_replace(seg, '\s+', ' ', 'g'))) AS content FROM s WHERE trim(seg) <> '' OR segment_no % 7 = 0 OR segment_no % 5 = 0""",
 )
 def _(t):
     lines = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n")
     mark = lambda i: F.when((i + 1) % 7 == 0, "<b>© </b>").when((i + 1) % 5 == 0, "<img src='x'/>").otherwise("")
     marked = F.array_join(F.transform(lines, lambda x, i: F.concat(mark(i), x)), "<br/><BR />")
     docs = t.documents.select("doc_id", marked.alias("text"))
-    return op.classify_segments(docs, "text").select("doc_id", "segment_no", "kind")
+    return op.classify_segments(docs, "text").select("doc_id", "segment_no", "kind", "content")
 
 
 @bind(
