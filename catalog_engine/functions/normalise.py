@@ -114,18 +114,20 @@ def _ascii(c: str) -> str:
 # --- I1 to I4 --------------------------------------------------------------------------------------------------------
 
 
-def unescape_sql(c: str) -> str:
+def unescape_sql(c: str, closed: bool = False) -> str:
     """Named and numeric entities: cut the text into entities and other runs, replace the entities, join again.
 
-    All names of the HTML standard; those that it allows without a semicolon are also known without one.
+    All names of the HTML standard; those that it allows without a semicolon are also known without one, unless only
+    ``closed`` ones count.
     """
+    end = ";" if closed else ";?"
     names = _as_map({name: text for name, text in html.entities.html5.items()})
     pieces = f"regexp_extract_all({c}, r'(&#?[A-Za-z0-9]+;?|[^&]+|&)', 1)"
     number = "CASE WHEN lower(substr(p, 3, 1)) = 'x' THEN try_cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS BIGINT) ELSE try_cast(substr(p, 3, length(p) - 3) AS BIGINT) END"
     numeric = f"try_cast(decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32') AS STRING)"
     piece = (
         f"CASE WHEN p RLIKE r'^&#([0-9]{{1,7}}|[xX][0-9A-Fa-f]{{1,6}});$' THEN coalesce({numeric}, '\ufffd')"
-        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*;?$' THEN coalesce(try_element_at({names}, substr(p, 2)), p)"
+        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*{end}$' THEN coalesce(try_element_at({names}, substr(p, 2)), p)"
         " ELSE p END"
     )
     return f"CASE WHEN instr({c}, '&') = 0 THEN {c} ELSE array_join(transform({pieces}, p -> {piece}), '') END"
@@ -148,12 +150,15 @@ def unescaped(text: Column) -> Column:
 
 
 @normaliser("s")
-def clean_text(c: str) -> str:
-    """Unescape entities, make special spaces plain, fraction slash to slash, collapse white space, trim."""
+def clean_text(c: str, closed: bool = False) -> str:
+    """Unescape entities, make special spaces plain, fraction slash to slash, collapse white space, trim.
+
+    With ``closed``, an entity without its semicolon (a text that was cut off) stays as it is.
+    """
     # No-break, narrow no-break, thin, figure, em and ideographic space, word joiner, byte order mark; then the
     # fraction slash.
     special, plain = "\u00a0\u202f\u2009\u2007\u2003\u3000\u2060\ufeff\u2044", "        /"
-    return rf"trim(regexp_replace(translate({unescape_sql(c)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
+    return rf"trim(regexp_replace(translate({unescape_sql(c, closed)}, '{special}', '{plain}'), r'{WHITE}', ' '))"
 
 
 @normaliser("s")

@@ -21,6 +21,11 @@ def test_clean_text(spark):
     assert values(spark, texts, n.clean_text("s")) == ["a & b", "1/480 x y", "café A &unknown; &", "plain", ""]
 
 
+def test_clean_text_with_closed_entities_only(spark):
+    texts = ["a&amp;&amp</h1>", "&lt &lt; &eacute", "&#233 &#233;"]
+    assert values(spark, texts, n.clean_text("s", closed=True)) == ["a&&amp</h1>", "&lt < &eacute", "&#233 é"]
+
+
 def test_slugify(spark):
     texts = ["½ é", "Grand Duchy-of Łódź", "ﬁne Ⅻ ²", "__x__", "Ünïcödé 12½"]
     assert values(spark, texts, n.slugify("s")) == ["1_2_e", "grand_duchy_of_odz", "fine_xii_2", "x", "unicode_121_2"]
