@@ -133,8 +133,9 @@ def unescape_sql(c: str, closed: bool = False) -> str:
     return f"CASE WHEN instr({c}, '&') = 0 THEN {c} ELSE array_join(transform({pieces}, p -> {piece}), '') END"
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column, closed: bool = False) -> Column:
     """Entities resolved as in ``clean_text``, for a column that has no name."""
+    end = ";" if closed else ";?"
     names = F.expr(_as_map(dict(html.entities.html5)))
 
     def resolve(piece: Column) -> Column:
@@ -143,7 +144,7 @@ def unescaped(text: Column) -> Column:
         code = F.when(hexadecimal, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
         char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
         named = F.coalesce(F.try_element_at(names, F.substr(piece, F.lit(2))), piece)
-        return F.when(piece.rlike(r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"), char).when(piece.rlike(r"^&[A-Za-z][A-Za-z0-9]*;?$"), named).otherwise(piece)
+        return F.when(piece.rlike(r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"), char).when(piece.rlike(rf"^&[A-Za-z][A-Za-z0-9]*{end}$"), named).otherwise(piece)
 
     pieces = F.regexp_extract_all(text, F.lit(r"(&#?[A-Za-z0-9]+;?|[^&]+|&)"), F.lit(1))
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")).otherwise(text)

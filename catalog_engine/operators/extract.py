@@ -89,11 +89,11 @@ def without(text: Column | str, tag: str, attribute: str, value: str) -> Column:
     return F.array_join(F.transform(F.split(text, rf"(?is)(?={start})"), lambda p: F.when(p.rlike(rf"(?is)^{start}"), rest(p)).otherwise(p)), "")
 
 
-def inner_text(markup: Column, separator: str = " ") -> Column:
-    """Text nodes of a fragment, each trimmed, joined by the separator; entities resolved."""
+def inner_text(markup: Column, separator: str = " ", closed: bool = False) -> Column:
+    """Text nodes of a fragment, each trimmed, joined by the separator; entities resolved (``closed``: only those that end in a semicolon)."""
     joined = F.regexp_replace(markup, r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
     plain = F.btrim(joined, F.lit(" \t\n\r" + separator))
-    return let(plain, n.unescaped)
+    return let(plain, lambda text: n.unescaped(text, closed))
 
 
 def squeeze(text: Column) -> Column:
@@ -164,15 +164,18 @@ def extract_feature_table(pages: DataFrame, html: str, labels: list[str], sectio
     return cells.select(*[c for c in pages.columns if c != html], *[last(label) for label in labels])
 
 
-def extract_title(pages: DataFrame, html: str) -> DataFrame:
-    """Heading text up to its first span, and the span as subtitle; the heading of ``#main_title`` before any other."""
+def extract_title(pages: DataFrame, html: str, closed: bool = False) -> DataFrame:
+    """Heading text up to its first span, and the span as subtitle; the heading of ``#main_title`` before any other.
+
+    With ``closed``, an entity without its semicolon (a heading that was cut off) stays as it is.
+    """
     pages = pages.withColumn(html, canonical(html))
     heading = F.coalesce(part(region(html, "div", "id", "main_title"), element("h1")), part(html, element("h1")))
     before = F.regexp_replace(heading, r"(?is)<span\b.*$", "")
     return pages.select(
         *[c for c in pages.columns if c != html],
-        F.nullif(squeeze(inner_text(before)), F.lit("")).alias("title"),
-        F.nullif(squeeze(inner_text(part(heading, element("span")))), F.lit("")).alias("subtitle"),
+        F.nullif(squeeze(inner_text(before, closed=closed)), F.lit("")).alias("title"),
+        F.nullif(squeeze(inner_text(part(heading, element("span")), closed=closed)), F.lit("")).alias("subtitle"),
     )
 
 

@@ -96,3 +96,9 @@ def test_rows_in_sql(spark):
     page(spark, html).createOrReplaceTempView("one_page")
     found = spark.sql("SELECT row_no, cell_no, is_header, text FROM one_page, LATERAL html_rows(html)")
     assert rows_of(found) == [(1, 1, True, "A & B"), (1, 2, False, "in side é"), (1, 3, False, "3"), (2, 1, False, "4")]
+
+
+def test_a_heading_cut_off_in_an_entity(spark):
+    pages = page(spark, "<h1>a &amp;&amp</h1>")
+    assert rows_of(extract.extract_title(pages, "html", closed=True)) == [(1, "a &&amp", None)]
+    assert rows_of(extract.extract_title(pages, "html")) == [(1, "a &&", None)]
