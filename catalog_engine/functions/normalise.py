@@ -426,8 +426,9 @@ def ordered_hex_id(ts: str) -> str:
 
 @normaliser("s", "STRUCT<latitude: DOUBLE, longitude: DOUBLE>")
 def extract_lat_lon(c: str) -> str:
-    """Coordinates from a ``map.flyTo([lat, lon]`` call; both or neither."""
-    pattern = r"map\.flyTo\(\s*\[\s*([0-9.+\-]+)\s*,\s*([0-9.+\-]+)\s*\]"
+    """Coordinates from a ``map.flyTo([lat, lon]`` call; both or neither. Small numbers may have an exponent."""
+    number = r"([0-9.+\-]+(?:[eE][+\-]?[0-9]+)?)"
+    pattern = rf"map\.flyTo\(\s*\[\s*{number}\s*,\s*{number}\s*\]"
     lat = f"try_cast(nullif(regexp_extract({c}, r'{pattern}', 1), '') AS DOUBLE)"
     lon = f"try_cast(nullif(regexp_extract({c}, r'{pattern}', 2), '') AS DOUBLE)"
     return (

@@ -26,6 +26,12 @@ def test_clean_text_with_closed_entities_only(spark):
     assert values(spark, texts, n.clean_text("s", closed=True)) == ["a&&amp</h1>", "&lt < &eacute", "&#233 é"]
 
 
+def test_small_coordinates_have_an_exponent(spark):
+    texts = ["map.flyTo([5.0E-4, -1e+1], 9)", "map.flyTo( [-12.5 , 3], 9)", "map.flyTo([., 1], 2)", "map.flyTo([1E, 1], 2)"]
+    found = values(spark, texts, n.extract_lat_lon("s"))
+    assert [tuple(r) for r in found] == [(0.0005, -10.0), (-12.5, 3.0), (None, None), (None, None)]
+
+
 def test_slugify(spark):
     texts = ["½ é", "Grand Duchy-of Łódź", "ﬁne Ⅻ ²", "__x__", "Ünïcödé 12½"]
     assert values(spark, texts, n.slugify("s")) == ["1_2_e", "grand_duchy_of_odz", "fine_xii_2", "x", "unicode_121_2"]
