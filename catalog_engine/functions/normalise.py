@@ -133,8 +133,13 @@ def unescape_sql(c: str, closed: bool = False) -> str:
     return f"CASE WHEN instr({c}, '&') = 0 THEN {c} ELSE array_join(transform({pieces}, p -> {piece}), '') END"
 
 
-def unescaped(text: Column, closed: bool = False) -> Column:
+def unescaped(text: Column) -> Column:
     """Entities resolved as in ``clean_text``, for a column that has no name."""
+    return resolved(text, False)
+
+
+def resolved(text: Column, closed: bool) -> Column:
+    """The same; with ``closed`` only entities that end in a semicolon."""
     end = ";" if closed else ";?"
     names = F.expr(_as_map(dict(html.entities.html5)))
 

@@ -93,7 +93,7 @@ def inner_text(markup: Column, separator: str = " ", closed: bool = False) -> Co
     """Text nodes of a fragment, each trimmed, joined by the separator; entities resolved (``closed``: only those that end in a semicolon)."""
     joined = F.regexp_replace(markup, r"\s*<[^>]*>\s*(?:<[^>]*>\s*)*", separator)
     plain = F.btrim(joined, F.lit(" \t\n\r" + separator))
-    return let(plain, lambda text: n.unescaped(text, closed))
+    return let(plain, lambda text: n.resolved(text, closed))
 
 
 def squeeze(text: Column) -> Column:
