@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,9 +29,14 @@ def pieces(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def filled(text: Column) -> Column:
+    """The text, NULL when it is empty; unlike ``nullif`` it is worked out once in a lambda or a branch too."""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def part(text: Column | str, pattern: str, group: int = 1) -> Column:
     """First match of a group, NULL without one."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def element(tag: str, attribute: str = "", value: str = "") -> str:
@@ -48,6 +53,11 @@ def _start(tag: str, attribute: str, value: str) -> str:
 
 def _end_of(tail: Column, tag: str) -> Column:
     """Where the element that ``tail`` begins with ends: the characters before its closing tag, nested ones of its kind counted."""
+    first = F.regexp_extract(tail, rf"(?is)^.*?(?=</{tag}\b|\z)", 0)
+    return let(first, lambda f: F.when(f.rlike(rf"(?is).<{tag}\b"), _end_of_nested(tail, tag)).otherwise(F.length(f)))
+
+
+def _end_of_nested(tail: Column, tag: str) -> Column:
     tags = F.split(tail, rf"(?i)(?=</?{tag}\b)")
     begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(-1).alias("end"))
 
@@ -59,33 +69,40 @@ def _end_of(tail: Column, tag: str) -> Column:
     return F.aggregate(tags, begin, step, lambda at: F.when(at["end"] < 0, at["read"]).otherwise(at["end"]))
 
 
-def _element_at_start(tail: Column, tag: str) -> Column:
-    """(start tag, content, rest from the closing tag on) of the element that the text begins with."""
+def _cut(tail: Column, tag: str, take: Callable[[Column, Column, Column], Column]) -> Column:
+    """``take(text, length of the start tag, place of the closing tag)`` of the element that the text begins with."""
+    return let(tail, lambda t: let(F.struct(F.instr(t, ">").alias("start"), _end_of(t, tag).alias("end")), lambda e: take(t, e["start"], e["end"])))
 
-    def cut(tail: Column, end: Column) -> Column:
-        start = F.regexp_extract(tail, r"^<[^>]*>", 0)
-        inner = F.substring(tail, F.length(start) + 1, F.greatest(end - F.length(start), F.lit(0)))
-        return F.struct(start.alias("start"), inner.alias("inner"), F.substring(tail, end + 1, F.length(tail)).alias("rest"))
 
-    return let(tail, lambda t: let(_end_of(t, tag), lambda e: cut(t, e)))
+def _inner(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def _rest(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, end + 1, F.length(text))
+
+
+def _element_at_start(tail: Column, tag: str) -> Column:
+    """(start tag, content, rest from the closing tag on) of the element that the text begins with."""
+    return _cut(tail, tag, lambda t, s, e: F.struct(F.left(t, s).alias("start"), _inner(t, s, e).alias("inner"), _rest(t, s, e).alias("rest")))
 
 
 def region(text: Column | str, tag: str, attribute: str = "", value: str = "") -> Column:
     """Content of the first such element up to its own closing tag; NULL without one."""
-    return _element_at_start(part(text, rf"(?is)({_start(tag, attribute, value)}.*)"), tag)["inner"]
+    return _cut(part(text, rf"(?is)({_start(tag, attribute, value)}.*)"), tag, _inner)
 
 
 def regions(text: Column | str, tag: str, attribute: str, value: str) -> Column:
     """Contents of all such elements (one inside another counts by itself), as an array."""
     start = _start(tag, attribute, value)
     runs = F.filter(F.split(text, rf"(?is)(?={start})"), lambda p: p.rlike(rf"(?is)^{start}"))
-    return F.transform(runs, lambda p: _element_at_start(p, tag)["inner"])
+    return F.transform(runs, lambda p: _cut(p, tag, _inner))
 
 
 def without(text: Column | str, tag: str, attribute: str, value: str) -> Column:
     """The text with all such elements removed, nested content included."""
     start = _start(tag, attribute, value)
-    rest = lambda p: F.regexp_replace(_element_at_start(p, tag)["rest"], r"(?i)^</[^>]*>", "")
+    rest = lambda p: F.regexp_replace(_cut(p, tag, _rest), r"(?i)^</[^>]*>", "")
     return F.array_join(F.transform(F.split(text, rf"(?is)(?={start})"), lambda p: F.when(p.rlike(rf"(?is)^{start}"), rest(p)).otherwise(p)), "")
 
 
@@ -104,13 +121,13 @@ def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in double or single quotes or without any, entities resolved."""
     other = rf"""\s*+(?!{name}\s*=)[^\s=>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
     value = rf"""(?is)^<[^\s>]+(?:{other})*+\s*+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    bare = let(part(tag, value), lambda v: F.when(v.rlike("^[\"']"), F.nullif(v.substr(F.lit(2), F.length(v) - 2), F.lit(""))).otherwise(v))
+    bare = let(part(tag, value), lambda v: F.when(v.rlike("^[\"']"), filled(v.substr(F.lit(2), F.length(v) - 2))).otherwise(v))
     return let(bare, n.unescaped)
 
 
 def _file(href: Column, strip_original: bool = False) -> Column:
     """Last path segment of an address held in an expression."""
-    name = F.nullif(F.substring_index(F.regexp_replace(href, r"[?#].*$", ""), "/", -1), F.lit(""))
+    name = filled(F.substring_index(F.regexp_replace(href, r"[?#].*$", ""), "/", -1))
     return F.regexp_replace(name, r"-original(\.[^.]*)?$", "$1") if strip_original else name
 
 
@@ -129,7 +146,7 @@ def extract_fields(pages: DataFrame, html: str, labels: list[str], separator: st
         # the label may lie inside child tags of its cell, the value may hold a table of its own
         child = r"(?:<(?!/?t[hdr]\b)[^>]*>[^<]*)*"
         after = [part(html, rf"(?is)<{h}\b[^>]*>[^<]*{child}?{re.escape(label)}[^<]*{child}</{h}>\s*(<td\b[^>]*>.*)") for h in ("th", "td")]
-        return F.struct(F.lit(label).alias("label"), inner_text(_element_at_start(F.coalesce(*after), "td")["inner"], separator).alias("value"))
+        return F.struct(F.lit(label).alias("label"), inner_text(_cut(F.coalesce(*after), "td", _inner), separator).alias("value"))
 
     found = pages.select("*", F.inline(F.array(*[value(label) for label in labels])))
     return found.drop(html).filter(F.coalesce("value", F.lit("")) != "")
@@ -171,11 +188,12 @@ def extract_title(pages: DataFrame, html: str, closed: bool = False) -> DataFram
     """
     pages = pages.withColumn(html, canonical(html))
     heading = F.coalesce(part(region(html, "div", "id", "main_title"), element("h1")), part(html, element("h1")))
-    before = F.regexp_replace(heading, r"(?is)<span\b.*$", "")
-    return pages.select(
+    headed = pages.withColumn("_heading", heading)
+    before = F.regexp_replace("_heading", r"(?is)<span\b.*$", "")
+    return headed.select(
         *[c for c in pages.columns if c != html],
-        F.nullif(squeeze(inner_text(before, closed=closed)), F.lit("")).alias("title"),
-        F.nullif(squeeze(inner_text(part(heading, element("span")), closed=closed)), F.lit("")).alias("subtitle"),
+        filled(squeeze(inner_text(before, closed=closed))).alias("title"),
+        filled(squeeze(inner_text(part("_heading", element("span")), closed=closed))).alias("subtitle"),
     )
 
 
@@ -289,7 +307,7 @@ def extract_mintage(pages: DataFrame, html: str) -> DataFrame:
         return F.when(index > 0, let(text, lambda x: F.when(~F.lower(x).contains("unknown"), x)))
 
     words, numbers = {"mint": cell("mint"), "mark": cell("mark")}, {w: cell(w) for w in ("year", "unc", "bu", "proof")}
-    as_number = lambda c: F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).try_cast("bigint")
+    as_number = lambda c: filled(F.regexp_replace(c, "[^0-9]", "")).try_cast("bigint")
     rows = body.select(
         *[c for c in pages.columns if c != html], *[F.coalesce(c, F.lit("")).alias(w) for w, c in words.items()], *[as_number(c).alias(w) for w, c in numbers.items()]
     )
@@ -444,7 +462,7 @@ def extract_people(pages: DataFrame, html: str, label: str = "Engravers?") -> Da
 
     found = F.filter(F.flatten(F.transform(runs, people)), lambda p: p["name"] != "")
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("_pos", "_p"))
-    artist = F.when(F.col("_p.href").contains("artist.php"), F.nullif(F.regexp_extract("_p.href", r"[?&]id=([0-9]+)", 1), F.lit("")).try_cast("bigint"))
+    artist = F.when(F.col("_p.href").contains("artist.php"), filled(F.regexp_extract("_p.href", r"[?&]id=([0-9]+)", 1)).try_cast("bigint"))
     return rows.select("*", (F.col("_pos") + 1).alias("person_no"), "_p.name", "_p.href", artist.alias("artist_id")).drop("_pos", "_p")
 
 
@@ -475,21 +493,21 @@ def extract_directory(pages: DataFrame, html: str, kind: str) -> DataFrame:
         items = items.withColumn("_rest", rest).withColumn("_at", n.extract_lat_lon("_li"))
         return items.select(
             *keep, n.url_param_id("_href", "id").alias("id"), squeeze(inner_text(part("_a", element("strong")))).alias("name"),
-            F.nullif(F.trim(F.regexp_replace("_rest", r"\(([^)]+)\)\s*$", "")), F.lit("")).alias("location"),
+            filled(F.trim(F.regexp_replace("_rest", r"\(([^)]+)\)\s*$", ""))).alias("location"),
             F.trim(part("_rest", r"\(([^)]+)\)\s*$")).alias("period"), "_at.latitude", "_at.longitude",
         )
     if kind == "techniques":
         path = part("_li", r"""(?is)<img\b[^>]*\bsrc\s*=\s*["'][^"']*?/photos(/[^"'?#]*)""")
         return items.select(*keep, n.url_param_id("_href", "id").alias("id"), squeeze(inner_text(F.col("_a"))).alias("name"), path.alias("image"))
     if kind == "rulers":
-        years = F.nullif(squeeze(inner_text(part("_a", element("em")))), F.lit(""))
+        years = filled(squeeze(inner_text(part("_a", element("em")))))
         name = F.trim(F.regexp_replace(squeeze(inner_text(F.col("_a"))), r"\s*\([^)]*\)\s*$", ""))
         return items.select(*keep, n.url_param_id("_href", "id").alias("id"), name.alias("name"), years.alias("years"))
     if kind == "tags":
         anchor = part(part("_li", element("strong")), r"(?is)(<a\b.*?</a>)")
-        items = items.withColumn("_href", attribute(anchor, "href")).withColumn("_name", F.nullif(squeeze(inner_text(anchor)), F.lit("")))
+        items = items.withColumn("_href", attribute(anchor, "href")).withColumn("_name", filled(squeeze(inner_text(anchor))))
         image = part("_li", r"""(?is)<img\b[^>]*\bsrc\s*=\s*["'][^"']*?catalogue/photos/([^"']*)""")
-        info = F.nullif(squeeze(inner_text(part("_li", element("p")))), F.lit(""))
+        info = filled(squeeze(inner_text(part("_li", element("p")))))
         return items.select(*keep, n.url_param_id("_href", "k[]").alias("id"), F.col("_name").alias("name"), info.alias("info"), image.alias("image"))
     raise ValueError(f"unknown directory {kind!r}")
 

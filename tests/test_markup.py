@@ -102,3 +102,19 @@ def test_a_heading_cut_off_in_an_entity(spark):
     pages = page(spark, "<h1>a &amp;&amp</h1>")
     assert rows_of(extract.extract_title(pages, "html", closed=True)) == [(1, "a &&amp", None)]
     assert rows_of(extract.extract_title(pages, "html")) == [(1, "a &&", None)]
+
+
+def test_pages_made_of_short_rows_are_many_tasks(spark):
+    from catalog_engine.plans.bind_extract import media_pages, part_pages
+    from catalog_engine.plans.binding import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert all(pages(t).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for pages in (part_pages, media_pages))
+
+
+@pytest.mark.parametrize(
+    ("html", "inner"),
+    [("<div>a</div>b</div>", "a"), ("<div>a<div>b</div>c</div>d", "a<div>b</div>c"), ("<div>a<p>b", "a<p>b"), ("<div>a<div>b</div>c", "a<div>b</div>c"), ("<div><div></div></div>", "<div></div>"), ("x", None)],
+)
+def test_content_of_an_element(spark, html, inner):
+    assert page(spark, html).select(extract.region("html", "div")).first()[0] == inner
