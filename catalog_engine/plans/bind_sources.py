@@ -12,11 +12,15 @@ from catalog_engine.workspace import fresh_path
 
 
 def saved_files(t):
-    """A text file per supplier below ``nation=n/entity=name_id``; every sixth folder has no id."""
+    """A text file per supplier below ``nation=n/entity=name_id``; every sixth folder has no id.
+
+    A folder is written by one task, which also moves its files to their place; the job's end would move them one by one.
+    """
     name = F.lower(F.translate("s_name", "#", "-"))
     folder = F.when(F.col("s_suppkey") % 6 == 0, name).otherwise(F.concat_ws("_", name, "s_suppkey"))
     path = fresh_path(t.spark, "saved")
-    t.supplier.select(F.col("s_nationkey").alias("nation"), folder.alias("entity"), "s_name").write.partitionBy("nation", "entity").text(path)
+    rows = t.dealt("supplier", folder).select(F.col("s_nationkey").alias("nation"), folder.alias("entity"), "s_name")
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("nation", "entity").text(path)
     return path
 
 

@@ -223,3 +223,11 @@ def test_every_json_file_is_judged_by_itself(spark, tmp_path):
 def test_csv_with_doubled_quotes_and_line_ends(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"a ""b"", c"\n2,"two\nlines"\n')
     assert [tuple(r) for r in files.read_catalog_csv(spark, str(tmp_path), "id long, name string").orderBy("id").collect()] == [(1, 'a "b", c'), (2, "two\nlines")]
+
+
+def test_saved_files_are_written_by_several_tasks(spark):
+    from catalog_engine.plans.bind_sources import saved_files
+    from catalog_engine.plans.binding import Tables
+
+    written = files.scan_listing(spark, saved_files(Tables(spark, "/root/testdata/sf0.001")), ["txt"])
+    assert written.select(F.substring("name", 1, 10)).distinct().count() > 1
