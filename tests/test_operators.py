@@ -278,3 +278,23 @@ def test_owners_by_name_and_territory_agree_with_brute_force(spark):
         spark.createDataFrame(items, "row_id long, owner_name string, owner_id long, is_manual boolean"), spark.createDataFrame(owners, "id long, name string, territory string, is_section boolean")
     )
     assert {r["row_id"]: r["new_owner_id"] for r in found.collect()} == {k: None if n is None else lowest(n) for k, n, _, _ in items}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("limit", [3, 15])
+def test_hashes_by_blocks_and_by_bands(spark, block, limit):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    words = {w ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for w in base for _ in range(4)}
+    rows = [(rng.choice(["a", "b", None]), w - (1 << 63), i, 1) for i, w in enumerate(sorted(words))]
+    hashes = spark.createDataFrame(rows, "s string, h long, first_id long, copies long")
+    sizes = hashes.groupBy(F.col("s").alias("_sized")).agg(F.count("*").alias("_n"))
+    pairs = lambda df: sorted(tuple(sorted((r["id_a"], r["id_b"]))) + (r["distance"],) for r in df.collect())
+    brute = sorted((i, j, (a ^ b).bit_count()) for (s, a, i, _), (t, b, j, _) in itertools.combinations([(s, h + (1 << 63), i, n) for s, h, i, n in rows], 2) if s == t and (a ^ b).bit_count() <= limit)
+    assert brute and pairs(similar._near_by_blocks(hashes, sizes, "s", "h", limit, block)) == brute
+    assert pairs(similar._near_by_bands(hashes, "s", "h", limit)) == brute
+
+
+def test_few_hashes_are_compared_without_look_ups(spark):
+    hashes = spark.range(200).select(F.lit("a").alias("s"), F.xxhash64("id").alias("h"), F.col("id").alias("first_id"), F.lit(1).alias("copies"))
+    assert "_avalue" not in similar._near_hashes(hashes, "s", "h", 15)._jdf.queryExecution().analyzed().toString()
