@@ -7,6 +7,8 @@ within ``DISTANCE`` bits are tried, each two in the tree whose piece tells them
 
 A group costs its size, not its pairs: in the first round each fingerprint is tried against the first one that is near. In
 each further round one whose class is not the largest of its shard tries the nearest of a few other classes, of twice as many in the next, until a round brings no link.
+At last all that are near, meet in a tree and still are of different classes are tried, in slices, so no candidate is left out; only
+in families of texts that mostly aren't near copies these are many.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ DISTANCE = 30
 PIECES = 12
 #: classes that a fingerprint tries at first; twice as many in every further round
 TRIES = 3
+#: near words of other classes that a word tries in one slice of the last round
+SLICE = 256
 
 
 def shingle_hashes(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -143,6 +147,24 @@ def nearest_of_others(words: np.ndarray, labels: np.ndarray, tree: int, distance
     return np.concatenate(ones), np.concatenate(twos)
 
 
+def rest_of_others(words: np.ndarray, labels: np.ndarray, tree: int, distance: int, start: int, take: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Each word outside of the largest class with its near words of other classes that it meets in this tree: ``take`` of
+    them, from the ``start``-th on."""
+    _, number, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(number != sizes.argmax())
+    ones, twos = [asking[:0]], [asking[:0]]
+    for at in range(0, len(asking), 256):
+        block = asking[at : at + 256]
+        one, two = np.nonzero((distances(words[block], words) <= distance) & (number[block][:, None] != number[None, :]))
+        met = met_here(words[block[one]], words[two], tree)
+        one, two = one[met], two[met]
+        rank = np.arange(len(one)) - np.searchsorted(one, one)
+        wanted = (rank >= start) & (rank < start + take)
+        ones.append(block[one[wanted]])
+        twos.append(two[wanted])
+    return np.concatenate(ones), np.concatenate(twos)
+
+
 def dealt(sets: DataFrame, sample: int = 1 << 17, shard: int = 4_000, shard_rows: int = 200_000) -> tuple[DataFrame, int]:
     """(cell, low, high, fp, one, two) and the number of cells of a tree: every fingerprint in each shard it belongs to, or reaches over the border of, in
     each of the trees. The trees come from a bounded sample; a shard of over ``shard_rows`` is dealt into blocks that meet
@@ -169,8 +191,9 @@ def dealt(sets: DataFrame, sample: int = 1 << 17, shard: int = 4_000, shard_rows
     return met.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "one", "two"), width
 
 
-def tried(shards: DataFrame, labels: DataFrame | None, width: int, tries: int = TRIES, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b) of sets to be verified: in the first round, and later by the classes (fp, label) reached so far."""
+def tried(shards: DataFrame, labels: DataFrame | None, width: int, tries: int = TRIES, distance: int = DISTANCE, start: int | None = None) -> DataFrame:
+    """Pairs (a, b) of sets to be verified: in the first round, and later by the classes (fp, label) reached so far; with
+    ``start`` all of different classes, in slices."""
 
     first = labels is None
 
@@ -181,7 +204,12 @@ def tried(shards: DataFrame, labels: DataFrame | None, width: int, tries: int =
         marks = None if first else shard["label"].to_numpy()
         found, tree = [(names[:0], names[:0])], int(key[0]) // width
         for at in leaves(words, tree):
-            one, two = first_near(words[at], distance) if first else nearest_of_others(words[at], marks[at], tree, distance, tries)
+            if first:
+                one, two = first_near(words[at], distance)
+            elif start is None:
+                one, two = nearest_of_others(words[at], marks[at], tree, distance, tries)
+            else:
+                one, two = rest_of_others(words[at], marks[at], tree, distance, start)
             own = met_here(words[at[one]], words[at[two]], tree)
             found.append((names[at[one[own]]], names[at[two[own]]]))
         ends = np.sort(np.stack([np.concatenate(side) for side in zip(*found)], axis=1), axis=1)
@@ -229,10 +257,17 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         found = staged(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
         if labels is not None and found.isEmpty():
-            return links
+            break
         tests = pairs if tests is None else tests.unionByName(pairs)
         tries = 2 * tries
         labels = similar_components(links, "a", "b").select(F.col("id").alias("fp"), F.col("component").alias("label"))
+    start = 0
+    while True:  # the classes stay as they are, so each slice goes on where the last one ended
+        rest = staged(tried(shards, labels, width, start=start), "rest")
+        if rest.isEmpty():
+            return links
+        links = links.unionByName(staged(verified(rest.join(tests, ["a", "b"], "left_anti"), texts), "links"))
+        start += SLICE
 
 
 def keep_first_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

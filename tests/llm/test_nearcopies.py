@@ -125,3 +125,27 @@ def test_blocks_of_a_large_shard_meet(spark):
     one, two = ends(nearcopies.tried(whole, None, width)), ends(nearcopies.tried(parts, None, width))
     # a word is led by another in another block
     assert len(one & two) >= 0.85 * len(one | two)
+
+
+def test_every_near_pair_of_two_classes_is_tried_in_slices():
+    """A word whose one true partner is the farthest of 600 near words, all of one other class."""
+    random = np.random.default_rng(16)
+    words = np.zeros((700, 2), dtype=np.uint64)
+    for k in range(700):
+        for b in random.choice(np.arange(16, 128), 8, replace=False):
+            words[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    labels = np.array([0] * 600 + list(range(1, 101)))
+    away = nearcopies.distances(words, words)
+    near = (away <= 30) & (labels[:, None] != labels[None, :]) & (labels[:, None] > 0)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if nearcopies.met_here(words[[a]], words[[b]], 0)[0]}
+    found, start = set(), 0
+    while True:
+        one, two = nearcopies.rest_of_others(words, labels, 0, 30, start)
+        if not len(one):
+            break
+        part = set(zip(one.tolist(), two.tolist()))
+        assert not part & found and max(np.unique(one, return_counts=True)[1]) <= nearcopies.SLICE
+        found, start = found | part, start + nearcopies.SLICE
+    assert found == want and start > nearcopies.SLICE
+    tried = nearcopies.nearest_of_others(words, labels, 0, 30)
+    assert len(set(zip(*(x.tolist() for x in tried)))) < len(want)
