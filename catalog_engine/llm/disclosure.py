@@ -35,6 +35,8 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 GENERALISE, REMOVE = 0.7, 0.9
 #: in so many different surroundings a term must stand near an entity, and so many words on each side are near
 CONTEXTS, NEAR_WORDS, NEAR_CHARS = 3, 6, 160
+#: up to so many disclosing terms go to every task, which looks them up inside the row; more are joined
+TERMS_IN_ROW = 5_000
 
 SPAN = "struct<start:bigint,stop:bigint,value:string>"
 _APART = r"[^\p{L}\p{N}]+"
@@ -166,8 +168,9 @@ def disclosing_terms(docs: DataFrame, contexts: int = CONTEXTS, share: float = G
     if candidates.isEmpty():
         return None
     of_entity = met.select(F.explode(F.array_distinct("said.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
+    # counted before the join, so that each task hands on a word once and the join sees words, not the texts they are in
     held = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    of_term = held.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
     n = F.lit(float(docs.count()))
     known = F.log(F.col("joint") * n / (F.col("holding") * F.col("seen"))) / F.nullif(F.log(n / F.col("holding")), F.lit(0.0))
     scored = candidates.join(of_entity, "entity").join(of_term, "term").select("term", known.alias("share"))
@@ -175,25 +178,49 @@ def disclosing_terms(docs: DataFrame, contexts: int = CONTEXTS, share: float = G
     return None if terms.isEmpty() else terms
 
 
+LEAKS = "array<struct<term:string,share:double>>"
+
+
+def leaks_inside(whole: DataFrame, terms: DataFrame, count: int) -> DataFrame:
+    """``whole`` with the terms that the row's ``text`` holds, from ``count`` slots by hash that go to the tasks as one value."""
+    slot = lambda word: F.pmod(F.xxhash64(word), F.lit(count)).cast("int")
+    filled = terms.groupBy(slot(F.col("term")).alias("slot")).agg(F.collect_list(F.struct("term", "share")).alias("own"))
+    every = terms.sparkSession.range(count).join(filled, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("own", F.array().cast(LEAKS)).alias("own"))
+    slots = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "own"))), lambda s: s["own"]).alias("slots")).scalar()
+    own = lambda held, word: F.filter(F.get(held, slot(word)), lambda s: s["term"] == word)
+    # each is mentioned once behind, so the value is not copied into the rows
+    ready = whole.withColumns({"words": F.array_distinct(words_of(F.col("text"))), "slots": slots})
+    leaks = let(F.col("slots"), lambda held: F.array_sort(F.flatten(F.transform("words", lambda w: own(held, w)))))
+    return ready.withColumn("leaks", leaks).drop("words", "slots")
+
+
+def with_leaks(whole: DataFrame, terms: DataFrame | None, in_row: int = TERMS_IN_ROW) -> DataFrame:
+    """``whole`` (row, text, digest) with ``leaks``: the disclosing terms of the text and their shares."""
+    count = 0 if terms is None else terms.count()
+    if not count:
+        return whole.withColumn("leaks", F.lit(None).cast(LEAKS))
+    if count <= in_row:
+        return leaks_inside(whole, terms, count)
+    held = whole.select("digest", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term").distinct()
+    leaks = staged(held.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("leaks")), "leaks")
+    return whole.join(leaks, "digest", "left")
+
+
 def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None, contexts: int = CONTEXTS, share: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Columns ``keep``, arrays ``email``, ``ip``, ``card``, ``phone`` of (start, stop, value), ``term`` of (start, stop,
     value, label) for the terms that disclose a value somewhere in the corpus, and ``sanitised``: the text with all of that
     generalised to a label in brackets, or removed.
 
     Places count code points. A null text is the empty text, which holds nothing; every row counts in the statistics,
-    and equal texts have equal results; an empty table gives an empty one. Other columns are not looked at. Rows
-    meet the terms of their text by the digest of the whole text; that table is as small as what is disclosed.
+    and equal texts have equal results; an empty table gives an empty one. Other columns are not looked at. The
+    terms are looked up inside the row, so no text is shuffled; only if there are more than ``TERMS_IN_ROW`` of them do rows
+    meet the terms of their text by the digest of the whole text.
     """
     keep = keep or ["doc_id"]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("text"), F.sha2(body, 256).alias("digest"))
     terms = disclosing_terms(whole.select("text"), contexts, share)
-    if terms is None:
-        joined = whole.withColumn("leaks", F.lit(None).cast("array<struct<term:string,share:double>>"))
-    else:
-        held = whole.select("digest", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term").distinct()
-        leaks = staged(held.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("leaks")), "leaks")
-        joined = whole.join(leaks, "digest", "left")
+    joined = with_leaks(whole, terms)
     spans = personal_spans(F.col("text"))
     found = joined.select("row", "text", "leaks", *[spans[k].alias(k) for k in KINDS])
     return found.withColumn("term", _term_spans(remove)).select("row.*", *KINDS, "term", _sanitised().alias("sanitised"))

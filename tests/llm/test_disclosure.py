@@ -165,3 +165,30 @@ def test_running_totals(spark):
     for n in (0, 1, 2, 255, 256, 257, 2_000):
         row = spark.range(1).select(disclosure.running_totals(F.expr(f"transform(slice(sequence(0, {n}), 1, {n}), x -> cast(x * 3 as bigint))")).alias("t")).first()
         assert row["t"] == [3 * k * (k - 1) // 2 for k in range(n)]
+
+
+def test_no_text_is_shuffled_for_the_terms_it_holds(spark):
+    """Terms looked up inside the row and terms joined by the digest of the text are the same."""
+    texts = ["Zebulon met marmalade, ZEBULON", "marmalade", "nothing", "", "a@zebulon.org zebu lon", "zebulon"]
+    whole = spark.createDataFrame([(k, t, hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(texts)], "row int, text string, digest string").repartition(3)
+    terms = spark.createDataFrame([("zebulon", 0.9), ("marmalade", 0.75), ("hollyhock", 0.8)], "term string, share double")
+    inside, joined = disclosure.with_leaks(whole, terms), disclosure.with_leaks(whole, terms, in_row=2)
+    listed = lambda rows: {r["row"]: [tuple(s) for s in r["leaks"] or []] for r in rows.collect()}
+    want = {0: [("marmalade", 0.75), ("zebulon", 0.9)], 1: [("marmalade", 0.75)], 2: [], 3: [], 4: [], 5: [("zebulon", 0.9)]}
+    assert listed(inside) == listed(joined) == want
+    plan = inside._jdf.queryExecution().optimizedPlan()
+    assert all(node not in line for line in plan.toString().splitlines() if not line.lstrip().startswith(":") for node in ("Join", "Aggregate"))
+
+
+def test_words_are_counted_before_they_meet_the_terms(spark):
+    """A common word that is a candidate costs the join one row, not one a text."""
+    texts = [f"common word{k % 7} {k} a@b.org shared more{k % 5}" for k in range(400)] + ["common shared"] * 600
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    plans = []
+    real = disclosure.staged
+    try:
+        disclosure.staged = lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, label)
+        disclosure.disclosing_terms(frame, share=-9.0)
+    finally:
+        disclosure.staged = real
+    assert not any("LeftSemi" in plan for label, plan in plans if label == "terms")
