@@ -149,3 +149,68 @@ def test_every_near_pair_of_two_classes_is_tried_in_slices():
     assert found == want and start > nearcopies.SLICE
     tried = nearcopies.nearest_of_others(words, labels, 0, 30)
     assert len(set(zip(*(x.tolist() for x in tried)))) < len(want)
+
+
+def test_every_fingerprint_goes_to_as_many_shards(spark):
+    """However many there are, so what is shuffled grows with the table; both ends of a pair within one bit meet."""
+    for count in (50, 5_000):
+        sets = spark.range(count).select(nearcopies.F.col("id").alias("fp"), nearcopies.F.xxhash64("id").alias("one"), nearcopies.F.xxhash64("id", "id").alias("two"))
+        shards, width = nearcopies.dealt(sets)
+        assert shards.count() == 2 * nearcopies.PIECES * count and shards.filter(f"cell >= {width * nearcopies.PIECES}").isEmpty()
+
+
+def family(random, size: int = 500) -> list[list[str]]:
+    """Texts that are near by their fingerprints, of which few are near copies of each other."""
+    story = [f"w{k}" for k in range(200)]
+    out = []
+    for k in range(size):
+        copy = list(out[k // 2]) if k % 5 == 4 else list(story)
+        for at in random.choice(200, 1 if k % 5 == 4 else 7, replace=False):
+            copy[at] = f"x{k}-{at}"
+        out.append(copy)
+    return out
+
+
+def test_a_family_gives_links_not_pairs(spark):
+    texts = [" ".join(t) for t in family(np.random.default_rng(18))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marked = nearcopies.signatures(frame, ["doc_id", "text"])
+    seen = []
+    real = nearcopies.near_links
+    for block_bytes in (nearcopies.BLOCK_BYTES, 40_000):
+        links = real(marked.select("fp", "one", "two"), marked.select("fp", "text"), block_bytes).collect()
+        root = {}
+
+        def top(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        seen.append({r["doc_id"]: top(r["fp"]) for r in marked.select("doc_id", "fp").collect()})
+        assert len(links) < 24 * len(texts)
+    assert seen[0] == seen[1]
+    want = plain_classes(texts)
+    assert 100 < len(set(want)) < len(texts)
+    together = {(a, b) for a in range(len(texts)) for b in range(a) if want[a] == want[b]}
+    found = {(a, b) for a in range(len(texts)) for b in range(a) if seen[0][a] == seen[0][b]}
+    assert found <= together and len(found) >= 0.95 * len(together)
+
+
+def test_what_is_staged_leaves_no_shuffle_files(spark):
+    import time
+
+    from catalog_engine.workspace import staged
+
+    files = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = files(), spark.conf.get(key)
+    frame = spark.range(1000).groupBy((nearcopies.F.col("id") % 7).alias("k")).count()
+    assert len(staged(frame, "few").collect()) == 7 and spark.conf.get(key) == conf
+    for _ in range(50):
+        own = files() - before
+        if own <= 1:
+            break
+        time.sleep(0.2)
+    assert own <= 1 and frame.count() == 7
