@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 
 import corpus_pipeline
 from catalog_engine.llm import substrings
+from catalog_engine.workspace import shared_root
 
 
 def plain_cuts(texts: list[str], size: int, words: int) -> list[str]:
@@ -49,3 +51,12 @@ def test_repeated_passages_of_the_tables(spark):
     rows = docs.select("doc_id", "text").collect()
     cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
     assert [cut[r["doc_id"]] for r in rows] == plain_cuts([r["text"] for r in rows], 400, 50)
+
+
+def test_only_the_ranges_stay_in_the_shared_folder(spark):
+    folder = shared_root(spark)
+    before = set(os.listdir(folder))
+    frame = spark.createDataFrame([(k, "a b c d e f g h " * 60, 0) for k in range(4)], "doc_id long, text string, n_chars int")
+    assert all(r["text"] == "" for r in corpus_pipeline.repeated_strings(spark, frame, "").collect())
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"spans", "word-spans"}
