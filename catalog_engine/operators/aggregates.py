@@ -27,15 +27,24 @@ def dominance(df: DataFrame, contest: str, owner: str, member: str, flag: str) -
     """1 for members that strictly win against everyone they ever meet, 0 for other participants.
 
     Two members of one owner meet in every contest that lists both. One wins when its flag is 1 and the other's 0; anything
-    else is a tie. A member therefore wins everything exactly when, in each of its contests with company, its own flag is 1
-    and all the other flags are 0. That needs the size and the number of zeros per contest, never the pairs.
+    else is a tie. A member therefore wins a contest with company exactly when its own flag is 1 and all the others are 0, so
+    at most one does, and it wins everything when it wins as often as it has company. What a contest says fits one row: who
+    is alone in it or who wins it. Nothing is joined, and neither the pairs nor the members of a contest are ever gathered.
     """
-    field = df.groupBy(F.col(contest).alias("_c"), F.col(owner).alias("_o")).agg(
-        F.count(F.lit(1)).alias("_size"), F.count_if(F.col(flag) == 0).alias("_zeros")
-    ).filter("_size > 1")
-    met = df.join(field, (F.col(contest) == F.col("_c")) & F.col(owner).eqNullSafe(F.col("_o")))
-    wins_here = F.coalesce(F.col(flag) == 1, F.lit(False)) & (F.col("_zeros") == F.col("_size") - 1)
-    return met.groupBy(member).agg(F.bool_and(wins_here).cast("int").alias("is_primary"))
+    wins = F.col(flag) == 1
+    field = df.filter(F.col(contest).isNotNull()).groupBy(contest, owner).agg(
+        F.count(F.lit(1)).alias("_size"), F.count_if(F.col(flag) == 0).alias("_zeros"), F.count_if(wins).alias("_ones"),
+        F.max(member).alias("_any"), F.max(F.when(wins, F.col(member))).alias("_one"),
+    )
+    alone = F.col("_size") == 1
+    won = ~alone & (F.col("_ones") == 1) & (F.col("_zeros") == F.col("_size") - 1)
+    told = field.filter(alone | won).select(F.when(alone, F.col("_any")).otherwise(F.col("_one")).alias(member), F.lit(0).alias("_first"), F.lit(0).alias("_rest"), alone.cast("int").alias("_alone"), won.cast("int").alias("_won"))
+    # both kinds of flags are counted, so this side reads the same columns, and with them the same shuffle, as the other
+    first = F.coalesce(wins, F.lit(False)).cast("int")
+    listed = df.filter(F.col(contest).isNotNull()).select(member, first.alias("_first"), (1 - first).alias("_rest"), F.lit(0).alias("_alone"), F.lit(0).alias("_won"))
+    counted = listed.unionByName(told).groupBy(member).agg(*[F.sum(c).alias(c) for c in ("_first", "_rest", "_alone", "_won")])
+    company = F.col("_first") + F.col("_rest") - F.col("_alone")
+    return counted.filter(company > 0).select(member, (F.col("_won") == company).cast("int").alias("is_primary"))
 
 
 def mark_dominance(members: DataFrame, key: str, verdicts: DataFrame, verdict_key: str) -> DataFrame:

@@ -35,9 +35,15 @@ CONTEST_SQL = """SELECT l_orderkey, l_partkey, p_brand, max(CASE WHEN l_linestat
                  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL"""
 
 
+LINES_A_TASK = 500_000
+
+
 def contests(t):
-    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_linestatus") == "F").cast("int")).alias("flag"))
-    return lines.join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    """The parts of each order. One shuffle by order and brand serves both groupings, in tasks of so many lines at any size."""
+    lines = t.lineitem.select("l_orderkey", "l_partkey", (F.col("l_linestatus") == "F").cast("int").alias("flag"))
+    met = lines.join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // LINES_A_TASK))
+    return met.repartition(tasks, "l_orderkey", "p_brand").groupBy("l_orderkey", "l_partkey", "p_brand").agg(F.max("flag").alias("flag"))
 
 
 @bind(

@@ -70,6 +70,12 @@ def test_dominance_agrees_with_all_pairs(spark):
     assert found == brute_dominance(rows) and found[900] == 1
 
 
+def test_dominance_of_rows_without_contest_owner_or_member(spark):
+    rows = [(1, None, 1, 1), (1, None, 2, 0), (None, 1, 3, 1), (None, 1, 4, 0), (2, 1, None, 1), (2, 1, 5, 0), (3, 1, 6, 1), (4, 1, 7, 1), (4, 1, 8, None)]
+    verdicts = aggregates.dominance(spark.createDataFrame(rows, "c int, o int, m int, f int"), "c", "o", "m", "f").collect()
+    assert {r["m"]: r["is_primary"] for r in verdicts} == {1: 1, 2: 0, None: 1, 5: 0, 7: 0, 8: 0}
+
+
 def brute_leaders(rows, limit):
     groups, numbers = {}, {}
     for scope in {r[0] for r in rows}:

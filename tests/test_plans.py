@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from __spark_entry__ import entry, queries
+from catalog_engine.plans import bind_aggregates
 
 ROOT = "/root/testdata/sf0.001"
 PYTHON_QUERIES = {"flatten_nested_list", "dhash64_image", "corner_stats", "score_batches", "html_rows"}
@@ -23,6 +24,18 @@ def test_listing_reads_only_what_it_shows(spark):
     assert "l_extendedprice" not in plan.split("== Physical Plan ==")[-1]
 
 
+def test_dominance_takes_more_tasks_for_more_lines(spark, monkeypatch):
+    """One shuffle of the lines, whose tasks hold so many lines at any size, and no join of the contests with themselves."""
+    monkeypatch.setattr(bind_aggregates, "LINES_A_TASK", 100)
+    lines = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
+    for name, joins in (("dominance", 2), ("mark_dominance", 3)):
+        plan = queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in x]
+        assert len(dealt) == 2 and all(f", {-(-lines // 100)})" in x for x in dealt)
+        # with the parts, once for each branch, and of the members with their verdicts
+        assert plan.count("Join") == joins
+
+
 def test_entry_returns_rows(spark):
     listing = entry(spark)
     assert listing.columns == ["o_orderkey", "o_custkey", "o_orderstatus", "face_a", "face_b"]
