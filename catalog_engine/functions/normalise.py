@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import html.entities
 import unicodedata
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalog_engine.functions.arrays import let
+
 
 @dataclass(frozen=True)
 class Recipe:
@@ -106,6 +109,27 @@ def _as_map(entries: dict[str, str]) -> str:
     return f"str_to_map({literal(body)}, '\u0002', '\u0001')"
 
 
+#: lists that the names of entities are dealt into: a map of all 2,231 would be searched from its start for each entity
+_NAME_LISTS = 512
+
+
+def _dealt_names() -> str:
+    """A constant array of lists, each name with its text in the list of its checksum; the optimiser folds it once."""
+    lists = ["\u0002"] * _NAME_LISTS
+    for name, text in html.entities.html5.items():
+        lists[zlib.crc32(name.encode()) % _NAME_LISTS] += f"{name}\u0001{text}\u0002"
+    return f"split({literal(chr(3).join(lists))}, '\u0003')"
+
+
+def _named(piece: str) -> str:
+    """The text of a named entity, or the piece itself when there is no such name."""
+    name = f"substr({piece}, 2)"
+    held = f"element_at({_dealt_names()}, CAST(crc32(CAST({name} AS BINARY)) % {_NAME_LISTS} AS INT) + 1)"
+    mark = f"concat('\u0002', {name}, '\u0001')"
+    found = f"substring_index(substring_index(x.held, x.mark, -1), '\u0002', 1)"
+    return f"transform(array(named_struct('held', {held}, 'mark', {mark})), x -> CASE WHEN contains(x.held, x.mark) THEN {found} ELSE {piece} END)[0]"
+
+
 def _ascii(c: str) -> str:
     """As many bytes as characters."""
     return f"octet_length({c}) = length({c})"
@@ -121,13 +145,12 @@ def unescape_sql(c: str, closed: bool = False) -> str:
     ``closed`` ones count.
     """
     end = ";" if closed else ";?"
-    names = _as_map({name: text for name, text in html.entities.html5.items()})
     pieces = f"regexp_extract_all({c}, r'(&#?[A-Za-z0-9]+;?|[^&]+|&)', 1)"
     number = "CASE WHEN lower(substr(p, 3, 1)) = 'x' THEN try_cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS BIGINT) ELSE try_cast(substr(p, 3, length(p) - 3) AS BIGINT) END"
     numeric = f"try_cast(decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32') AS STRING)"
     piece = (
         f"CASE WHEN p RLIKE r'^&#([0-9]{{1,7}}|[xX][0-9A-Fa-f]{{1,6}});$' THEN coalesce({numeric}, '\ufffd')"
-        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*{end}$' THEN coalesce(try_element_at({names}, substr(p, 2)), p)"
+        f" WHEN p RLIKE r'^&[A-Za-z][A-Za-z0-9]*{end}$' THEN {_named('p')}"
         " ELSE p END"
     )
     return f"CASE WHEN instr({c}, '&') = 0 THEN {c} ELSE array_join(transform({pieces}, p -> {piece}), '') END"
@@ -141,15 +164,22 @@ def unescaped(text: Column) -> Column:
 def resolved(text: Column, closed: bool) -> Column:
     """The same; with ``closed`` only entities that end in a semicolon."""
     end = ";" if closed else ";?"
-    names = F.expr(_as_map(dict(html.entities.html5)))
+    names = F.expr(_dealt_names())
+
+    def named(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2))
+        held = F.element_at(names, (F.crc32(name.cast("binary")) % _NAME_LISTS).cast("int") + 1)
+        mark = F.concat(F.lit("\u0002"), name, F.lit("\u0001"))
+        behind = lambda x: F.call_function("substring_index", x["held"], x["mark"], F.lit(-1))
+        at = F.struct(held.alias("held"), mark.alias("mark"))
+        return let(at, lambda x: F.when(F.contains(x["held"], x["mark"]), F.substring_index(behind(x), "\u0002", 1)).otherwise(piece))
 
     def resolve(piece: Column) -> Column:
         hexadecimal = F.lower(F.substring(piece, 3, 1)) == "x"
         digits = F.regexp_extract(piece, r"[0-9A-Fa-f]+(?=;)", 0)
         code = F.when(hexadecimal, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
         char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        named = F.coalesce(F.try_element_at(names, F.substr(piece, F.lit(2))), piece)
-        return F.when(piece.rlike(r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"), char).when(piece.rlike(rf"^&[A-Za-z][A-Za-z0-9]*{end}$"), named).otherwise(piece)
+        return F.when(piece.rlike(r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"), char).when(piece.rlike(rf"^&[A-Za-z][A-Za-z0-9]*{end}$"), named(piece)).otherwise(piece)
 
     pieces = F.regexp_extract_all(text, F.lit(r"(&#?[A-Za-z0-9]+;?|[^&]+|&)"), F.lit(1))
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")).otherwise(text)

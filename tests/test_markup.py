@@ -118,3 +118,11 @@ def test_pages_made_of_short_rows_are_many_tasks(spark):
 )
 def test_content_of_an_element(spark, html, inner):
     assert page(spark, html).select(extract.region("html", "div")).first()[0] == inner
+
+
+@pytest.mark.parametrize("text, want", [
+    ('<A x="a > b">t</a>', '<A x="a &gt; b">t</a>'), ("<a x='<'>t</a>", "<a x='&lt;'>t</a>"), ('a = "b > c" <i>', 'a = "b > c" <i>'),
+    ("a<SCRIPT>x</Script>b<!-- c", "ab"), ("<TABLE><TR><TD>1</TABLE>", "<TABLE><TR><TD>1</td></tr></TABLE>"),
+])
+def test_markup_is_found_in_capitals_and_behind_equals_signs(spark, text, want):
+    assert page(spark, text).select(canonical("html")).first()[0] == want

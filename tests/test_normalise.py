@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -131,3 +133,17 @@ def test_placeholders(spark):
 def test_ordered_ids_sort_by_time(spark):
     rows = spark.range(50).select(F.timestamp_micros(F.col("id") * 777_777_777).alias("ts")).select("ts", n.ordered_hex_id("ts").alias("h"))
     assert [r["h"] for r in rows.orderBy("ts").collect()] == [r["h"] for r in rows.orderBy("h").collect()]
+
+
+def test_every_name_of_an_entity_is_found_in_a_short_list(spark):
+    names = dict(html.entities.html5) | {"nosuch;": "&nosuch;", "am": "&am"}
+    frame = spark.createDataFrame([(f"x&{name}" if name.endswith(";") else f"x&{name} y", f"x{text}" + ("" if name.endswith(";") else " y")) for name, text in names.items()], "s string, want string")
+    found = frame.select("want", n.resolved(F.col("s"), False).alias("resolved"), F.expr(n.unescape_sql("s")).alias("unescaped"))
+    assert found.filter("resolved <> want OR unescaped <> want").count() == 0
+    lists = spark.range(1).select(F.expr(n._dealt_names())).first()[0]
+    assert max(x.count("\u0001") for x in lists) < 20 and sum(x.count("\u0001") for x in lists) == len(html.entities.html5)
+
+
+@pytest.mark.parametrize("text, want", [("/a&amp;b&amp;amp;c", "/a&b&amp;c"), ("&amp;lt;&lt;", "&lt;<"), ("&amp &", "& &"), ("&amp;", "&"), ("plain", "plain")])
+def test_escaped_signs_are_resolved_once(spark, text, want):
+    assert spark.range(1).select(n.unescaped(F.lit(text))).first()[0] == want
