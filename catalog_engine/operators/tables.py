@@ -146,20 +146,21 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, entity: str,
     def latest(kinds: list[str], value: Column) -> Column:
         return F.max(F.when(F.col("kind").isin(kinds), F.struct("seq", value.alias("v"))))["v"]
 
-    kind = F.col("kind")
+    kind, type_kinds = F.col("kind"), ["set_type", "promote", "transfer"]
     typed = F.when(kind == "promote", 1).when(kind == "transfer", 2).otherwise(F.col("number").cast("int"))
     swap = (kind == "swap") & (F.col("seq") > F.coalesce("_renamed_at", F.lit(-1)))
     summary = log.groupBy(key).agg(
         F.bool_or(kind == "delete").alias("_delete"),
-        latest(["set_type", "promote", "transfer"], typed).alias("_type"),
-        latest(["set_type", "promote", "transfer"], kind).alias("_type_kind"),
+        latest(type_kinds, typed).alias("_type"),
         latest(["transfer"], F.col("number")).alias("_entity"),
         latest(["rename"], F.col("text_a")).alias("_a"), latest(["rename"], F.col("text_b")).alias("_b"),
         (F.count_if(swap) % 2 == 1).alias("_swap"),
         *[latest([f], F.col("number").cast("int")).alias(f"_flag_{f}") for f in flags],
     )
     joined = target.join(summary, key, "left")
-    promoted = joined.filter("_type_kind = 'promote'").select(F.col(entity).alias("_promoted")).distinct()
+    # asked of the changes of a type alone, so the whole summary is not made a second time
+    last = changes.filter(F.col("kind").isin(type_kinds)).groupBy(key).agg(F.max(F.struct("seq", "kind"))["kind"].alias("_type_kind")).filter("_type_kind = 'promote'")
+    promoted = target.select(key, entity).join(last.select(key), key).select(F.col(entity).alias("_promoted")).distinct()
     joined = joined.join(promoted, F.col(entity) == F.col("_promoted"), "left")
     a, b = F.coalesce("_a", "face_a"), F.coalesce("_b", "face_b")
     demoted = F.col("_promoted").isNotNull() & (F.col("sample_type") == 1) & F.col("_type").isNull()

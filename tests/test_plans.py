@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from __spark_entry__ import entry, queries
+from catalog_engine.operators import tables
 from catalog_engine.plans import bind_aggregates
 
 ROOT = "/root/testdata/sf0.001"
@@ -55,3 +56,12 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     repo = str(Path(__file__).resolve().parents[1])
     done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_only_changes_of_a_type_tell_who_is_promoted(spark):
+    samples = spark.range(9).selectExpr("id", "id % 3 AS entity", "1 AS sample_type", "0 AS removed", "'a' AS face_a", "'b' AS face_b")
+    changes = spark.range(9).selectExpr("id", "1 AS seq", "if(id = 4, 'promote', 'swap') AS kind", "id AS number", "'x' AS text_a", "'y' AS text_b")
+    changed = tables.apply_changes(samples, changes, "id", "entity", [])
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in x and "IN (set_type,promote,transfer)" in x for x in plan.splitlines())
+    assert {r["id"]: r["sample_type"] for r in changed.collect()} == {0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2, 8: 1}
